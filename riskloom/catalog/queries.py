@@ -105,7 +105,7 @@ def union_parts(spark, sf_dir):
 
 
 def clean_amount(spark, sf_dir):
-    text = t.table(spark, sf_dir, "events").select("event_id", t.amount_text().alias("amount_text"))
+    text = t.table(spark, sf_dir, "events").select("event_id", F.expr(t.AMOUNT_TEXT).alias("amount_text"))
     return text.withColumns(
         {
             "amount": currency_amount(F.col("amount_text")),
@@ -115,7 +115,7 @@ def clean_amount(spark, sf_dir):
 
 
 def clean_zip(spark, sf_dir):
-    text = t.table(spark, sf_dir, "events").select("event_id", t.zip_text().alias("zip_text"))
+    text = t.table(spark, sf_dir, "events").select("event_id", F.expr(t.ZIP_TEXT).alias("zip_text"))
     return text.withColumn("zip", zip5(F.col("zip_text")))
 
 
@@ -141,7 +141,7 @@ def coerce_numeric(spark, sf_dir):
 
 
 def _keyed_events(spark, sf_dir):
-    return t.table(spark, sf_dir, "events").select("event_id", t.key_text().alias("NPI"))
+    return t.table(spark, sf_dir, "events").select("event_id", F.expr(t.KEY_TEXT).alias("NPI"))
 
 
 def safe_key_cast(spark, sf_dir):

@@ -6,10 +6,9 @@ payments. Column by column the mapping is restated in SQL in ``oracles``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.numeric import cents
 from riskloom.operators.cleaning import clean_payments, clean_prescribers
 from riskloom.operators.rules import RiskThresholds
 from riskloom.plans.etl import score_prescribers
@@ -18,9 +17,43 @@ from riskloom.schemas import PAYMENT_COLUMNS, PRESCRIBER_COLUMNS, PRESCRIBER_NUM
 # With these every rule fires on the given tables; the published ones leave three silent.
 THRESHOLDS = RiskThresholds(payment_to_cost=0.003, opioid_claims=25.0, average_payment=54.0)
 
+# The columns the mapping reads. A declared schema saves a job per table to look it up.
+TABLES = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_quantity double, l_extendedprice double, l_discount double, "
+    "l_returnflag string, l_linestatus string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+ITEM = [
+    "l_orderkey",
+    "l_linestatus",
+    "l_returnflag = 'R' as opioid",
+    "l_returnflag = 'A' as antibiotic",
+    "cast(rint(l_extendedprice * 100) as bigint) as price",
+    "cast(l_quantity as bigint) as quantity",
+    "cast(rint(l_discount * 100) as bigint) as discount",
+]
+
+ORDER_TOTALS = {
+    "items": "count(1)",
+    "cost": "sum(price)",
+    "opioid_items": "count_if(opioid)",
+    "opioid_cents": "sum(price) filter (where opioid)",
+    "antibiotic_items": "count_if(antibiotic)",
+    "antibiotic_cents": "sum(price) filter (where antibiotic)",
+    "quantity": "sum(quantity)",
+    "discount": "sum(discount)",
+    "female": "count_if(l_linestatus = 'F')",
+    "male": "count_if(l_linestatus = 'O')",
+}
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,155 +62,104 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     Line items shrink to one row per order before anything is joined, so an order
     counts once without a distinct count, and no raw line item is shuffled.
     """
-    c = F.col
-    price, opioid, antibiotic = cents(c("l_extendedprice")), c("l_returnflag") == "R", c("l_returnflag") == "A"
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    per_order = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(
-            F.count(F.lit(1)).alias("items"),
-            F.sum(price).alias("cost"),
-            F.count_if(opioid).alias("opioid_items"),
-            F.sum(F.when(opioid, price)).alias("opioid_cents"),
-            F.count_if(antibiotic).alias("antibiotic_items"),
-            F.sum(F.when(antibiotic, price)).alias("antibiotic_cents"),
-            F.sum(c("l_quantity").cast("bigint")).alias("quantity"),
-            F.sum(F.rint(c("l_discount") * 100).cast("bigint")).alias("discount"),
-            F.count_if(c("l_linestatus") == "F").alias("female"),
-            F.count_if(c("l_linestatus") == "O").alias("male"),
-        )
-    )
-    joined = orders.join(per_order, c("o_orderkey") == c("l_orderkey"))
-    totals = [
-        "items", "cost", "opioid_items", "opioid_cents", "antibiotic_items",
-        "antibiotic_cents", "quantity", "discount", "female", "male",
-    ]
+    items = table(spark, sf_dir, "lineitem").selectExpr(*ITEM)
+    per_order = items.groupBy("l_orderkey").agg(*[F.expr(e).alias(n) for n, e in ORDER_TOTALS.items()])
+    joined = table(spark, sf_dir, "orders").join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.groupBy("o_custkey").agg(
-        *[F.sum(t).alias(t) for t in totals],
-        F.count(F.lit(1)).alias("orders"),
-        F.count_if(c("opioid_items") > 0).alias("opioid_orders"),
+        *[F.expr(f"sum({n})").alias(n) for n in ORDER_TOTALS],
+        F.expr("count(1)").alias("orders"),
+        F.expr("count_if(opioid_items > 0)").alias("opioid_orders"),
     )
 
 
+PRESCRIBER = {
+    "prescriber_id": "cast(c_custkey as string)",
+    "first_name": "split_part(c_name, '#', 1)",
+    "last_name": "split_part(c_name, '#', 2)",
+    "credentials": "case c_custkey % 3 when 0 then 'MD' when 1 then 'DO' end",
+    "provider_type": "c_mktsegment",
+    "state": "n_name",
+    "city": "concat('City ', c_custkey % 97)",
+    "zip": "lpad((c_custkey * 613 + 7) % 100000, 5, '0')",
+    "total_claims": "cast(coalesce(items, 0) as double)",
+    "total_drug_cost": "coalesce(cost, 0) / 100D",
+    "total_beneficiaries": "cast(coalesce(orders, 0) as double)",
+    "opioid_claims": "cast(coalesce(opioid_items, 0) as double)",
+    "opioid_cost": "coalesce(opioid_cents, 0) / 100D",
+    "opioid_beneficiaries": "cast(coalesce(opioid_orders, 0) as double)",
+    "opioid_rate": "100D * opioid_items / items",
+    "antibiotic_claims": "cast(coalesce(antibiotic_items, 0) as double)",
+    "antibiotic_cost": "coalesce(antibiotic_cents, 0) / 100D",
+    "avg_patient_age": "cast(items * 45 + quantity as double) / items",
+    "female_patients": "cast(coalesce(female, 0) as double)",
+    "male_patients": "cast(coalesce(male, 0) as double)",
+    "avg_risk_score": "cast(discount as double) / (items * 5)",
+}
+
+
 def raw_prescribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """21 raw columns; text and numbers may be null, as in a typed scan of the source file."""
     c = F.col
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    people = customers.join(nations, c("c_nationkey") == c("n_nationkey"))
+    people = table(spark, sf_dir, "customer").join(
+        table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey")
+    )
     joined = people.join(_claims(spark, sf_dir), c("c_custkey") == c("o_custkey"), "left")
+    return joined.selectExpr(*[f"{PRESCRIBER[clean]} as {raw}" for raw, clean in PRESCRIBER_COLUMNS.items()])
 
-    def number(column: str) -> Column:
-        return F.coalesce(c(column), F.lit(0)).cast("double")
-
-    def dollars(column: str) -> Column:
-        return F.coalesce(c(column), F.lit(0)) / F.lit(100.0)
-
-    items = c("items")
-    columns = {
-        "prescriber_id": c("c_custkey").cast("string"),
-        "first_name": F.split_part(c("c_name"), F.lit("#"), F.lit(1)),
-        "last_name": F.split_part(c("c_name"), F.lit("#"), F.lit(2)),
-        "credentials": F.when(c("c_custkey") % 3 == 0, "MD").when(c("c_custkey") % 3 == 1, "DO"),
-        "provider_type": c("c_mktsegment"),
-        "state": c("n_name"),
-        "city": F.concat(F.lit("City "), (c("c_custkey") % 97).cast("string")),
-        "zip": F.lpad(((c("c_custkey") * 613 + 7) % 100000).cast("string"), 5, "0"),
-        "total_claims": number("items"),
-        "total_drug_cost": dollars("cost"),
-        "total_beneficiaries": number("orders"),
-        "opioid_claims": number("opioid_items"),
-        "opioid_cost": dollars("opioid_cents"),
-        "opioid_beneficiaries": number("opioid_orders"),
-        "opioid_rate": F.when(items > 0, F.lit(100.0) * c("opioid_items") / items),
-        "antibiotic_claims": number("antibiotic_items"),
-        "antibiotic_cost": dollars("antibiotic_cents"),
-        "avg_patient_age": F.when(items > 0, (items * 45 + c("quantity")).cast("double") / items),
-        "female_patients": number("female"),
-        "male_patients": number("male"),
-        "avg_risk_score": F.when(items > 0, c("discount").cast("double") / (items * 5)),
-    }
-    return joined.select(*[columns[clean].alias(raw) for raw, clean in PRESCRIBER_COLUMNS.items()])
+
+def _untidy(column: str, shift: int) -> str:
+    """A number as text: by turns with a currency sign, an exponent, null, "None", a sign, a fraction,
+    two points, plain."""
+    text = f"floor({column})"
+    return f"""case (cast(PRSCRBR_NPI as bigint) + {shift}) % 8 when 0 then concat('$', {text})
+        when 1 then concat({text}, 'E2') when 2 then null when 3 then 'None' when 4 then concat('-', {text})
+        when 5 then concat({text}, '.5') when 6 then concat({text}, '.5.1') else cast({text} as string) end"""
 
 
 def raw_prescribers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw prescribers with their numbers as untidy text."""
-    key = F.col("PRSCRBR_NPI").cast("bigint")
-
-    def untidy(raw: str, shift: int) -> Column:
-        text = F.floor(F.col(raw)).cast("string")
-        kind = (key + shift) % 8
-        return (
-            F.when(kind == 0, F.concat(F.lit("$"), text))
-            .when(kind == 1, F.concat(text, F.lit("E2")))
-            .when(kind == 3, "None")
-            .when(kind == 4, F.concat(F.lit("-"), text))
-            .when(kind == 5, F.concat(text, F.lit(".5")))
-            .when(kind == 6, F.concat(text, F.lit(".5.1")))
-            .when(kind == 7, text)
-        )
-
-    raws = {clean: raw for raw, clean in PRESCRIBER_COLUMNS.items()}
-    return raw_prescribers(spark, sf_dir).withColumns(
-        {raws[c]: untidy(raws[c], i) for i, c in enumerate(PRESCRIBER_NUMERIC)}
-    )
-
-
-def amount_text() -> Column:
-    kind, value = F.col("event_id") % 8, F.col("value").cast("string")
-    return (
-        F.when(kind == 0, F.concat(F.lit("$"), value))
-        .when(kind == 1, F.concat(F.lit("USD "), value))
-        .when(kind == 3, "None")
-        .when(kind == 4, "n/a")
-        .when(kind == 5, F.concat(F.lit("-"), value))
-        .when(kind == 6, F.concat(F.lit("1,"), value))
-        .when(kind == 7, value)
-    )
-
-
-def zip_text() -> Column:
-    kind = F.col("event_id") % 4
-    digits = F.lpad(((F.col("user_id") * 613 + 7) % 100000).cast("string"), 5, "0")
-    return (
-        F.when(kind == 0, digits)
-        .when(kind == 1, F.concat(digits, F.lit("-1234")))
-        .when(kind == 2, "K1A 0B1")
-    )
-
-
-def key_text() -> Column:
-    kind = F.col("event_id") % 16
-    return F.when(kind == 0, "NA").when(kind != 1, F.col("user_id").cast("string"))
+    untidy = {
+        raw: _untidy(raw, PRESCRIBER_NUMERIC.index(clean)) if clean in PRESCRIBER_NUMERIC else raw
+        for raw, clean in PRESCRIBER_COLUMNS.items()
+    }
+    return raw_prescribers(spark, sf_dir).selectExpr(*[f"{e} as {raw}" for raw, e in untidy.items()])
+
+
+AMOUNT_TEXT = """case event_id % 8 when 0 then concat('$', value) when 1 then concat('USD ', value)
+    when 3 then 'None' when 4 then 'n/a' when 5 then concat('-', value) when 6 then concat('1,', value)
+    when 7 then cast(value as string) end"""
+ZIP_DIGITS = "lpad((user_id * 613 + 7) % 100000, 5, '0')"
+ZIP_TEXT = f"""case event_id % 4 when 0 then {ZIP_DIGITS} when 1 then concat({ZIP_DIGITS}, '-1234')
+    when 2 then 'K1A 0B1' end"""
+KEY_TEXT = "case when event_id % 16 = 0 then 'NA' when event_id % 16 <> 1 then cast(user_id as string) end"
+
+PAYMENT = {
+    "NPI": "cast(user_id as string)",
+    "First_Name": "'User'",
+    "Last_Name": "cast(user_id as string)",
+    "Specialty": "event_type",
+    "City": "concat('City ', user_id % 97)",
+    "State": "concat('NATION_', user_id % 25)",
+    "Zip": ZIP_TEXT,
+    "Payment_Amount": "value",
+    "Payment_Date": "cast(cast(ts as date) as string)",
+    "Payment_Form": "case event_id % 3 when 0 then 'Cash' when 1 then 'In-kind' else 'Stock' end",
+    "Payment_Nature": "event_type",
+    "Manufacturer": "concat('Maker ', event_id % 40)",
+    "Drug_or_Device": "case when event_id % 5 <> 0 then concat('Drug ', event_id % 200) end",
+    "Therapeutic_Area": "concat('Area ', event_id % 12)",
+    "Ownership": "if(event_id % 20 = 0, 'Yes', 'No')",
+    "Third_Party_Recipient": "if(event_id % 11 = 0, 'Entity', 'No Third Party Payment')",
+    "Charity": "if(event_id % 30 = 0, 'Yes', 'No')",
+    "Dispute_Status": "'No'",
+}
 
 
 def raw_payments(spark: SparkSession, sf_dir: str, untidy: bool = False) -> DataFrame:
     """18 raw columns; ``untidy`` gives amounts and recipient keys as they come in dirty text."""
-    c = F.col
-    event = c("event_id")
-    columns = {
-        "NPI": key_text() if untidy else c("user_id").cast("string"),
-        "First_Name": F.lit("User"),
-        "Last_Name": c("user_id").cast("string"),
-        "Specialty": c("event_type"),
-        "City": F.concat(F.lit("City "), (c("user_id") % 97).cast("string")),
-        "State": F.concat(F.lit("NATION_"), (c("user_id") % 25).cast("string")),
-        "Zip": zip_text(),
-        "Payment_Amount": amount_text() if untidy else c("value"),
-        "Payment_Date": c("ts").cast("date").cast("string"),
-        "Payment_Form": F.when(event % 3 == 0, "Cash").when(event % 3 == 1, "In-kind").otherwise("Stock"),
-        "Payment_Nature": c("event_type"),
-        "Manufacturer": F.concat(F.lit("Maker "), (event % 40).cast("string")),
-        "Drug_or_Device": F.when(event % 5 != 0, F.concat(F.lit("Drug "), (event % 200).cast("string"))),
-        "Therapeutic_Area": F.concat(F.lit("Area "), (event % 12).cast("string")),
-        "Ownership": F.when(event % 20 == 0, "Yes").otherwise("No"),
-        "Third_Party_Recipient": F.when(event % 11 == 0, "Entity").otherwise("No Third Party Payment"),
-        "Charity": F.when(event % 30 == 0, "Yes").otherwise("No"),
-        "Dispute_Status": F.lit("No"),
-    }
+    columns = PAYMENT | ({"NPI": KEY_TEXT, "Payment_Amount": AMOUNT_TEXT} if untidy else {})
     events = table(spark, sf_dir, "events")
-    return events.select(*[columns[clean].alias(raw) for raw, clean in PAYMENT_COLUMNS.items()])
+    return events.selectExpr(*[f"{columns[clean]} as {raw}" for raw, clean in PAYMENT_COLUMNS.items()])
 
 
 def prescribers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,12 +176,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def surrogate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A three-class label and a rule that imitates a model, for metrics that need no fit."""
-    c = F.col
-    return prescribers(spark, sf_dir).select(
+    return prescribers(spark, sf_dir).selectExpr(
         "prescriber_id",
         "provider_type",
         "state",
         "total_claims",
-        F.when(c("opioid_claims") > 25, 2).when(c("avg_patient_age") > 70, 1).otherwise(0).alias("fraud_label"),
-        F.when(c("total_claims") > 60, 2).when(c("avg_patient_age") > 71, 1).otherwise(0).alias("prediction"),
+        "case when opioid_claims > 25 then 2 when avg_patient_age > 70 then 1 else 0 end as fraud_label",
+        "case when total_claims > 60 then 2 when avg_patient_age > 71 then 1 else 0 end as prediction",
     )

@@ -145,22 +145,57 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, as (a, b, correlation) rows.
 
-    Each pair is computed once, all in one pass, over the rows where both are known.
+    A pair uses the rows where both are known. Rows are summed up per pattern of
+    known columns: one count, one sum per column and one per product, where a
+    ``corr`` per pair would keep six numbers each. The pairs are then put together
+    from those few rows. A column without spread has no correlation.
     """
     names = list(columns or numeric_columns(df))
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    totals = df.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for left, right in {(a, b), (b, a)}:
-            cells.append(
-                F.struct(
-                    F.lit(left).alias("column_a"),
-                    F.lit(right).alias("column_b"),
-                    F.col(f"p{i}").alias("correlation"),
-                )
-            )
-    return totals.select(F.inline(F.array(*cells)))
+    width = len(names)
+    order = range(width)
+    c = F.col
+    means = df.agg(F.struct(*[F.avg(name).alias(f"m{i}") for i, name in enumerate(names)])).scalar()
+    known = F.concat(*[F.when(c(name).isNotNull(), "1").otherwise("0") for name in names])
+    centred = (
+        df.select(*names)
+        .withColumns({"_known": known, "_mean": means})
+        .select(
+            "_known",
+            *[
+                F.coalesce(c(name).cast("double") - c(f"_mean.m{i}"), F.lit(0.0)).alias(f"x{i}")
+                for i, name in enumerate(names)
+            ],
+        )
+    )
+    sums = centred.groupBy("_known").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *[F.sum(f"x{i}").alias(f"s{i}") for i in order],
+        *[F.sum(c(f"x{i}") * c(f"x{j}")).alias(f"p{i}_{j}") for i in order for j in order if i <= j],
+    )
+    packed = sums.select(
+        "_known",
+        "n",
+        F.array(*[f"s{i}" for i in order]).alias("s"),
+        F.array(*[f"p{min(i, j)}_{max(i, j)}" for i in order for j in order]).alias("p"),
+        F.explode(F.sequence(F.lit(0), F.lit(width * width - 1))).alias("cell"),
+    ).withColumns({"i": F.floor(c("cell") / width).cast("int"), "j": c("cell") % width})
+    both = (F.substr("_known", c("i") + 1, F.lit(1)) == "1") & (F.substr("_known", c("j") + 1, F.lit(1)) == "1")
+    cells = {"n": c("n"), "sa": F.get("s", "i"), "sb": F.get("s", "j"), "ab": F.get("p", "cell")}
+    cells |= {"aa": F.get("p", c("i") * (width + 1)), "bb": F.get("p", c("j") * (width + 1))}
+    total = packed.groupBy("i", "j").agg(*[F.sum(F.when(both, v)).alias(k) for k, v in cells.items()])
+
+    def spread(s: str, q: str) -> Column:
+        """n² times the variance, or null where only rounding error is left of it."""
+        raw = c("n") * c(q)
+        return F.when(raw - c(s) * c(s) > raw * 1e-12, raw - c(s) * c(s))
+
+    labels = F.array(*[F.lit(name) for name in names])
+    together = c("n") * c("ab") - c("sa") * c("sb")
+    return total.select(
+        F.get(labels, "i").alias("column_a"),
+        F.get(labels, "j").alias("column_b"),
+        (together / F.sqrt(spread("sa", "aa") * spread("sb", "bb"))).alias("correlation"),
+    )
 
 
 def top_values(
