@@ -14,6 +14,7 @@ import time
 
 from riskloom.catalog.queries import QUERIES
 from riskloom.session import build_session
+from riskloom.sources.staging import drop_stages
 
 HEADLINE = [
     "scan_payments", "clean_payments", "guard_numeric", "audit_residual_chars", "validate_ranges",
@@ -47,6 +48,7 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - start, 3)
+        drop_stages(spark)
         spark.stop()
     print(
         json.dumps(

@@ -1,6 +1,6 @@
 """The queries restated in SQL over the given tables, as an independent check of their results.
 
-Random splits and samples, Spark's own hash and fitted models have no SQL form.
+Random splits and samples and fitted models have no SQL form.
 """
 
 from __future__ import annotations
@@ -382,6 +382,40 @@ _DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 _STORED = "(select * exclude (fraud_label) from surrogate where total_claims > 0)"
 
+# MurmurHash3 (32 bit) of a non-negative bigint in unsigned arithmetic, one step per subquery.
+_TWO_32 = 2**32
+
+
+def _times(a: str, factor: int) -> str:
+    return f"({a} * {factor}) % {_TWO_32}"
+
+
+def _rotated(a: str, bits: int) -> str:
+    return f"({a} * {2**bits}) % {_TWO_32} + {a} // {2 ** (32 - bits)}"
+
+
+def _murmur_steps(key: str, source: str, seed: int = 42) -> list[str]:
+    steps = [("low", f"cast({key} as ubigint) % {_TWO_32}"), ("high", f"cast({key} as ubigint) // {_TWO_32}")]
+    state = f"cast({seed} as ubigint)"
+    for word in ("low", "high"):
+        steps.append((f"{word}1", _times(word, 0xCC9E2D51)))
+        steps.append((f"{word}2", _rotated(f"{word}1", 15)))
+        steps.append((f"{word}3", f"xor({state}, {_times(f'{word}2', 0x1B873593)})"))
+        steps.append((f"{word}4", _rotated(f"{word}3", 13)))
+        steps.append((f"{word}5", f"({word}4 * 5 + {0xE6546B64}) % {_TWO_32}"))
+        state = f"{word}5"
+    steps += [("f1", f"xor({state}, cast(8 as ubigint))"), ("f2", "xor(f1, f1 // 65536)")]
+    steps += [("f3", _times("f2", 0x85EBCA6B)), ("f4", "xor(f3, f3 // 8192)")]
+    steps += [("f5", _times("f4", 0xC2B2AE35)), ("hashed", "xor(f5, f5 // 65536)")]
+    parts, previous = [], source
+    for i, (name, expression) in enumerate(steps):
+        parts.append(f"h{i} as (select *, {expression} as {name} from {previous})")
+        previous = f"h{i}"
+    return [*parts, f"hashed as (select * from {previous})"]
+
+
+_SIGNED = f"(case when hashed >= {2**31} then cast(hashed as bigint) - {_TWO_32} else cast(hashed as bigint) end)"
+
 ORACLES: dict[str, str] = {
     "scan_prescribers": _with([CLAIMS, RAW], "select * from raw"),
     "scan_payments": _with([RAW_PAYMENTS], "select * from raw_payments"),
@@ -559,6 +593,10 @@ ORACLES: dict[str, str] = {
     "resample_hash": _with([*_SURROGATE, _PLAN], _RESAMPLED),
     "sha_bucket": f"select c_custkey, {_bucket('c_custkey')} as bucket from customer",
     "split_sha": _with(_PEOPLE, f"select prescriber_id, {_HOLDOUT} as is_holdout from prescribers"),
+    "split_murmur": _with(
+        [*_PEOPLE, *_murmur_steps("prescriber_id", "prescribers")],
+        f"select prescriber_id, (({_SIGNED} % 10000) + 10000) % 10000 >= 8000 as is_holdout from hashed",
+    ),
     "standardize": _with(_PEOPLE, _STANDARDIZED),
     "label_encode": _with(
         _SCORED,

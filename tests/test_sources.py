@@ -83,6 +83,19 @@ def test_stage_reads_back_the_same_rows_from_the_shared_folder(spark):
     assert all(staging.staging_root(spark) in f for f in staged.inputFiles())
 
 
+def test_dropping_stages_leaves_other_files_alone(spark):
+    context = spark.sparkContext
+    other_app = SimpleNamespace(
+        conf=spark.conf, sparkContext=SimpleNamespace(applicationId="app-2", _jvm=context._jvm, _jsc=context._jsc)
+    )
+    mine = staging.stage(spark.range(3), "mine")
+    theirs = sinks.write_table(spark.range(3), staging.new_path(other_app, "theirs"))
+    staging.drop_stages(other_app)
+    assert mine.count() == 3
+    with pytest.raises(readers.MissingInput):
+        readers.scan_parquet(spark, theirs)
+
+
 def _session(master, folder=None):
     made = []
     context = SimpleNamespace(
