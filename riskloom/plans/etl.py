@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.operators import features as feat
@@ -40,8 +42,10 @@ def run_etl(
 ) -> dict[str, DataFrame]:
     """The whole job, each stage a Parquet table under ``folder`` that the next one reads.
 
-    A lost executor costs the running stage at most. Tables keyed by prescriber
-    are written in key order, which gives later reads narrow min/max ranges.
+    A lost executor costs the running stages at most. Tables keyed by prescriber
+    are written in key order, which gives later reads narrow min/max ranges. The
+    two raw tables are cleaned side by side, and the payment-level merge, by far
+    the largest table, is written while the prescriber tables are.
     """
     tables: dict[str, DataFrame] = {}
 
@@ -50,14 +54,17 @@ def run_etl(
         tables[name] = scan_parquet(spark, path, df.schema, name)
         return tables[name]
 
-    prescribers = keep("clean_prescribers", clean_prescribers(raw_prescribers))
-    payments = keep("clean_payments", clean_payments(raw_payments))
-    summary = keep("payment_summary", joining.payment_summary(payments))
-    level = keep("prescriber_level", joining.prescriber_level(prescribers, summary), "prescriber_id")
-    keep("payment_level", joining.payment_level(payments, prescribers))
-    peers = keep("peer_average", feat.peer_average(level))
-    enriched = keep(
-        "prescriber_level_enriched", feat.add_peer_deviation(feat.add_features(level, thresholds), peers)
-    )
-    keep("scored_prescribers", score(enriched, thresholds), "prescriber_id")
+    with ThreadPoolExecutor(max_workers=2) as side:
+        cleaning = side.submit(keep, "clean_prescribers", clean_prescribers(raw_prescribers))
+        payments = keep("clean_payments", clean_payments(raw_payments))
+        prescribers = cleaning.result()
+        merging = side.submit(keep, "payment_level", joining.payment_level(payments, prescribers))
+
+        summary = keep("payment_summary", joining.payment_summary(payments))
+        level = keep("prescriber_level", joining.prescriber_level(prescribers, summary), "prescriber_id")
+        peers = keep("peer_average", feat.peer_average(level))
+        compared = feat.add_peer_deviation(feat.add_features(level, thresholds), peers)
+        enriched = keep("prescriber_level_enriched", compared)
+        keep("scored_prescribers", score(enriched, thresholds), "prescriber_id")
+        merging.result()
     return tables
