@@ -258,7 +258,7 @@ def _per_column(columns, select) -> str:
 
 def _stats(c: str) -> str:
     return (
-        f'round(avg(cast("{c}" as double)), 6) as mean, round(stddev_samp(cast("{c}" as double)), 6) as stddev, '
+        f'round(avg(cast("{c}" as double)), 4) as mean, round(stddev_samp(cast("{c}" as double)), 4) as stddev, '
         f'cast(min("{c}") as double) as min, cast(max("{c}") as double) as max'
     )
 

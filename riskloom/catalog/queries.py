@@ -297,7 +297,7 @@ def missing_values(spark, sf_dir):
 
 
 def summary_stats(spark, sf_dir):
-    digits = {"mean": 6, "stddev": 6}
+    digits = {"mean": 4, "stddev": 4}
     return _rounded(profiling.summary_stats(payment_level(spark, sf_dir)), digits)
 
 
@@ -306,7 +306,7 @@ def distinct_counts(spark, sf_dir):
 
 
 def profile_columns(spark, sf_dir):
-    return _rounded(profiling.profile_columns(_merged(spark, sf_dir)), {"mean": 6, "stddev": 6})
+    return _rounded(profiling.profile_columns(_merged(spark, sf_dir)), {"mean": 4, "stddev": 4})
 
 
 def amount_stats(spark, sf_dir):
