@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 from riskloom.learning.dataset import LABEL, assembler
 from riskloom.schemas import MODEL_FEATURES
 
+# The published model parameters and search grids.
 SEED = 42
+GBT = {"max_iter": 50, "max_depth": 6, "step_size": 0.1}
+SCALED_GBT = {"max_iter": 100, "max_depth": 4, "step_size": 0.1}
+FOREST = {"num_trees": 100, "max_depth": 8}
+GBT_GRID = {"max_iters": (30,), "max_depths": (4, 6), "step_sizes": (0.1,)}
+FOREST_GRID = {"num_trees": (30, 50), "max_depths": (6, 10), "subsets": ("auto",)}
 
 
 def gbt_stages(
     features: Sequence[str] = MODEL_FEATURES,
-    max_iter: int = 50,
-    max_depth: int = 6,
-    step_size: float = 0.1,
+    max_iter: int = GBT["max_iter"],
+    max_depth: int = GBT["max_depth"],
+    step_size: float = GBT["step_size"],
     seed: int = SEED,
     scaled: bool = False,
 ) -> tuple[Pipeline, GBTClassifier]:
@@ -39,7 +45,10 @@ def gbt_stages(
 
 
 def forest_stages(
-    features: Sequence[str] = MODEL_FEATURES, num_trees: int = 100, max_depth: int = 8, seed: int = SEED
+    features: Sequence[str] = MODEL_FEATURES,
+    num_trees: int = FOREST["num_trees"],
+    max_depth: int = FOREST["max_depth"],
+    seed: int = SEED,
 ) -> tuple[Pipeline, RandomForestClassifier]:
     forest = RandomForestClassifier(
         labelCol=LABEL, featuresCol="features", numTrees=num_trees, maxDepth=max_depth, seed=seed
@@ -61,12 +70,10 @@ def train_forest(train: DataFrame, features: Sequence[str] = MODEL_FEATURES, **p
     return forest_stages(features, **params)[0].fit(train)
 
 
-def train_gbt_scaled(
-    train: DataFrame, features: Sequence[str] = MODEL_FEATURES, max_iter: int = 100, max_depth: int = 4, **params
-) -> PipelineModel:
+def train_gbt_scaled(train: DataFrame, features: Sequence[str] = MODEL_FEATURES, **params) -> PipelineModel:
     """Boosted trees on standardised features, fitted on every training row."""
     require_two_classes(train)
-    return train_gbt(train, features, max_iter=max_iter, max_depth=max_depth, scaled=True, **params)
+    return train_gbt(train, features, scaled=True, **(SCALED_GBT | params))
 
 
 def _search(pipeline: Pipeline, grid: ParamGridBuilder, train: DataFrame, seed: int, parallelism: int):
@@ -85,9 +92,9 @@ def _search(pipeline: Pipeline, grid: ParamGridBuilder, train: DataFrame, seed:
 def tune_gbt(
     train: DataFrame,
     features: Sequence[str] = MODEL_FEATURES,
-    max_iters: Sequence[int] = (30,),
-    max_depths: Sequence[int] = (4, 6),
-    step_sizes: Sequence[float] = (0.1,),
+    max_iters: Sequence[int] = GBT_GRID["max_iters"],
+    max_depths: Sequence[int] = GBT_GRID["max_depths"],
+    step_sizes: Sequence[float] = GBT_GRID["step_sizes"],
     seed: int = SEED,
     parallelism: int = 2,
 ) -> TrainValidationSplitModel:
@@ -104,9 +111,9 @@ def tune_gbt(
 def tune_forest(
     train: DataFrame,
     features: Sequence[str] = MODEL_FEATURES,
-    num_trees: Sequence[int] = (30, 50),
-    max_depths: Sequence[int] = (6, 10),
-    subsets: Sequence[str] = ("auto",),
+    num_trees: Sequence[int] = FOREST_GRID["num_trees"],
+    max_depths: Sequence[int] = FOREST_GRID["max_depths"],
+    subsets: Sequence[str] = FOREST_GRID["subsets"],
     seed: int = SEED,
     parallelism: int = 2,
 ) -> TrainValidationSplitModel:

@@ -20,26 +20,31 @@ class MissingColumns(ValueError):
     """An input table lacks columns the stage needs."""
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType, stage: str = "scan") -> DataFrame:
+def scan_csv(
+    spark: SparkSession, path: str, schema: T.StructType, stage: str = "scan", **options: str
+) -> DataFrame:
     """The columns of ``schema``, by name, from a CSV table that may hold many others.
 
     Only the header line is read to place the columns; types come from ``schema``,
     so there is no inference pass over the data, and the parser skips the columns
     that are not asked for. A value that does not fit its type reads as null.
+    ``options`` are reader options, such as ``escape`` for files that double quotes.
     """
-    options = spark.read.option("header", True).option("enforceSchema", False)
-    header = _opened(lambda: options.csv(path), path, stage).columns
+    reader = spark.read.option("header", True).option("enforceSchema", False).options(**options)
+    header = _opened(lambda: reader.csv(path), path, stage).columns
     wanted = {f.name: f for f in schema.fields}
     absent = [name for name in wanted if name not in header]
     if absent:
         raise MissingColumns(f"{stage} requires columns: {', '.join(absent)}")
     file_schema = T.StructType([wanted.get(name, T.StructField(name, T.StringType())) for name in header])
-    return options.schema(file_schema).csv(path).select(*wanted)
+    return reader.schema(file_schema).csv(path).select(*wanted)
 
 
-def scan_csv_text(spark: SparkSession, path: str, columns: Sequence[str], stage: str = "scan") -> DataFrame:
+def scan_csv_text(
+    spark: SparkSession, path: str, columns: Sequence[str], stage: str = "scan", **options: str
+) -> DataFrame:
     """CSV scan that keeps every value as text."""
-    return scan_csv(spark, path, text_schema(list(columns)), stage)
+    return scan_csv(spark, path, text_schema(list(columns)), stage, **options)
 
 
 def scan_parquet(

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import joining
+from riskloom.operators import features, joining
 from riskloom.schemas import PAYMENT_COLUMNS
 from riskloom.sources.readers import MissingColumns
 from riskloom.sources.staging import stage
@@ -40,14 +40,9 @@ def test_payment_level_keeps_payments_with_numeric_keys(spark):
     assert not {"first_name", "city", "_npi", "_id"} & set(merged.columns)
 
 
-def test_hot_recipient_is_split_when_nothing_can_be_broadcast(spark):
-    """A third of all payments go to one recipient; the sort-merge join must cut that partition up."""
-    rows = spark.range(0, 600_000, 1, 24).select(
-        F.when(F.col("id") % 3 == 0, "7").otherwise((F.col("id") % 50_000).cast("string")).alias("NPI"),
-        (F.col("id") % 100).cast("double").alias("Payment_Amount"),
-        F.sha2(F.col("id").cast("string"), 256).alias("filler"),
-    )
-    people = stage(spark.range(50_000).select(F.col("id").alias("prescriber_id"), F.lit("t").alias("provider_type")), "p")
+@pytest.fixture
+def no_broadcast(spark):
+    """Nothing may be broadcast, and partitions count as skewed at the size of these tests."""
     changed = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -58,15 +53,50 @@ def test_hot_recipient_is_split_when_nothing_can_be_broadcast(spark):
     before = {k: spark.conf.get(k, None) for k in changed}
     for key, value in changed.items():
         spark.conf.set(key, value)
-    try:
-        merged = joining.payment_level(rows, people)
-        counted = merged.groupBy("provider_type").agg(F.count("NPI"), F.max("filler"))
-        assert {r[0]: r[1] for r in counted.collect()} == {"t": 600_000}
-        plan = counted._jdf.queryExecution().executedPlan().toString()
-        assert "skew=true" in plan
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+ROWS = 600_000
+
+
+def hot_rows(spark, hot, other, **columns):
+    """A third of the rows share one key."""
+    key = F.when(F.col("id") % 3 == 0, hot).otherwise(other)
+    filler = F.sha2(F.col("id").cast("string"), 256)
+    return spark.range(0, ROWS, 1, 24).select(key.alias("key"), filler.alias("filler"), *[v.alias(k) for k, v in columns.items()])
+
+
+def check_split(joined, expected):
+    counted = joined.agg(F.count(F.lit(1)), F.count("filler"), F.max("filler"), *expected)
+    row = counted.collect()[0]
+    assert row[0] == row[1] == ROWS
+    assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    return tuple(row)[3:]
+
+
+def test_hot_recipient_is_split(spark, no_broadcast):
+    other = (F.col("id") % 50_000).cast("string")
+    rows = hot_rows(spark, F.lit("7"), other, Payment_Amount=F.lit(1.0)).withColumnRenamed("key", "NPI")
+    people = spark.range(50_000).select(F.col("id").alias("prescriber_id"), F.lit("t").alias("provider_type"))
+    merged = joining.payment_level(rows, stage(people, "people"))
+    assert check_split(merged, [F.count("provider_type")]) == (ROWS,)
+
+
+def test_prescribers_without_an_identifier_are_split(spark, no_broadcast):
+    people = hot_rows(spark, F.lit(None).cast("bigint"), F.col("id")).withColumnRenamed("key", "prescriber_id")
+    paid = spark.range(0, ROWS, 2).select(F.col("id").cast("string").alias("NPI"), F.lit(2.5).alias("Payment_Amount"))
+    level = joining.prescriber_level(people, stage(joining.payment_summary(paid), "summary"))
+    paid_once = ROWS // 2 - ROWS // 6  # even identifiers that are not multiples of three
+    assert check_split(level, [F.sum("num_payments"), F.sum("total_payment_amount")]) == (paid_once, 2.5 * paid_once)
+
+
+def test_hot_peer_group_is_split(spark, no_broadcast):
+    group = F.concat(F.lit("g"), (F.col("id") % 5_000).cast("string"))
+    level = hot_rows(spark, F.lit("big"), group, avg_payment_amount=F.lit(4.0)).withColumnRenamed("key", "provider_type")
+    compared = features.add_peer_deviation(level, stage(features.peer_average(level), "peers"))
+    assert check_split(compared, [F.sum("peer_deviation_score")]) == (float(ROWS),)
 
 
 def test_join_predictions_suffixes_and_decodes(spark):

@@ -97,6 +97,8 @@ def test_boosted_trees(split):
     check_probabilities(scoring.probability_table(scaled, holdout), holdout.count())
     gbt = training.gbt_stages()[1]
     assert (gbt.getMaxIter(), gbt.getMaxDepth(), gbt.getStepSize(), gbt.getSeed()) == (50, 6, 0.1, 42)
+    forest = training.forest_stages()[1]
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getSeed()) == (100, 8, 42)
 
 
 def test_tuning_tries_every_point(split):

@@ -40,6 +40,12 @@ def test_text_scan_keeps_text(spark, tmp_path):
     assert tuple(readers.scan_csv_text(spark, str(path), ["b", "a"]).first()) == ("1.50", "007")
 
 
+def test_reader_options_are_passed_on(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('a,b\n"said ""x"", left",1\n')
+    assert readers.scan_csv_text(spark, str(path), ["a"], escape='"').first()[0] == 'said "x", left'
+
+
 def test_align_to_schema(spark):
     df = spark.createDataFrame([(5, "3.5", 1)], "prescriber_id int, total_claims string, other int")
     out = readers.align_to_schema(df, SCORING_RECORD)
