@@ -110,12 +110,9 @@ def amount_stats(df: DataFrame, column: str) -> DataFrame:
 
 def outliers_3sigma(df: DataFrame, column: str) -> DataFrame:
     """Rows more than three sample standard deviations from the mean."""
-    stats = df.agg(
-        F.struct(F.avg(column).alias("mean"), F.stddev_samp(column).alias("stddev"))
-    ).scalar()
-    spread = 3 * stats["stddev"]
-    value = F.col(column)
-    return df.filter((value > stats["mean"] + spread) | (value < stats["mean"] - spread))
+    mean, spread = F.avg(column), 3 * F.stddev_samp(column)
+    limits = df.agg(F.struct((mean - spread).alias("low"), (mean + spread).alias("high"))).scalar()
+    return df.filter((F.col(column) > limits["high"]) | (F.col(column) < limits["low"]))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -131,15 +128,13 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Rows per equal-width bin over all rows; the maximum falls into the last bin."""
     limits = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
-    value = F.col(column).cast("double")
-    width = limits["high"] - limits["low"]
-    position = F.when(width > 0, F.floor((value - limits["low"]) / width * bins)).otherwise(0)
-    return (
-        df.filter(F.col(column).isNotNull())
-        .select(F.least(position, F.lit(bins - 1)).cast("int").alias("bin"))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+    values = df.filter(F.col(column).isNotNull()).select(
+        F.col(column).cast("double").alias("value"), limits.alias("limits")
     )
+    above, width = F.col("value") - F.col("limits.low"), F.col("limits.high") - F.col("limits.low")
+    position = F.when(width > 0, F.floor(above / width * bins)).otherwise(0)
+    binned = values.select(F.least(position, F.lit(bins - 1)).cast("int").alias("bin"))
+    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -102,7 +102,7 @@ def standardize(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame) ->
     ).scalar()
 
     def scaled(c: str):
-        centred = F.col(c) - stats[f"{c}_mean"]
-        return F.when(stats[f"{c}_sd"] > 0, centred / stats[f"{c}_sd"]).otherwise(centred)
+        centred, sd = F.col(c) - F.col(f"_fit.{c}_mean"), F.col(f"_fit.{c}_sd")
+        return F.when(sd > 0, centred / sd).otherwise(centred)
 
-    return df.withColumns({c: scaled(c) for c in columns})
+    return df.withColumn("_fit", stats).withColumns({c: scaled(c) for c in columns}).drop("_fit")

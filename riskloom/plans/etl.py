@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,72 @@ def score_prescribers(
     return score(enrich(prescriber_table(prescribers, payments), thresholds), thresholds)
 
 
+# --- the same job in stages, each leaving Parquet tables that the next one reads -------------
+
+
+def _path(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/{name}"
+
+
+def _read(spark: SparkSession, folder: str, name: str, stage_name: str) -> DataFrame:
+    return scan_parquet(spark, _path(folder, name), stage=stage_name)
+
+
+def _side_by_side(*jobs: Callable[[], object]) -> None:
+    """Run independent jobs together, so that one's last tasks do not leave the cluster idle."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        for running in [pool.submit(job) for job in jobs]:
+            running.result()
+
+
+def clean_stage(raw_prescribers: DataFrame, raw_payments: DataFrame, folder: str) -> None:
+    _side_by_side(
+        lambda: write_table(clean_prescribers(raw_prescribers), _path(folder, "clean_prescribers")),
+        lambda: write_table(clean_payments(raw_payments), _path(folder, "clean_payments")),
+    )
+
+
+def aggregate_stage(spark: SparkSession, folder: str) -> None:
+    """Prescriber level and payment level; the merge, by far the largest table, is written alongside."""
+    prescribers = _read(spark, folder, "clean_prescribers", "aggregate")
+    payments = _read(spark, folder, "clean_payments", "aggregate")
+
+    def levels() -> None:
+        write_table(joining.payment_summary(payments), _path(folder, "payment_summary"))
+        summary = _read(spark, folder, "payment_summary", "aggregate")
+        level = joining.prescriber_level(prescribers, summary)
+        write_table(level, _path(folder, "prescriber_level"), "prescriber_id")
+
+    _side_by_side(
+        levels, lambda: write_table(joining.payment_level(payments, prescribers), _path(folder, "payment_level"))
+    )
+
+
+def feature_stage(spark: SparkSession, folder: str, thresholds: RiskThresholds = RiskThresholds()) -> None:
+    level = _read(spark, folder, "prescriber_level", "features")
+    write_table(feat.peer_average(level), _path(folder, "peer_average"))
+    peers = _read(spark, folder, "peer_average", "features")
+    enriched = feat.add_peer_deviation(feat.add_features(level, thresholds), peers)
+    write_table(enriched, _path(folder, "prescriber_level_enriched"))
+
+
+def score_stage(spark: SparkSession, folder: str, thresholds: RiskThresholds = RiskThresholds()) -> None:
+    enriched = _read(spark, folder, "prescriber_level_enriched", "score")
+    write_table(score(enriched, thresholds), _path(folder, "scored_prescribers"), "prescriber_id")
+
+
+TABLES = [
+    "clean_prescribers",
+    "clean_payments",
+    "payment_summary",
+    "prescriber_level",
+    "payment_level",
+    "peer_average",
+    "prescriber_level_enriched",
+    "scored_prescribers",
+]
+
+
 def run_etl(
     spark: SparkSession,
     raw_prescribers: DataFrame,
@@ -40,31 +107,14 @@ def run_etl(
     folder: str,
     thresholds: RiskThresholds = RiskThresholds(),
 ) -> dict[str, DataFrame]:
-    """The whole job, each stage a Parquet table under ``folder`` that the next one reads.
+    """All four stages; returns the tables.
 
-    A lost executor costs the running stages at most. Tables keyed by prescriber
-    are written in key order, which gives later reads narrow min/max ranges. The
-    two raw tables are cleaned side by side, and the payment-level merge, by far
-    the largest table, is written while the prescriber tables are.
+    A failed run can go on from its last complete stage, and a lost executor costs
+    the running stage at most. Tables keyed by prescriber are written in key order,
+    which gives later reads narrow min/max ranges.
     """
-    tables: dict[str, DataFrame] = {}
-
-    def keep(name: str, df: DataFrame, order_by: str | None = None) -> DataFrame:
-        path = write_table(df, f"{folder.rstrip('/')}/{name}", order_by)
-        tables[name] = scan_parquet(spark, path, df.schema, name)
-        return tables[name]
-
-    with ThreadPoolExecutor(max_workers=2) as side:
-        cleaning = side.submit(keep, "clean_prescribers", clean_prescribers(raw_prescribers))
-        payments = keep("clean_payments", clean_payments(raw_payments))
-        prescribers = cleaning.result()
-        merging = side.submit(keep, "payment_level", joining.payment_level(payments, prescribers))
-
-        summary = keep("payment_summary", joining.payment_summary(payments))
-        level = keep("prescriber_level", joining.prescriber_level(prescribers, summary), "prescriber_id")
-        peers = keep("peer_average", feat.peer_average(level))
-        compared = feat.add_peer_deviation(feat.add_features(level, thresholds), peers)
-        enriched = keep("prescriber_level_enriched", compared)
-        keep("scored_prescribers", score(enriched, thresholds), "prescriber_id")
-        merging.result()
-    return tables
+    clean_stage(raw_prescribers, raw_payments, folder)
+    aggregate_stage(spark, folder)
+    feature_stage(spark, folder, thresholds)
+    score_stage(spark, folder, thresholds)
+    return {name: _read(spark, folder, name, "etl") for name in TABLES}

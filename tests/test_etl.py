@@ -1,7 +1,11 @@
+import pytest
+
 from riskloom.catalog import tables
 from riskloom.operators.cleaning import clean_payments, clean_prescribers
+from riskloom.plans import etl
 from riskloom.plans.etl import run_etl, score_prescribers
 from riskloom.schemas import PRESCRIBER_COLUMNS
+from riskloom.sources.readers import MissingInput
 
 
 def test_stages_write_tables_of_the_right_shape(spark, sf_dir, tmp_path):
@@ -32,6 +36,26 @@ def test_stages_write_tables_of_the_right_shape(spark, sf_dir, tmp_path):
     assert same.exceptAll(scored).isEmpty() and scored.exceptAll(same).isEmpty()
 
 
+def test_a_stage_names_its_missing_input(spark, tmp_path):
+    for stage, message in [
+        (etl.aggregate_stage, "aggregate requires input table: .*clean_prescribers"),
+        (etl.feature_stage, "features requires input table: .*prescriber_level"),
+        (etl.score_stage, "score requires input table: .*prescriber_level_enriched"),
+    ]:
+        with pytest.raises(MissingInput, match=message):
+            stage(spark, str(tmp_path))
+
+
+def test_stages_can_be_run_again(spark, sf_dir, tmp_path):
+    folder = str(tmp_path)
+    etl.run_etl(spark, tables.raw_prescribers(spark, sf_dir), tables.raw_payments(spark, sf_dir), folder)
+    calm = spark.read.parquet(f"{folder}/scored_prescribers").filter("fraud_risk_category = 'High'").count()
+    etl.feature_stage(spark, folder, tables.THRESHOLDS)
+    etl.score_stage(spark, folder, tables.THRESHOLDS)
+    strict = spark.read.parquet(f"{folder}/scored_prescribers").filter("fraud_risk_category = 'High'").count()
+    assert strict > calm
+
+
 def test_known_tiers(spark):
     scored = tables.scored(spark, "/root/testdata/sf0.01")
     counts = {r[0]: r[1] for r in scored.groupBy("fraud_risk_category").count().collect()}
