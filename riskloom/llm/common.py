@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +26,22 @@ def split_words(text: Column) -> Column:
     return F.filter(parts, lambda word: word != "")
 
 
-def shingles(words: Column, size: int) -> Column:
-    """Windows of ``size`` words joined by one space; a shorter, nonempty text is one shingle by itself."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(windows)
+def shingles(words: str, size: int) -> Column:
+    """Windows of ``size`` words joined by one space; a shorter, nonempty text is one shingle by itself.
+
+    ``words`` names a column that the frame already has. An expression would be worked out
+    again for every window, as it would stand inside the function over windows.
+    """
+    return _windows(words, size, lambda window: F.array_join(window, " "), "string")
 
 
-def shingle_hashes(words: Column, size: int) -> Column:
+def shingle_hashes(words: str, size: int) -> Column:
     """``xxhash64`` of each of the same windows."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
-    windows = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))
-    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(windows)
+    return _windows(words, size, F.xxhash64, "bigint")
+
+
+def _windows(words: str, size: int, made: Callable[[Column], Column], kind: str) -> Column:
+    count = F.size(F.col(words))
+    starts = F.sequence(F.lit(1), F.greatest(count - (size - 1), F.lit(1)))
+    windows = F.transform(starts, lambda i: made(F.slice(F.col(words), i, size)))
+    return F.when(count == 0, F.array().cast(f"array<{kind}>")).otherwise(windows)

@@ -39,16 +39,18 @@ def _needed(n: Column, containment: float) -> Column:
 
 def item_sketches(items: DataFrame, size: int, containment: float) -> DataFrame:
     """item_id, n, needed, size_class, hash: the least hashes of every item that has shingles."""
-    words = split_words(F.lower("text"))
-    hashed = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(words, size))).alias("hashes"))
-    sized = hashed.withColumn("n", F.size("hashes")).where("n > 0").withColumn("needed", _needed(F.col("n"), containment))
+    items = items.select("item_id", split_words(F.lower("text")).alias("words"))
+    hashed = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes("words", size))).alias("hashes"))
+    sized = hashed.withColumn("n", F.size("hashes")).withColumn("needed", _needed(F.col("n"), containment))
     least = F.slice("hashes", F.lit(1), F.col("n") - F.col("needed") + 1)
-    return sized.select("item_id", "n", "needed", _size_class(F.col("n")).alias("size_class"), F.explode(least).alias("hash"))
+    sketches = sized.select("item_id", "n", "needed", _size_class(F.col("n")).alias("size_class"), F.explode_outer(least).alias("hash"))
+    return sketches.where("hash is not null")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE_WORDS, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles of every document that holds ``containment`` of an item's shingles."""
-    docs = only(docs, doc_id="bigint", text="string").withColumn("lowered", F.lower("text"))
+    docs = only(docs, doc_id="bigint", text="string")
+    worded = docs.select("doc_id", split_words(F.lower("text")).alias("words"))
     items = only(items, item_id="bigint", text="string")
     sketches = stage(item_sketches(items, size, containment), "sketches")
     # One row per power of two: the documents' lookup is bounded by these.
@@ -57,19 +59,19 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE_WORDS
         return docs.join(items, F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("n_shared"), F.lit(0).alias("n_shingles"))
     limits = F.array(*[F.struct(F.lit(c["needed"]).alias("needed"), F.lit(c["most"]).alias("most")) for c in classes])
 
-    hashes = shingle_hashes(split_words(F.col("lowered")), size)
-    sized = docs.select("doc_id", hashes.alias("hashes"))
-    most = F.array_max(F.transform(F.filter(limits, lambda c: c["needed"] <= F.size("hashes")), lambda c: c["most"]))
-    looked = sized.withColumn("most", most).where(F.col("most").isNotNull())
-    looked = looked.select("doc_id", F.explode(F.filter("hashes", lambda h: h <= F.col("most"))).alias("hash"))
+    sized = worded.select("doc_id", shingle_hashes("words", size).alias("hashes")).withColumn("n", F.size("hashes"))
+    most = F.array_max(F.transform(F.filter(limits, lambda c: c["needed"] <= F.col("n")), lambda c: c["most"]))
+    # An outer explode, and the limit compared after it: else the planner puts a filter on the array, or the limit,
+    # where the words of a text are worked out again for each of its shingles.
+    looked = sized.select("doc_id", most.alias("most"), F.explode_outer("hashes").alias("hash")).where("hash <= most")
     # The probing side is never shuffled when the sketches are small; else both are, by hash.
     candidates = stage(looked.join(sketches.select("hash", "item_id"), "hash").select("doc_id", "item_id").distinct(), "candidates")
 
-    own = shingles(split_words(F.lower("text")), size)
-    wanted = items.select("item_id", F.array_distinct(own).alias("item_shingles")).dropDuplicates(["item_id", "item_shingles"])
+    wanted = items.select("item_id", split_words(F.lower("text")).alias("words"))
+    wanted = wanted.select("item_id", F.array_distinct(shingles("words", size)).alias("item_shingles")).distinct()
     pairs = candidates.join(wanted, "item_id")
-    texts = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    held = texts.select("doc_id", F.array_distinct(shingles(split_words(F.col("lowered")), size)).alias("held"))
+    held = worded.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = held.select("doc_id", F.array_distinct(shingles("words", size)).alias("held"))
     verified = pairs.join(held, "doc_id").select(
         "doc_id", "item_id", F.size("item_shingles").alias("n_shingles"),
         F.size(F.array_intersect("item_shingles", "held")).alias("n_shared"),
