@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from riskloom.llm.decontamination import OP10_SQL, op10_minhash_containment
 from riskloom.llm.mixing import op9_soft_mixing
+from riskloom.llm.quality import op6_suffix_repetition
 from riskloom.llm.secrets import op5_blob_ledger_secrets
 from riskloom.llm.sharding import OP3_SQL, op3_rendezvous_sharding
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_rendezvous_sharding, op5_blob_ledger_secrets, op9_soft_mixing, op10_minhash_containment)
+    for f in (
+        op3_rendezvous_sharding,
+        op5_blob_ledger_secrets,
+        op6_suffix_repetition,
+        op9_soft_mixing,
+        op10_minhash_containment,
+    )
 }
 ORACLES = {"op3_rendezvous_sharding": OP3_SQL, "op10_minhash_containment": OP10_SQL}
