@@ -5,6 +5,7 @@ from __future__ import annotations
 from riskloom.llm.decontamination import OP10_SQL, op10_minhash_containment
 from riskloom.llm.mixing import op9_soft_mixing
 from riskloom.llm.ngram_join import op1_ngram_jaccard_join
+from riskloom.llm.paragraphs import op2_paragraph_minhash
 from riskloom.llm.quality import op6_suffix_repetition
 from riskloom.llm.secrets import op5_blob_ledger_secrets
 from riskloom.llm.sharding import OP3_SQL, op3_rendezvous_sharding
@@ -13,6 +14,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
+        op2_paragraph_minhash,
         op3_rendezvous_sharding,
         op5_blob_ledger_secrets,
         op6_suffix_repetition,

@@ -49,7 +49,7 @@ def _bucket(windows: np.ndarray) -> np.ndarray:
     return (windows >> np.uint64(48)).astype(np.int64) & (COUNT_BUCKETS - 1)
 
 
-def _class_of(windows: np.ndarray) -> int:
+def class_of(windows: np.ndarray) -> int:
     """Name of a sorted set of windows."""
     return int(np.array([xxhash.xxh3_64_intdigest(windows.tobytes())], np.uint64).view(np.int64)[0])
 
@@ -59,7 +59,7 @@ def _least_shared(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _parity(windows: np.ndarray) -> np.ndarray:
+def parity_bits(windows: np.ndarray) -> np.ndarray:
     bits = np.bincount((windows & np.uint64(PARITY_WORDS * 64 - 1)).astype(np.int64), minlength=PARITY_WORDS * 64) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
@@ -75,7 +75,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
                 windows = np.unique(hasher.windows(lowered_words(text)))
                 buckets.append(_bucket(windows))
                 sizes.append(len(windows))
-                classes.append(_class_of(windows) if len(windows) else None)
+                classes.append(class_of(windows) if len(windows) else None)
             seen += np.bincount(np.concatenate(buckets), minlength=COUNT_BUCKETS)
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, none], names)
@@ -96,13 +96,13 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 windows = np.unique(hasher.windows(lowered_words(text)))
-                if not len(windows) or (name := _class_of(windows)) in met:
+                if not len(windows) or (name := class_of(windows)) in met:
                     continue
                 met.add(name)
                 first = len(windows) - _least_shared(len(windows), percent) + 1
                 rare = windows[np.lexsort((windows, counts[_bucket(windows)]))[:first]]
                 others = [np.sort(mix(windows ^ np.uint64(seed)))[:first] for seed in OTHER_ORDERS]
-                rows.append((name, doc_id, len(windows), rare.view(np.int64), *[o.view(np.int64) for o in others], *_parity(windows)))
+                rows.append((name, doc_id, len(windows), rare.view(np.int64), *[o.view(np.int64) for o in others], *parity_bits(windows)))
             if rows:
                 columns = list(zip(*rows))
                 arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(c, pa.list_(pa.int64())) for c in columns[3:6]]
@@ -120,7 +120,7 @@ def window_sets(docs: DataFrame, size: int) -> DataFrame:
         hasher = WindowHasher(size)
         for batch in batches:
             sets = [np.unique(hasher.windows(lowered_words(text))) for text in batch.column("text").to_pylist()]
-            columns = [pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["class", "windows"])
 
     return docs.select("text").mapInArrow(run, "class bigint, windows binary")
