@@ -9,6 +9,7 @@ from riskloom.llm.paragraphs import op2_paragraph_minhash
 from riskloom.llm.quality import op6_suffix_repetition
 from riskloom.llm.secrets import op5_blob_ledger_secrets
 from riskloom.llm.sharding import OP3_SQL, op3_rendezvous_sharding
+from riskloom.llm.substrings import op4_lyndon_suffix_dedup
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +17,7 @@ QUERIES = {
         op1_ngram_jaccard_join,
         op2_paragraph_minhash,
         op3_rendezvous_sharding,
+        op4_lyndon_suffix_dedup,
         op5_blob_ledger_secrets,
         op6_suffix_repetition,
         op9_soft_mixing,
