@@ -19,6 +19,7 @@ without any page to learn from, nothing is extracted; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import only, table
+from riskloom.llm.hashing import WindowHasher
 from riskloom.llm.html_blocks import Block, page_blocks
 
 #: Pages that the labeller is trained on, at most; the least hashes of the id are taken.
@@ -51,28 +53,31 @@ ARTICLE_NAMES = "article body content entry main post story text".split()
 OTHER_TAGS = ("<div>", "<section>", "<ul>", "<p>", "<span>", "<table>")
 
 
-def path_rows(path: Sequence[str]) -> list[int]:
-    return sorted({xxhash.xxh3_64_intdigest(name) % PATHS for name in path})
+@lru_cache(4096)
+def path_rows(path: tuple[str, ...]) -> tuple[int, ...]:
+    return tuple(sorted({xxhash.xxh3_64_intdigest(name) % PATHS for name in path})) or (0,)
 
 
 class Sequences:
     """Vectors of the blocks of several pages."""
 
+    hasher = WindowHasher(1)
+
     def __init__(self, pages: Sequence[Sequence[Block]]):
         self.lengths = np.array([len(p) for p in pages])
         blocks = [b for p in pages for b in p]
-        rows = [path_rows(b.path) or [0] for b in blocks]
-        self.rows = np.array([r for part in rows for r in part], np.int64)
-        self.row_starts = np.cumsum([0] + [len(r) for r in rows])[:-1]
+        rows = [path_rows(b.path) for b in blocks]
         self.row_counts = np.array([len(r) for r in rows])
-        self.numbers = np.zeros((len(blocks), WORDS + MEASURES), np.float32)
-        store: dict[str, int] = {}
-        for i, block in enumerate(blocks):
-            words = block.text.split()
-            buckets = [store[w] if w in store else store.setdefault(w, xxhash.xxh3_64_intdigest(w) % WORDS) for w in words]
-            self.numbers[i, :WORDS] = np.sqrt(np.bincount(buckets, minlength=WORDS) / len(words))
-            stops = sum(map(block.text.count, ".!?;,"))
-            self.numbers[i, WORDS:] = (np.log1p(len(words)) / 5, block.link_share, stops / len(words), len(block.path) / 10)
+        self.rows = np.fromiter((r for part in rows for r in part), np.int64, int(self.row_counts.sum()))
+        self.row_starts = np.cumsum(np.r_[0, self.row_counts[:-1]])
+        words = [b.text.split() for b in blocks]
+        counts = np.array([len(w) for w in words])
+        buckets = (self.hasher.words([w for part in words for w in part]) % np.uint64(WORDS)).astype(np.int64)
+        cells = np.repeat(np.arange(len(blocks)) * WORDS, counts) + buckets
+        shares = np.sqrt(np.bincount(cells, minlength=len(blocks) * WORDS).reshape(-1, WORDS) / counts[:, None])
+        stops = np.array([sum(map(b.text.count, ".!?;,")) for b in blocks])
+        measures = np.log1p(counts) / 5, np.array([b.link_share for b in blocks]), stops / counts, np.array([len(b.path) for b in blocks]) / 10
+        self.numbers = np.concatenate([shares, np.stack(measures, axis=1)], axis=1).astype(np.float32)
 
 
 class Labeller:

@@ -21,9 +21,9 @@ class WindowHasher:
 
     def __init__(self, size: int):
         self.size = size
-        self.store: dict[bytes, int] = {}
+        self.store: dict[bytes | str, int] = {}
 
-    def words(self, words: list[bytes]) -> np.ndarray:
+    def words(self, words: list[bytes] | list[str]) -> np.ndarray:
         store = self.store
         if len(store) > KEPT_WORDS:
             store.clear()
