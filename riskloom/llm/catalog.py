@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskloom.llm.decontamination import OP10_SQL, op10_minhash_containment
 from riskloom.llm.extraction import op7_recurrent_extraction
+from riskloom.llm.licenses import op8_license_classifier
 from riskloom.llm.mixing import op9_soft_mixing
 from riskloom.llm.ngram_join import op1_ngram_jaccard_join
 from riskloom.llm.paragraphs import op2_paragraph_minhash
@@ -22,6 +23,7 @@ QUERIES = {
         op5_blob_ledger_secrets,
         op6_suffix_repetition,
         op7_recurrent_extraction,
+        op8_license_classifier,
         op9_soft_mixing,
         op10_minhash_containment,
     )

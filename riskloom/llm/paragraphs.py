@@ -47,7 +47,7 @@ _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 SPAN = "doc_id bigint, at bigint, upto bigint"
 
 
-def _places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of ``data`` start and end, in bytes."""
     codes = np.frombuffer(data, np.uint8)
     inside = np.concatenate([[False], (codes != 32) & ((codes < 9) | (codes > 13)), [False]])
@@ -125,7 +125,7 @@ def block_rows(docs: DataFrame) -> DataFrame:
                 for i in range(BLOCK):
                     first = mix(first) + hashed[chosen + i]
                     second = mix(second ^ _SEEDS[0]) ^ hashed[chosen + i]
-                starts, ends = _places(data)
+                starts, ends = word_places(data)
                 parts.append([starts[chosen], ends[chosen + BLOCK - 1], mix(first).view(np.int64), mix(second).view(np.int64)])
                 owners.append(doc_id)
                 counts.append(len(chosen))
