@@ -5,9 +5,10 @@ labelled table, gives every document a posterior over domains. With ``n`` tokens
 posterior ``p`` a document at rate ``r`` brings ``r n p`` expected tokens to the
 domains. Nonnegative rates are fitted so that these totals match the targets, by
 projected gradient least squares: each step is one distributed sum of as many
-numbers as there are domains, then ``r <- max(0, r - p . G+ (totals - targets))``,
-where G is the token-weighted second moment of the posteriors. With that metric
-and gradients scaled by 1/n the largest curvature is 1, so the step needs no search.
+numbers as there are pairs of domains, then ``r <- max(0, r - p . G+ (totals - targets))``,
+where G is the token-weighted second moment of the posteriors of rows that can still
+move. With that metric and gradients scaled by 1/n the curvature is 1, so a handful of
+steps is enough and their length is 1 unless too many rows reach zero at once.
 
 Defined cases: a null text has no tokens, keeps its rate and adds nothing; rows
 without a label, a null label or without a document are not fitted on; without any
@@ -33,15 +34,15 @@ from riskloom.sources.staging import stage
 #: Labelled documents that the classifier is fitted on, at most; the least hashes of the id are taken.
 TRAINING_DOCUMENTS = 6000
 #: Buckets of the hashed words.
-FEATURES = 1 << 15
+FEATURES = 1 << 14
 #: Steps of the fit, at most, and the relative distance from the targets at which it ends.
-STEPS, CLOSE = 40, 1e-6
+STEPS, CLOSE = 25, 1e-6
 #: A rate this near to a whole number of copies is that number.
 SNAP = 0.1
 
 #: Domains of the ``labels`` table: (name, quality, toxic), and the share of tokens each is to have.
 DOMAINS = (("clean", 1, 0), ("clean_toxic", 1, 1), ("poor", 0, 0), ("poor_toxic", 0, 1))
-WEIGHTS = {"clean": 0.97, "clean_toxic": 0.005, "poor": 0.02, "poor_toxic": 0.005}
+WEIGHTS = {"clean": 0.95, "clean_toxic": 0.01, "poor": 0.03, "poor_toxic": 0.01}
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -64,11 +65,12 @@ def posteriors(docs: DataFrame, labelled: DataFrame, n_domains: int) -> DataFram
         only_one = seen[0] if seen else 0
         fixed = F.array(*[F.lit(1.0 if k == only_one else 0.0) for k in range(n_domains)])
         return docs.withColumn("__words", split_words(F.col("text"))).withColumn("posterior", fixed)
+    # The sample is bounded, and each task of an iteration sends a gradient: few tasks are enough.
     dense = rows.replace([float(k) for k in seen], [float(i) for i in range(len(seen))], subset=["domain"])
     model = LogisticRegression(
         featuresCol="__features", labelCol="domain", predictionCol="__prediction", probabilityCol="__probability",
-        rawPredictionCol="__raw", family="multinomial", regParam=1e-3, maxIter=60, standardization=False,
-    ).fit(dense)
+        rawPredictionCol="__raw", family="multinomial", regParam=1e-4, maxIter=40, standardization=False,
+    ).fit(dense.coalesce(4))
     scored = model.transform(hashed.transform(with_words(docs)))
     found = vector_to_array("__probability")
     spread = [found[seen.index(k)] if k in seen else F.lit(0.0) for k in range(n_domains)]
@@ -84,27 +86,39 @@ def _dot(values: Sequence[Column], numbers: Sequence[float]) -> Column:
 def fit_rates(rows: DataFrame, targets: Sequence[float]) -> Column:
     """The rate of each row of ``rows`` (``n_tokens`` and ``posterior``), as an expression of its posterior.
 
-    ``targets`` are tokens per domain. Each step sums ``len(targets)`` numbers over all rows.
+    ``targets`` are tokens per domain. Each step is one pass over all rows that sums the expected
+    totals and the moment of rows with a rate above zero, a few numbers per domain. A step that
+    leads further away is taken back and tried at half its length.
     """
     k = len(targets)
+    goal = np.asarray(targets, dtype=float)
     p = [F.col("posterior")[i] for i in range(k)]
     n = F.col("n_tokens").cast("double")
-    products = [F.coalesce(F.sum(n * p[i] * p[j]), F.lit(0.0)) for i in range(k) for j in range(i, k)]
-    sums = iter(rows.agg(*products).first())
-    moment = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            moment[i, j] = moment[j, i] = next(sums)
-    inverse = np.linalg.pinv(moment, hermitian=True)
-    goal = np.asarray(targets, dtype=float)
-    rate = F.lit(1.0)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def summed(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        moved = F.when(F.col("rate") > 0, n).otherwise(0.0)
+        sums = [F.sum(F.col("rate") * n * p[i]) for i in range(k)] + [F.sum(moved * p[i] * p[j]) for i, j in pairs]
+        found = rows.withColumn("rate", rate).agg(*[F.coalesce(s, F.lit(0.0)) for s in sums]).first()
+        moment = np.zeros((k, k))
+        for (i, j), value in zip(pairs, found[k:]):
+            moment[i, j] = moment[j, i] = value
+        return np.asarray(found[:k], dtype=float) - goal, moment
+
+    best = rate = F.lit(1.0)
+    least, length = np.inf, 1.0
+    away, moment = summed(rate)
     for _ in range(STEPS):
-        totals = rows.agg(*[F.coalesce(F.sum(rate * n * p[i]), F.lit(0.0)) for i in range(k)]).first()
-        away = np.asarray(totals, dtype=float) - goal
-        if np.abs(away).sum() <= CLOSE * max(goal.sum(), 1.0):
+        distance = np.abs(away).sum()
+        if distance < least:
+            best, least, step, length = rate, distance, np.linalg.pinv(moment, rcond=1e-9, hermitian=True) @ away, min(1.0, 2 * length)
+        else:
+            length /= 2
+        if least <= CLOSE * max(goal.sum(), 1.0):
             break
-        rate = F.greatest(F.lit(0.0), rate - _dot(p, inverse @ away))
-    return rate
+        rate = F.greatest(F.lit(0.0), best - _dot(p, length * step))
+        away, moment = summed(rate)
+    return best
 
 
 def largest_budget(totals: Sequence[float], weights: Sequence[float]) -> float:
