@@ -13,7 +13,8 @@ shingles themselves, as text.
 
 Defined cases: null and blank texts have no shingles and match nothing; a text of
 fewer words than a shingle is one shingle, so such an item is found only as a whole
-document; repeated documents and items are each matched; empty tables match nothing.
+document; a null id is a value of its own; repeated rows give one pair; empty tables
+match nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,10 +70,12 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE_WORDS
 
     wanted = items.select("item_id", split_words(F.lower("text")).alias("words"))
     wanted = wanted.select("item_id", F.array_distinct(shingles("words", size)).alias("item_shingles")).distinct()
-    pairs = candidates.join(wanted, "item_id")
-    held = worded.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = wanted.select(F.col("item_id").alias("item"), "item_shingles")
+    named = candidates.select(F.col("doc_id").alias("doc"), "item_id")
+    pairs = named.join(wanted, F.col("item_id").eqNullSafe(F.col("item"))).select("doc", "item_id", "item_shingles")
+    held = worded.join(named.select("doc").distinct(), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
     held = held.select("doc_id", F.array_distinct(shingles("words", size)).alias("held"))
-    verified = pairs.join(held, "doc_id").select(
+    verified = pairs.join(held, F.col("doc_id").eqNullSafe(F.col("doc"))).select(
         "doc_id", "item_id", F.size("item_shingles").alias("n_shingles"),
         F.size(F.array_intersect("item_shingles", "held")).alias("n_shared"),
     )

@@ -135,21 +135,22 @@ def copies_of(rate: Column, doc_id: Column) -> Column:
 
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], budget: float | None = None) -> DataFrame:
-    """One row per document: n_tokens, the posterior of each domain, rate and copies.
+    """One row per document: content (hash of the text), n_tokens, the posterior of each domain, rate and copies.
 
     ``weights`` maps domains, in the order of their numbers, to shares of ``budget`` tokens;
     without a budget it is the largest for which no domain has to be repeated.
     """
     shares = np.asarray(list(weights.values()), dtype=float) / sum(weights.values())
     scored = posteriors(only(docs, doc_id="bigint", text="string"), labelled, len(shares))
-    rows = stage(scored.select("doc_id", F.size("__words").cast("bigint").alias("n_tokens"), "posterior"), "posteriors")
+    content = F.xxhash64(F.coalesce("text", F.lit(""))).alias("content")
+    rows = stage(scored.select("doc_id", content, F.size("__words").cast("bigint").alias("n_tokens"), "posterior"), "posteriors")
     n = F.col("n_tokens").cast("double")
     if budget is None:
         held = rows.agg(*[F.coalesce(F.sum(n * F.col("posterior")[i]), F.lit(0.0)) for i in range(len(shares))]).first()
         budget = largest_budget(held, shares)
     rate = F.round(fit_rates(rows, budget * shares), 6)
     named = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(weights)]
-    mixed = rows.select("doc_id", "n_tokens", *named, rate.alias("rate"))
+    mixed = rows.select("doc_id", "content", "n_tokens", *named, rate.alias("rate"))
     return mixed.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
 
 
@@ -162,4 +163,4 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = label_domains(table(spark, sf_dir, "labels"))
-    return mix_documents(table(spark, sf_dir, "documents"), labels, WEIGHTS)
+    return mix_documents(table(spark, sf_dir, "documents"), labels, WEIGHTS).drop("content")
