@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +46,10 @@ def _windows(words: str, size: int, made: Callable[[Column], Column], kind: str)
     starts = F.sequence(F.lit(1), F.greatest(count - (size - 1), F.lit(1)))
     windows = F.transform(starts, lambda i: made(F.slice(F.col(words), i, size)))
     return F.when(count == 0, F.array().cast(f"array<{kind}>")).otherwise(windows)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a worker holds Python objects of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -13,7 +13,7 @@ Weights are a few thousand numbers, sent to the tasks with the code.
 
 Defined cases: a null or blank page has an empty text; broken markup is read as far as
 tags can be told; repeated rows are extracted each; an empty table gives an empty table;
-without any page to learn from, nothing is extracted; other columns are ignored.
+without a page that names its article, nothing can be learned or extracted; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import only, table
+from riskloom.llm.common import only, slices, table
 from riskloom.llm.hashing import WindowHasher
 from riskloom.llm.html_blocks import Block, page_blocks
 
@@ -212,8 +212,8 @@ def _varied(page: list[tuple[Block, int]], texts: list[Block], r: np.random.Gene
 
 
 def train_labeller(pages: Sequence[str], steps: int = STEPS, seed: int = 7) -> Labeller | None:
-    """A labeller fitted to the pages and variations of them; None if they have no blocks."""
-    known = [p for p in map(labelled_blocks, pages) if 0 < len(p) <= TRAINING_BLOCKS]
+    """A labeller fitted to the pages that name their article, and variations of them; None if none does."""
+    known = [p for p in map(labelled_blocks, pages) if len(p) <= TRAINING_BLOCKS and any(label for _, label in p)]
     if not known:
         return None
     r = np.random.default_rng(seed)
@@ -266,7 +266,7 @@ def extract_pages(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> Dat
     model = train_labeller([row["html"] for row in sample.select("html").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             html = [h or "" for h in batch.column("html").to_pylist()]
             texts = main_texts(html, model) if model else [""] * len(html)
             lengths = pa.array([len(t) for t in texts], pa.int64())

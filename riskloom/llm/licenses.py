@@ -5,8 +5,8 @@ middle of it is not thinned out. Hashed one- and two-word features feed a multin
 regression over licence families and an unknown class. It is trained on the driver with
 variations of notice templates, and with a bounded sample of the corpus's own paragraphs and
 scrambled notices as the unknown class. A held-out part sets the temperature of the
-probabilities and the least probability at which none of its unknown paragraphs is
-accepted. A prediction counts when the best template of its family also agrees: most of
+probabilities, and the least probability at which few of its unknown paragraphs, scrambled
+notices among them, are accepted. A prediction counts when the best template of its family also agrees: most of
 the template's word pairs are in the window.
 
 Every paragraph of every document is scored, inside tasks, in one pass without a shuffle.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import only, table
+from riskloom.llm.common import only, slices, table
 from riskloom.llm.hashing import WindowHasher, mix
 from riskloom.llm.paragraphs import word_places
 
@@ -97,8 +97,12 @@ TEMPLATES = {
 FAMILIES = list(TEMPLATES)
 #: Buckets of the features; corpus paragraphs in the unknown class, at most; variations of each template; steps.
 FEATURES, SAMPLE, VARIATIONS, STEPS = 1 << 14, 3000, 40, 120
+#: Notices of so many words are also given scrambled, as unknown.
+SCRAMBLED = 8
 #: Words of a line that are one window; words and stride of windows of longer lines.
-SHORT_LINE, WINDOW, STRIDE = 80, 60, 30
+SHORT_LINE, WINDOW, STRIDE = 30, 24, 10
+#: Share of held-out unknown paragraphs that the least probability may let through to the templates.
+FALSE_ACCEPTS = 0.02
 #: Share of a template's word pairs that must be in the window.
 AGREEMENT = 0.6
 
@@ -175,8 +179,9 @@ def train_notices(paragraphs: Sequence[str], seed: int = 11) -> NoticeClassifier
                 kept = [w for w in words if r.random() > 0.06] or words
                 around = [[filler[int(i)] for i in r.integers(0, len(filler), int(r.integers(0, 12)))] for _ in range(2)]
                 samples.append((around[0] + kept + around[1], k))
-                mixed = [words[int(i)] for i in r.permutation(len(words))]
-                samples.append((mixed[: 1 + len(mixed) // 2] + around[0], 0))
+                if len(words) >= SCRAMBLED:
+                    mixed = [words[int(i)] for i in r.permutation(len(words))]
+                    samples.append((mixed[: len(mixed) // 2] + around[0], 0))
     samples = [(w, k) for w, k in samples if len(w) > 1]
     parts = []
     for words, _ in samples:
@@ -211,7 +216,8 @@ def train_notices(paragraphs: Sequence[str], seed: int = 11) -> NoticeClassifier
     losses = {t: -np.log(softmax(scores / t)[np.arange(len(wanted)), wanted] + 1e-9).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
     temperature = min(losses, key=losses.__getitem__)
     wrong = softmax(scores / temperature)[wanted == 0, 1:].max(axis=1, initial=0.0)
-    return NoticeClassifier(weights, bias, temperature, float(min(0.95, max(0.5, wrong.max(initial=0.0) if len(wrong) else 0.5))))
+    least = float(np.quantile(wrong, 1 - FALSE_ACCEPTS)) if len(wrong) else 0.0
+    return NoticeClassifier(weights, bias, temperature, min(0.9, max(0.5, least)))
 
 
 def _windows(lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +267,7 @@ def scan_licenses(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = NoticeHasher(1)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [
                 (doc_id, line, a, b, FAMILIES[n.family], round(n.probability, 4), round(n.agreement, 4))
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())

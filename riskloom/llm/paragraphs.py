@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import only, table
+from riskloom.llm.common import only, slices, table
 from riskloom.llm.graph import components
 from riskloom.llm.hashing import WindowHasher, mix
 from riskloom.llm.ngram_join import PARITY, class_of, linked, parity_bits
@@ -68,7 +68,7 @@ def paragraph_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, met = WindowHasher(WINDOW), set()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 at = 0
@@ -95,7 +95,7 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher(WINDOW)
-        for batch in batches:
+        for batch in slices(batches):
             lines = [line.split() for text in batch.column("text").to_pylist() for line in (text or "").encode().lower().split(b"\n")]
             sets = [np.unique(hasher.windows(words)) for words in lines if len(words) >= MIN_WORDS]
             columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
@@ -109,7 +109,7 @@ def block_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher(ANCHOR)
-        for batch in batches:
+        for batch in slices(batches):
             parts: list[list[np.ndarray]] = []
             owners, counts = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

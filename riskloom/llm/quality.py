@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import only, table
+from riskloom.llm.common import only, slices, table
 
 #: A word, and the characters that count as symbols (fixed values).
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -145,7 +145,7 @@ def measure(docs: DataFrame, min_repeat: int = MIN_REPEAT) -> DataFrame:
     kind = pa.struct([(f.name, pa.int64()) for f in MEASURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [r for group in _groups(batch.column("text").to_pylist()) for r in measure_texts(group, min_repeat)]
             values = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.StructArray.from_arrays(values, fields=list(kind))], ["row", "measures"])

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import only, table
+from riskloom.llm.common import only, slices, table
 from riskloom.llm.hashing import mix
 from riskloom.llm.suffix_groups import common_prefixes, suffix_array
 from riskloom.sources.staging import stage
@@ -129,7 +129,7 @@ def region_rows(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
-        for batch in batches:
+        for batch in slices(batches):
             found, names, ids, counts = [], [], [], []
             for name, doc_id, data in zip(*(batch.column(c).to_pylist() for c in ("class", "doc_id", "data"))):
                 if name not in met and len(data) >= LENGTH:
@@ -207,7 +207,7 @@ def sorted_spans(contexts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             found: list[tuple] = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "class", "lo", "bytes"))):
                 if size > BATCH_BYTES and row[0] != rows[-1][0]:
@@ -286,7 +286,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     joined = docs.join(stage(spans, "spans"), "class", "left").select("doc_id", F.col("data").cast("binary"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data, spans in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist()):
                 parts, at, runs, end = [], 0, 0, -1
