@@ -347,7 +347,7 @@ _RESAMPLED = f"""
     from surrogate s join plan p on p.fraud_label = s.fraud_label) s
   join (select cast(unnest(range(1, 12)) as bigint) as copy) g on g.copy <= s.copies"""
 
-_CLAIM_FEATURES = ["total_claims", "total_drug_cost", "opioid_cost", "antibiotic_claims", "avg_risk_score"]
+_SALTED = "concat('sample:', cast(prescriber_id as varchar))"
 
 
 def _scaled(c: str) -> str:
@@ -357,10 +357,10 @@ def _scaled(c: str) -> str:
 
 
 _HOLDOUT = f"{_bucket('prescriber_id')} / cast(10000 as double) >= cast(1.0 as double) - cast(0.2 as double)"
-_STANDARDIZED = f"""select prescriber_id, {", ".join(_scaled(c) for c in _CLAIM_FEATURES)}
-  from prescribers cross join (select {", ".join(
-    f"avg({c}) as {c}_mean, stddev_pop({c}) as {c}_sd" for c in _CLAIM_FEATURES)}
-  from prescribers where not ({_HOLDOUT}))"""
+_STANDARDIZED = f"""select prescriber_id, {", ".join(_scaled(c) for c in MODEL_FEATURES)}
+  from scored cross join (select {", ".join(
+    f"avg({c}) as {c}_mean, stddev_pop({c}) as {c}_sd" for c in MODEL_FEATURES)}
+  from scored where not ({_HOLDOUT}))"""
 
 _LOGITS = ["avg_risk_score", "opioid_rate / 50", "avg_patient_age / 50"]
 _EXPS = [f"exp({x})" for x in _LOGITS]
@@ -372,7 +372,7 @@ _HISTOGRAM = """select cast(least(floor((v - lo) / (hi - lo) * 50), 49) as integ
   from (select "Payment_Amount" as v from payments) cross join
     (select min("Payment_Amount") as lo, max("Payment_Amount") as hi from payments) group by 1"""
 
-_REPEATED = '"NPI", "Payment_Nature", "Payment_Date"'
+_AGAIN = f"{_bucket(chr(34) + 'NPI' + chr(34))} < 1000"
 _KEYED = f"(select event_id, {KEY_TEXT} as \"NPI\" from events)"
 _NUMBER = 'try_cast("NPI" as bigint)'
 
@@ -457,8 +457,7 @@ ORACLES: dict[str, str] = {
     ),
     "null_to_zero": _with(
         [CLAIMS, RAW],
-        f"""select prescriber_id, coalesce(opioid_rate, {ZERO}) as opioid_rate,
-  coalesce(avg_patient_age, {ZERO}) as avg_patient_age, coalesce(avg_risk_score, {ZERO}) as avg_risk_score from raw""",
+        f"select prescriber_id, {', '.join(f'coalesce({c}, {ZERO}) as {c}' for c in PRESCRIBER_NUMERIC)} from raw",
     ),
     "coerce_numeric": _with(
         [CLAIMS, RAW, UNTIDY],
@@ -577,17 +576,17 @@ ORACLES: dict[str, str] = {
     ),
     "duplicate_rows": _with(
         [PAYMENTS],
-        f"""select cast((select count(*) from payments) - count(*) as bigint) as n_duplicates
-  from (select distinct {_REPEATED} from payments)""",
+        f"""select cast((select count(*) from payments) + (select count(*) from payments where {_AGAIN}) - count(*) as bigint)
+  as n_duplicates from (select distinct * from payments)""",
     ),
-    "distinct_rows": _with([PAYMENTS], f"select distinct {_REPEATED} from payments"),
+    "distinct_rows": _with([PAYMENTS], "select distinct * from payments"),
     "histogram": _with([PAYMENTS], _HISTOGRAM),
     "top_states": _with([PAYMENTS], _top("State", "payments")),
     "top_specialties": _with([PAYMENTS], _top("Specialty", "payments")),
     "top_zips": _with([PAYMENTS], _top("Zip", "payments")),
     "top_provider_types": _with(_MERGED, _top("provider_type", "merged")),
     "sample_hash": _with(
-        _PEOPLE, f"select prescriber_id, state from prescribers where {_bucket('prescriber_id')} < 2000"
+        _PEOPLE, f"select prescriber_id, state from prescribers where {_bucket(_SALTED)} < 2000"
     ),
     "resample_plan": _with([*_SURROGATE, _PLAN], "select * from plan"),
     "resample_hash": _with([*_SURROGATE, _PLAN], _RESAMPLED),
@@ -597,7 +596,7 @@ ORACLES: dict[str, str] = {
         [*_PEOPLE, *_murmur_steps("prescriber_id", "prescribers")],
         f"select prescriber_id, (({_SIGNED} % 10000) + 10000) % 10000 >= 8000 as is_holdout from hashed",
     ),
-    "standardize": _with(_PEOPLE, _STANDARDIZED),
+    "standardize": _with(_SCORED, _STANDARDIZED),
     "label_encode": _with(
         _SCORED,
         """select prescriber_id, case fraud_risk_category when 'Low' then 0 when 'Medium' then 1 when 'High' then 2 end
@@ -621,9 +620,9 @@ ORACLES: dict[str, str] = {
         + ", ".join(
             f"count(case when fraud_label = k and prediction = {p} then 1 end) as predicted_{p}" for p in range(len(TIERS))
         )
-        + " from surrogate cross join (values (0), (1), (2)) v(k) group by k",
+        + ", cast(0 as bigint) as predicted_other from surrogate cross join (values (0), (1), (2)) v(k) group by k",
     ),
-    "eval_overall": _with(_METRICS, f"select {_ACCURACY} as accuracy, {_weighted('f1')} as weighted_f1 from metrics"),
+    "eval_overall": _with(_METRICS, f"select {_ACCURACY} as accuracy, {_weighted('f1')} as weighted_f1, cast(0 as bigint) as n_outside from metrics"),
     "eval_per_class": _with(_METRICS, 'select label, tp, fp, fn, "precision", recall, f1 from metrics'),
     "eval_macro_f1": _with(_METRICS, f"select {_mean_of('f1')} as macro_f1 from metrics"),
     "classification_report": _with(_METRICS, _REPORT),

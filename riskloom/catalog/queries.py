@@ -29,7 +29,6 @@ from riskloom.sources import models, readers, sinks, staging
 Query = Callable[[SparkSession, str], DataFrame]
 
 CLAIM_FEATURES = ["total_claims", "total_drug_cost", "opioid_cost", "antibiotic_claims", "avg_risk_score"]
-REPEATED = ["NPI", "Payment_Nature", "Payment_Date"]
 
 
 def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
@@ -53,7 +52,8 @@ def scan_prescribers(spark, sf_dir):
 
 def scan_payments(spark, sf_dir):
     path = _as_csv(t.raw_payments(spark, sf_dir), "payments-csv")
-    return projecting.project_payments(readers.scan_csv(spark, path, RAW_PAYMENTS))
+    scanned = projecting.project_payments(readers.scan_csv(spark, path, RAW_PAYMENTS))
+    return scanned.withColumn("Payment_Amount", F.col("Payment_Amount").cast("double"))
 
 
 def clean_payments(spark, sf_dir):
@@ -97,7 +97,7 @@ def ensure_features(spark, sf_dir):
 
 
 def union_parts(spark, sf_dir):
-    labelled = t.surrogate_predictions(spark, sf_dir).select("prescriber_id", "fraud_label")
+    labelled = staging.stage(t.surrogate_predictions(spark, sf_dir).select("prescriber_id", "fraud_label"), "labelled")
     return projecting.union_parts([labelled.filter(F.col("fraud_label") == c) for c in sampling.CLASSES])
 
 
@@ -131,8 +131,7 @@ def fill_strings(spark, sf_dir):
 
 def null_to_zero(spark, sf_dir):
     raw = projecting.project_prescribers(t.raw_prescribers(spark, sf_dir))
-    sparse = ["opioid_rate", "avg_patient_age", "avg_risk_score"]
-    return cleaning.null_to_zeros(raw.select("prescriber_id", *sparse), sparse)
+    return cleaning.null_to_zeros(raw.select("prescriber_id", *PRESCRIBER_NUMERIC), PRESCRIBER_NUMERIC)
 
 
 def coerce_numeric(spark, sf_dir):
@@ -319,12 +318,18 @@ def outliers_3sigma(spark, sf_dir):
     return found.select("NPI", "Payment_Amount", "Payment_Date")
 
 
+def _with_repeats(spark, sf_dir):
+    """The payments, which hold no row twice, and those of a tenth of the recipients once more."""
+    payments = staging.stage(t.payments(spark, sf_dir), "payments")
+    return payments.union(payments.filter(sha_bucket(F.col("NPI")) < 1000))
+
+
 def duplicate_rows(spark, sf_dir):
-    return profiling.duplicate_rows(t.payments(spark, sf_dir).select(*REPEATED))
+    return profiling.duplicate_rows(_with_repeats(spark, sf_dir))
 
 
 def distinct_rows(spark, sf_dir):
-    return profiling.distinct_rows(t.payments(spark, sf_dir).select(*REPEATED))
+    return profiling.distinct_rows(_with_repeats(spark, sf_dir))
 
 
 def histogram(spark, sf_dir):
@@ -402,9 +407,9 @@ def split_random(spark, sf_dir):
 
 
 def standardize(spark, sf_dir):
-    staged = staging.stage(t.prescribers(spark, sf_dir).select("prescriber_id", *CLAIM_FEATURES), "features")
+    staged = staging.stage(t.scored(spark, sf_dir).select("prescriber_id", *MODEL_FEATURES), "features")
     train, _ = sampling.split_marked(sampling.mark_holdout(staged))
-    return _rounded(sampling.standardize(staged, CLAIM_FEATURES, train), dict.fromkeys(CLAIM_FEATURES, 6))
+    return _rounded(sampling.standardize(staged, MODEL_FEATURES, train), dict.fromkeys(MODEL_FEATURES, 6))
 
 
 def label_encode(spark, sf_dir):
@@ -441,10 +446,16 @@ def _metric(compute) -> Query:
 
 
 # --- models ------------------------------------------------------------------------
-# Small parameters: local boosting runs many short jobs. Function defaults are the published ones.
+# All with the published parameters. What only reads a model has it fitted once per application and table.
+
+_FITTED: dict[tuple[str, str, str], str] = {}
+
 
-SMALL_FOREST = {"num_trees": 10, "max_depth": 4}
-SMALL_GBT = {"max_iter": 3, "max_depth": 3}
+def _fitted(spark, sf_dir, name, fit):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FITTED:
+        _FITTED[key] = models.save_model(fit(), staging.new_path(spark, name))
+    return models.load_model(_FITTED[key])
 
 
 def _split(spark, sf_dir):
@@ -458,17 +469,17 @@ def _outcome(model, holdout):
 
 def train_gbt(spark, sf_dir):
     train, holdout = _split(spark, sf_dir)
-    return _outcome(training.train_gbt(train, **SMALL_GBT), holdout)
+    return _outcome(training.train_gbt(train), holdout)
 
 
 def train_rf(spark, sf_dir):
     train, holdout = _split(spark, sf_dir)
-    return _outcome(training.train_forest(train, **SMALL_FOREST), holdout)
+    return _outcome(training.train_forest(train), holdout)
 
 
 def train_gbt_scaled(spark, sf_dir):
     train, holdout = _split(spark, sf_dir)
-    return _outcome(training.train_gbt_scaled(train, **SMALL_GBT), holdout)
+    return _outcome(training.train_gbt_scaled(train), holdout)
 
 
 def _balanced(train):
@@ -477,19 +488,19 @@ def _balanced(train):
 
 def tune_gbt(spark, sf_dir):
     train, holdout = _split(spark, sf_dir)
-    search = training.tune_gbt(_balanced(train), max_iters=(2,), max_depths=(2, 3))
+    search = training.tune_gbt(_balanced(train))
     return _outcome(search.bestModel, holdout)
 
 
 def tune_rf(spark, sf_dir):
     train, holdout = _split(spark, sf_dir)
-    search = training.tune_forest(_balanced(train), num_trees=(5, 10), max_depths=(3, 4))
+    search = training.tune_forest(_balanced(train))
     return _outcome(search.bestModel, holdout)
 
 
 def _forest(spark, sf_dir):
     train, holdout = _split(spark, sf_dir)
-    return training.train_forest(train, **SMALL_FOREST), train, holdout
+    return _fitted(spark, sf_dir, "forest", lambda: training.train_forest(train)), train, holdout
 
 
 def score_holdout(spark, sf_dir):
@@ -498,9 +509,10 @@ def score_holdout(spark, sf_dir):
 
 
 def batch_score(spark, sf_dir):
-    """Uploads carry claim columns only; the payment features they lack count as 0."""
+    """Uploads carry one payment feature as text; the other is absent and counts as 0."""
     model, _, _ = _forest(spark, sf_dir)
-    uploads = t.prescribers(spark, sf_dir).select("prescriber_id", "state", *CLAIM_FEATURES)
+    variability = F.col("payment_variability").cast("string").alias("payment_variability")
+    uploads = t.scored(spark, sf_dir).select("prescriber_id", "state", variability, *CLAIM_FEATURES)
     return scoring.batch_score(model, uploads)
 
 
@@ -511,7 +523,7 @@ def predictions_table(spark, sf_dir):
 
 def probability_table(spark, sf_dir):
     train, holdout = _split(spark, sf_dir)
-    model = training.train_gbt_scaled(train, **SMALL_GBT)
+    model = _fitted(spark, sf_dir, "scaled-gbt", lambda: training.train_gbt_scaled(train))
     return scoring.probability_table(model, projecting.union_parts([train, holdout]))
 
 

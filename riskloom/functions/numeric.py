@@ -11,18 +11,14 @@ def guarded_ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
 
 
-def cents(amount: Column) -> Column:
-    """Whole cents; null if the amount is too large for a bigint."""
-    return F.rint(amount * 100).try_cast("bigint")
+# Amounts are added up to the hundredth of a cent.
+AMOUNT = "decimal(28,4)"
 
 
 def money_total(amount: Column) -> Column:
-    """Sum of dollar amounts, added up in whole cents.
+    """Sum of dollar amounts as decimals, then a double.
 
-    Integer sums do not depend on the order partitions arrive in and stay exact
-    for a key that holds trillions of rows. If an amount or the total does not fit,
-    the plain floating-point sum is used, so no row is lost.
+    Decimal sums do not depend on the order partitions arrive in and stay exact for a
+    key that holds trillions of rows. An amount that does not fit stops the job.
     """
-    whole = cents(amount)
-    exact = F.when(F.count(whole) == F.count(amount), F.try_sum(whole) / F.lit(100.0))
-    return F.coalesce(exact, F.sum(amount))
+    return F.sum(amount.cast(AMOUNT)).cast("double")

@@ -21,14 +21,18 @@ def _cell(actual: int, predicted: int) -> str:
 
 
 def confusion_cells(df: DataFrame, label: str, prediction: str, classes: Sequence[int] = CLASSES) -> DataFrame:
-    """One row with a count for every pair of classes, 0 where there is none."""
-    return df.agg(
-        *[
-            F.count_if((F.col(label) == a) & (F.col(prediction) == p)).alias(_cell(a, p))
-            for a in classes
-            for p in classes
-        ]
-    )
+    """One row with a count for every pair of classes, 0 where there is none.
+
+    Beside the pairs: rows and predictions of each class whatever stands on the other side
+    (a null or an unlisted class is a miss), all rows, and rows that are in no pair.
+    """
+    pairs = [
+        F.count_if((F.col(label) == a) & (F.col(prediction) == p)).alias(_cell(a, p)) for a in classes for p in classes
+    ]
+    sides = [F.count_if(F.col(c) == k).alias(f"{name}_{k}") for c, name in ((label, "n_label"), (prediction, "n_predicted")) for k in classes]
+    listed = F.col(label).isin(*classes) & F.col(prediction).isin(*classes)
+    outside = F.count_if(~F.coalesce(listed, F.lit(False)))
+    return df.agg(*pairs, *sides, F.count(F.lit(1)).alias("n_rows"), outside.alias("n_outside"))
 
 
 def _rows(cells: DataFrame, structs: Sequence[Column]) -> DataFrame:
@@ -36,12 +40,16 @@ def _rows(cells: DataFrame, structs: Sequence[Column]) -> DataFrame:
 
 
 def confusion_matrix_dense(df: DataFrame, label: str, prediction: str, classes: Sequence[int] = CLASSES) -> DataFrame:
-    """One row per actual class, one column per predicted class."""
+    """One row per actual class, one column per predicted class, and one for any other prediction."""
     cells = confusion_cells(df, label, prediction, classes)
     return _rows(
         cells,
         [
-            F.struct(F.lit(a).alias("label"), *[F.col(_cell(a, p)).alias(f"predicted_{p}") for p in classes])
+            F.struct(
+                F.lit(a).alias("label"),
+                *[F.col(_cell(a, p)).alias(f"predicted_{p}") for p in classes],
+                (F.col(f"n_label_{a}") - _sum([F.col(_cell(a, p)) for p in classes])).alias("predicted_other"),
+            )
             for a in classes
         ],
     )
@@ -63,8 +71,8 @@ class _ClassCounts:
 
     def __init__(self, k: int, classes: Sequence[int]):
         self.tp = F.col(_cell(k, k))
-        self.support = _sum([F.col(_cell(k, p)) for p in classes])
-        self.fp = _sum([F.col(_cell(a, k)) for a in classes]) - self.tp
+        self.support = F.col(f"n_label_{k}")
+        self.fp = F.col(f"n_predicted_{k}") - self.tp
         self.fn = self.support - self.tp
         self.precision = _share(self.tp, self.tp + self.fp)
         self.recall = _share(self.tp, self.tp + self.fn)
@@ -75,16 +83,12 @@ def _counts(classes: Sequence[int]) -> list[_ClassCounts]:
     return [_ClassCounts(k, classes) for k in classes]
 
 
-def _total(classes: Sequence[int]) -> Column:
-    return _sum([F.col(_cell(a, p)) for a in classes for p in classes])
-
-
 def _accuracy(classes: Sequence[int]) -> Column:
-    return _share(_sum([F.col(_cell(k, k)) for k in classes]), _total(classes))
+    return _share(_sum([F.col(_cell(k, k)) for k in classes]), F.col("n_rows"))
 
 
-def _weighted(values: Sequence[Column], counts: Sequence[_ClassCounts], classes: Sequence[int]) -> Column:
-    return _share(_sum([v * c.support for v, c in zip(values, counts)]), _total(classes))
+def _weighted(values: Sequence[Column], counts: Sequence[_ClassCounts]) -> Column:
+    return _share(_sum([v * c.support for v, c in zip(values, counts)]), _sum([c.support for c in counts]))
 
 
 def _mean(values: Sequence[Column]) -> Column:
@@ -92,11 +96,12 @@ def _mean(values: Sequence[Column]) -> Column:
 
 
 def eval_overall(df: DataFrame, label: str, prediction: str, classes: Sequence[int] = CLASSES) -> DataFrame:
-    """Accuracy and F1 weighted by class size."""
+    """Accuracy over all rows, F1 weighted by class size, and the rows outside the classes."""
     counts = _counts(classes)
     return confusion_cells(df, label, prediction, classes).select(
         _accuracy(classes).alias("accuracy"),
-        _weighted([c.f1 for c in counts], counts, classes).alias("weighted_f1"),
+        _weighted([c.f1 for c in counts], counts).alias("weighted_f1"),
+        F.col("n_outside"),
     )
 
 
@@ -132,7 +137,7 @@ def classification_report(
 ) -> DataFrame:
     """Precision, recall, F1 and support per class, then accuracy and the two averages."""
     counts = _counts(classes)
-    total = _total(classes)
+    total = F.col("n_rows")
     nothing = F.lit(None).cast("double")
 
     def line(name: str, precision: Column, recall: Column, f1: Column, support: Column) -> Column:
@@ -148,5 +153,5 @@ def classification_report(
     lines = [line(n, c.precision, c.recall, c.f1, c.support) for n, c in zip(names, counts)]
     lines.append(line("accuracy", nothing, nothing, _accuracy(classes), total))
     lines.append(line("macro avg", *[_mean(v) for v in columns], total))
-    lines.append(line("weighted avg", *[_weighted(v, counts, classes) for v in columns], total))
+    lines.append(line("weighted avg", *[_weighted(v, counts) for v in columns], total))
     return _rows(confusion_cells(df, label, prediction, classes), lines)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.cleaning import safe_key
+from riskloom.functions.cleaning import DECIMAL_TEXT, safe_key
 from riskloom.schemas import SCORING_RANGES
 
 # The text patterns the audits are defined by.
@@ -16,7 +16,9 @@ DIGITS = r"^\d+$"
 FIVE_DIGITS = r"^\d{5}$"
 NUMBER_CHARACTERS = r"[0-9.+\-Ee]"
 
+# The wording of refusals.
 NOT_A_NUMBER = "enter a valid number."
+OUT_OF_RANGE = "must be between"
 
 
 def one_row_per_column(totals: DataFrame, label: str, value: str) -> DataFrame:
@@ -57,18 +59,25 @@ def bad_keys(df: DataFrame, key: str) -> DataFrame:
     return df.filter(safe_key(F.col(key)).isNull())
 
 
-def _bound(value: float) -> str:
-    return f"{int(value):,}" if float(value).is_integer() else f"{value:g}"
+# How a limit is printed: thousands separated, decimals only where there are some.
+LIMIT_FORMAT = "#,##0.######"
 
 
-def _range_error(column: str, low: float, high: float) -> Column:
-    """Why one input is refused, or null. A blank input stands for 0."""
+def _printed(limit: float) -> Column:
+    return F.call_function("format_number", F.lit(float(limit)), F.lit(LIMIT_FORMAT))
+
+
+def _entered(column: str) -> Column:
+    """The number that an input stands for: blank is 0, anything but decimal notation is null."""
     text = F.trim(F.coalesce(F.col(column).cast("string"), F.lit("")))
-    number = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
-    return F.when(number.isNull() | F.isnan(number), F.lit(f"{column}: {NOT_A_NUMBER}")).when(
-        (number < low) | (number > high),
-        F.lit(f"{column}: must be between {_bound(low)} and {_bound(high)}."),
-    )
+    return F.when(text == "", F.lit(0.0)).when(text.rlike(DECIMAL_TEXT), text.try_cast("double"))
+
+
+def _range_error(column: str, low: float, high: float) -> Column:
+    """Why one input is refused, or null."""
+    number = _entered(column)
+    outside = F.concat(F.lit(f"{column}: {OUT_OF_RANGE} "), _printed(low), F.lit(" and "), _printed(high), F.lit("."))
+    return F.when(number.isNull(), F.lit(f"{column}: {NOT_A_NUMBER}")).when(~number.between(low, high), outside)
 
 
 def validate_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]] = SCORING_RANGES) -> DataFrame:
@@ -81,10 +90,4 @@ def validate_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]] = S
 def parse_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]] = SCORING_RANGES) -> DataFrame:
     """The accepted rows with their inputs as doubles."""
     accepted = validate_ranges(df, ranges).filter("is_valid").drop("errors", "is_valid")
-    return accepted.withColumns(
-        {
-            c: F.coalesce(F.trim(F.col(c).cast("string")).try_cast("double"), F.lit(0.0))
-            for c in ranges
-            if c in df.columns
-        }
-    )
+    return accepted.withColumns({c: _entered(c) for c in ranges if c in df.columns})

@@ -83,12 +83,22 @@ def join_predictions(
 
 
 def lookup(records: DataFrame, predictions: DataFrame, key: str = "prescriber_id") -> DataFrame:
-    """The stored prediction of each requested key, compared as text, and whether there is one."""
+    """The stored prediction of each requested key, and whether there is one.
+
+    The requested text is read as the stored key's type, so the stored table is matched by its
+    own column; text that is not one matches nothing and comes back as it was asked for.
+    """
     require_columns(records, [key], "lookup")
-    wanted = records.select(F.col(key).cast("string").alias(key))
-    stored = predictions.withColumn(key, F.col(key).cast("string")).withColumn("matched", F.lit(True))
-    return wanted.join(stored, key, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    kind = predictions.schema[key].dataType
+    wanted = records.select(F.col(key).cast("string").alias(key), F.col(key).try_cast(kind).alias("_key"))
+    stored = predictions.withColumnRenamed(key, "_stored").withColumn("matched", F.lit(True))
+    # "007" is no stored key's own text, so it must not match 7.
+    same = (F.col("_key") == F.col("_stored")) & (F.col("_stored").cast("string") == F.col(key))
+    found = wanted.join(stored, same, "left").drop("_key", "_stored")
+    return found.withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
 def lookup_one(predictions: DataFrame, value: str, key: str = "prescriber_id") -> DataFrame:
-    return predictions.filter(F.col(key).cast("string") == str(value))
+    """The stored row of one key; the value is cast, not the column, so files can be skipped."""
+    asked = F.lit(str(value)).try_cast(predictions.schema[key].dataType)
+    return predictions.filter(F.col(key) == asked)

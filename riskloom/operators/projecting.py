@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.cleaning import coerced_number
@@ -33,20 +33,22 @@ def select_present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def ensure_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every named column as a double without nulls; absent ones are 0."""
-    return df.withColumns(
-        {
-            c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
-            for c in columns
-        }
-    )
+    """Every named column as a double; absent ones, nulls, NaN and text that is no decimal number are 0."""
+    kinds = dict(df.dtypes)
+
+    def feature(c: str) -> Column:
+        if c not in kinds:
+            return F.lit(0.0)
+        if kinds[c] == "string":
+            return coerced_number(F.col(c))
+        return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+    return df.withColumns({c: feature(c) for c in columns})
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Like ``ensure_features`` for untrusted text: what is not a number becomes 0."""
-    return df.withColumns(
-        {c: coerced_number(F.col(c)) if c in df.columns else F.lit(0.0) for c in columns}
-    )
+    """Like ``ensure_features``, reading every column as text."""
+    return df.withColumns({c: coerced_number(F.col(c)) if c in df.columns else F.lit(0.0) for c in columns})
 
 
 def union_parts(parts: Sequence[DataFrame]) -> DataFrame:

@@ -29,6 +29,10 @@ class Rule:
     fires: Column
 
 
+def _most(share: float) -> str:
+    return "More than half" if share == 0.5 else f"More than {share:.0%}"
+
+
 def risk_rules(t: RiskThresholds = RiskThresholds()) -> list[Rule]:
     """The rules in order of precedence. A null input counts as 0."""
 
@@ -57,7 +61,7 @@ def risk_rules(t: RiskThresholds = RiskThresholds()) -> list[Rule]:
         ),
         Rule(
             "High opioid flag",
-            "More than half of claims are opioid-related.",
+            f"{_most(t.opioid_share)} of claims are opioid-related.",
             2,
             value("high_opioid_flag") == 1,
         ),

@@ -13,8 +13,10 @@ from riskloom.operators.projecting import union_parts
 CLASSES = (0, 1, 2)
 HASH_RANGE = 2**32
 
-# Fixed value: the most copies a row of a rare class may get.
+# Fixed value: the most copies a row of a rare class gets, unless another limit is asked for.
 MAX_OVERSAMPLE = 10.0
+# Keeps a sample's buckets apart from those of a split by the same key.
+SAMPLE_SALT = "sample:"
 
 
 def sample_uniform(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
@@ -22,8 +24,9 @@ def sample_uniform(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
 
 
 def sample_hash(df: DataFrame, key: str, fraction: float) -> DataFrame:
-    """Rows whose key hashes below the fraction: the same rows on every run."""
-    return df.filter(sha_bucket(F.col(key)) < int(fraction * BUCKETS))
+    """Rows whose salted key hashes below the fraction: the same rows on every run, and any split of them is fair."""
+    salted = F.concat(F.lit(SAMPLE_SALT), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return df.filter(sha_bucket(salted) < int(fraction * BUCKETS))
 
 
 def mark_holdout(df: DataFrame, key: str = "prescriber_id", test_size: float = 0.2) -> DataFrame:
@@ -47,31 +50,38 @@ def split_random(df: DataFrame, train_ratio: float = 0.8, seed: int = 42) -> tup
     return train, holdout
 
 
-def resample_plan(df: DataFrame, label: str, classes: Sequence[int] = CLASSES) -> DataFrame:
-    """Sampling fraction per class that brings each to the mean class size.
+def resample_plan(
+    df: DataFrame, label: str, classes: Sequence[int] = CLASSES, most_copies: float = MAX_OVERSAMPLE
+) -> DataFrame:
+    """Sampling fraction per class that brings each to the mean class size, ``most_copies`` at most.
 
-    At most one row per entry of ``classes``; a class without rows has no row.
+    At most one row per entry of ``classes``; a class without rows has no row. A row whose
+    label is null or not listed stops the job, so that none is lost.
     """
-    totals = df.agg(*[F.count_if(F.col(label) == c).alias(f"n{c}") for c in classes])
+    known = F.coalesce(F.col(label).isin(*classes), F.lit(False))
+    totals = df.agg(
+        *[F.count_if(F.col(label) == c).alias(f"n{c}") for c in classes], F.count_if(~known).alias("n_unlisted")
+    )
     counts = F.array(*[F.struct(F.lit(c).alias(label), F.col(f"n{c}").alias("n_rows")) for c in classes])
     present = F.filter(counts, lambda s: s["n_rows"] > 0)
     total = F.aggregate(present, F.lit(0).cast("bigint"), lambda acc, s: acc + s["n_rows"])
     target = F.floor(total / F.size(present))
-    plan = totals.select(F.explode(present).alias("c"), target.alias("target")).select("c.*", "target")
-    fraction = F.least(F.col("target") / F.col("n_rows"), F.lit(MAX_OVERSAMPLE))
+    message = F.concat(F.col("n_unlisted"), F.lit(f" rows have a {label} that is not one of {list(classes)}"))
+    none_lost = F.when(F.col("n_unlisted") > 0, F.raise_error(message).cast("boolean")).otherwise(True)
+    plan = totals.where(none_lost).select(F.explode(present).alias("c"), target.alias("target")).select("c.*", "target")
+    fraction = F.least(F.col("target") / F.col("n_rows"), F.lit(float(most_copies)))
     return plan.withColumn("fraction", fraction)
 
 
 def resample_hash(
-    df: DataFrame, label: str, key: str, classes: Sequence[int] = CLASSES, plan: DataFrame | None = None
+    df: DataFrame, label: str, key: str, classes: Sequence[int] = CLASSES, most_copies: float = MAX_OVERSAMPLE
 ) -> DataFrame:
     """Balance the classes in one pass: a row gets floor(fraction) copies, plus one by its key's hash.
 
     The plan has at most ``len(classes)`` rows, which bounds its broadcast. The
     copies of a row are made where the row is; nothing is shuffled.
     """
-    plan = resample_plan(df, label, classes) if plan is None else plan
-    limited = plan.filter(F.col(label).isin(*classes)).select(label, "fraction")
+    limited = resample_plan(df, label, classes, most_copies).select(label, "fraction")
     drawn = sha_bucket(F.col(key), HASH_RANGE) / F.lit(float(HASH_RANGE))
     whole = F.floor("fraction")
     copies = whole + F.when(drawn < F.col("fraction") - whole, 1).otherwise(0)
@@ -81,10 +91,12 @@ def resample_hash(
     )
 
 
-def resample_random(df: DataFrame, label: str, classes: Sequence[int] = CLASSES, seed: int = 42) -> DataFrame:
+def resample_random(
+    df: DataFrame, label: str, classes: Sequence[int] = CLASSES, seed: int = 42, most_copies: float = MAX_OVERSAMPLE
+) -> DataFrame:
     """The random form: each class sampled at its fraction, with copies only where it must grow."""
     parts = []
-    for row in resample_plan(df, label, classes).collect():  # at most len(classes) rows
+    for row in resample_plan(df, label, classes, most_copies).collect():  # at most len(classes) rows
         part = df.filter(F.col(label) == row[label])
         if row["fraction"] != 1.0:
             part = part.sample(withReplacement=row["fraction"] > 1.0, fraction=row["fraction"], seed=seed)

@@ -129,5 +129,6 @@ RAW_PRESCRIBERS = _fields(
     list(PRESCRIBER_COLUMNS),
     {raw for raw, clean in PRESCRIBER_COLUMNS.items() if clean in PRESCRIBER_NUMERIC},
 )
-RAW_PAYMENTS = _fields(list(PAYMENT_COLUMNS), {"Total_Amount_of_Payment_USDollars"})
+# Payment amounts too: a currency sign or a separator would turn a typed amount into null.
+RAW_PAYMENTS = text_schema(list(PAYMENT_COLUMNS))
 SCORING_RECORD = _fields(SCORING_ID_COLUMNS + list(SCORING_RANGES), set(SCORING_RANGES))

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def build_session(app_name: str = "riskloom", master: str | None = None, **conf: str) -> SparkSession:
-    """Start (or reuse) a session; the cluster's own settings win unless named in ``conf``.
+#: Bytes of input per initial shuffle partition.
+PARTITION_BYTES = 128 << 20
 
-    Shuffle partitions are left to adaptive execution: it starts from a high
-    count and merges small partitions, so the same job fits 60 k rows and 100 TB.
+
+def build_session(
+    app_name: str = "riskloom", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Start (or reuse) a session. What is set here and in ``conf`` overrides the cluster's defaults.
+
+    Adaptive execution merges small shuffle partitions and splits skewed ones, but never makes
+    more of them when all are large: give ``input_bytes`` (of the largest table) for a job that
+    is to start from one partition per ``PARTITION_BYTES`` instead of Spark's default of 200.
     """
     settings = {
         "spark.sql.adaptive.enabled": "true",
@@ -20,6 +27,9 @@ def build_session(app_name: str = "riskloom", master: str | None = None, **conf:
         # Recording the Python line of every column call doubles the time a plan takes to build.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
+    if input_bytes:
+        count = max(200, -(-input_bytes // PARTITION_BYTES))
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(count)
     settings.update(conf)
     builder = SparkSession.builder.appName(app_name)
     if master:

@@ -15,9 +15,11 @@ def staging_root(spark: SparkSession) -> str:
     cluster a machine-local folder would be lost with its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if configured:
+        if configured.startswith("file:") and not context.master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir {configured} is a folder of one machine, not of the cluster")
         return configured
-    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")

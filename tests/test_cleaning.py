@@ -65,13 +65,16 @@ def test_guarded_ratio(spark):
     assert [r[0] for r in df.select(guarded_ratio(F.col("n"), F.col("d"))).collect()] == [0.0, 0.0, 0.5, 0.0]
 
 
-def test_money_total_is_exact_and_survives_amounts_that_do_not_fit_cents(spark):
+def test_money_total_is_exact_and_refuses_amounts_that_do_not_fit(spark):
     cents = spark.range(0, 100_000, 1, 7).select(F.lit(0.1).alias("a"))
     assert cents.agg(money_total(F.col("a"))).first()[0] == 10_000.0
-    huge = spark.createDataFrame([(1e30,), (0.25,), (None,)], "a double")
-    assert huge.agg(money_total(F.col("a"))).first()[0] == 1e30
-    full = spark.createDataFrame([(8e16,), (8e16,)], "a double")
+    small = spark.range(1000).select(F.lit(0.004).alias("a"))
+    assert small.agg(money_total(F.col("a"))).first()[0] == 4.0
+    full = spark.createDataFrame([(8e16,), (8e16,), (None,)], "a double")
     assert full.agg(money_total(F.col("a"))).first()[0] == 1.6e17
+    huge = spark.createDataFrame([(1e30,), (0.25,)], "a double")
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        huge.agg(money_total(F.col("a"))).first()
     assert spark.createDataFrame([(None,)], "a double").agg(money_total(F.col("a"))).first()[0] is None
 
 
@@ -119,3 +122,9 @@ def test_union_parts_matches_columns_by_name(spark):
     a = spark.createDataFrame([(1, "x")], "k int, v string")
     b = spark.createDataFrame([("y", 2)], "v string, k int")
     assert sorted(tuple(r) for r in projecting.union_parts([a, b]).collect()) == [(1, "x"), (2, "y")]
+
+
+def test_features_lose_nan_and_text_that_is_no_decimal(spark):
+    df = spark.createDataFrame([(float("nan"), "12d", "1.5e1"), (2.0, "0x1p3", None)], "a double, b string, c string")
+    rows = projecting.ensure_features(df, ["a", "b", "c", "d"]).collect()
+    assert [tuple(r) for r in rows] == [(0.0, 0.0, 15.0, 0.0), (2.0, 0.0, 0.0, 0.0)]

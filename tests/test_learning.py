@@ -155,7 +155,7 @@ def test_metrics(spark, predicted):
         assert value == pytest.approx(judge.evaluate(df))
 
     dense = {r["label"]: tuple(r)[1:] for r in evaluation.confusion_matrix_dense(df, "y", "p").collect()}
-    assert dense == {k: tuple(sum(y == k and p == j for y, p in pairs) for j in range(3)) for k in range(3)}
+    assert dense == {k: (*(sum(y == k and p == j for y, p in pairs) for j in range(3)), 0) for k in range(3)}
     assert sum(r["n_rows"] for r in evaluation.confusion_matrix(df, "y", "p").collect()) == 300
 
     report = {r["class_name"]: r for r in evaluation.classification_report(df, "y", "p").collect()}
@@ -166,4 +166,14 @@ def test_metrics(spark, predicted):
 
 def test_metrics_of_nothing(spark):
     empty = spark.createDataFrame([], "y int, p double")
-    assert tuple(evaluation.eval_overall(empty, "y", "p").first()) == (0.0, 0.0)
+    assert tuple(evaluation.eval_overall(empty, "y", "p").first()) == (0.0, 0.0, 0)
+
+
+def test_rows_outside_the_classes_count_as_misses(spark):
+    df = spark.createDataFrame([(0, 0), (1, 1), (2, 3), (2, None), (None, 2), (7, 0)], "y int, p int")
+    overall = evaluation.eval_overall(df, "y", "p").first()
+    assert overall["accuracy"] == 2 / 6 and overall["n_outside"] == 4
+    third = evaluation.eval_per_class(df, "y", "p").collect()[2]
+    assert (third["tp"], third["fp"], third["fn"]) == (0, 1, 2)
+    dense = evaluation.confusion_matrix_dense(df, "y", "p").collect()
+    assert [r["predicted_other"] for r in dense] == [0, 0, 2]

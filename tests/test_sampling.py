@@ -87,3 +87,26 @@ def test_standardize_fits_on_the_given_rows(spark):
     want = sorted((pdf.x - fit.mean()) / fit.std(ddof=0))
     assert sorted(r["x"] for r in out.collect()) == pytest.approx(want)
     assert {r["c"] for r in out.collect()} == {0.0}
+
+
+def test_a_sample_can_be_split(spark):
+    keys = spark.range(20_000).withColumnRenamed("id", "k")
+    sample = sampling.sample_hash(keys, "k", 0.2)
+    train, holdout = sampling.split_marked(sampling.mark_holdout(sample, "k"))
+    share = holdout.count() / sample.count()
+    assert 0.17 < share < 0.23 and train.count() > 0
+
+
+def test_unlisted_labels_stop_balancing(spark):
+    df = spark.createDataFrame([(i, i % 4) for i in range(400)], "id bigint, label int")
+    for balance in (lambda d: sampling.resample_hash(d, "label", "id"), lambda d: sampling.resample_random(d, "label")):
+        with pytest.raises(Exception, match="100 rows have a label"):
+            balance(df).collect()
+        with pytest.raises(Exception, match="rows have a label"):
+            balance(spark.createDataFrame([(1, None)], "id bigint, label int")).collect()
+    assert sampling.resample_hash(df, "label", "id", classes=range(4)).count() == 400
+
+
+def test_most_copies_is_an_argument(spark):
+    df = spark.createDataFrame([(i, 0 if i < 100 else 1) for i in range(102)], "id bigint, label int")
+    assert sampling.resample_hash(df, "label", "id", most_copies=3.0).filter("label = 1").count() == 6

@@ -3,6 +3,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators.cleaning import clean_payments
 from riskloom.schemas import RAW_PAYMENTS, SCORING_RECORD
 from riskloom.sources import readers, sinks, staging
 
@@ -24,7 +25,30 @@ def test_csv_scan_finds_columns_by_name_in_a_wider_file(spark, tmp_path):
     row = df.first()
     assert df.schema.fieldNames() == RAW_PAYMENTS.fieldNames()
     assert row["Recipient_Zip_Code"] == "02134"
-    assert row["Total_Amount_of_Payment_USDollars"] == 12.5
+    assert row["Total_Amount_of_Payment_USDollars"] == "12.5"
+
+
+def test_dirty_amounts_survive_the_payments_scan(spark, tmp_path):
+    names = RAW_PAYMENTS.fieldNames()
+    path = tmp_path / "dirty.csv"
+    amounts = ['"$1,234.56"', "12.5", "USD 7"]
+    lines = [",".join(a if n == "Total_Amount_of_Payment_USDollars" else "x" for n in names) for a in amounts]
+    path.write_text("\n".join([",".join(names), *lines]) + "\n")
+    raw = readers.scan_csv(spark, str(path), RAW_PAYMENTS)
+    assert [r["Payment_Amount"] for r in clean_payments(raw).collect()] == [1.0, 12.5, 7.0]
+    assert [r["Payment_Amount"] for r in clean_payments(raw, strict=True).collect()] == [1234.56, 12.5, 7.0]
+
+
+def test_folder_of_one_machine_is_refused_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf = {"spark.checkpoint.dir": "file:/tmp/x"}
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="one machine"):
+        staging.staging_root(Session())
 
 
 def test_csv_scan_rejects_a_file_without_a_needed_column(spark, tmp_path):
