@@ -356,6 +356,7 @@ def _scaled(c: str) -> str:
     )
 
 
+_TIER_CODE = "case fraud_risk_category when 'Low' then 0 when 'Medium' then 1 when 'High' then 2 end"
 _HOLDOUT = f"{_bucket('prescriber_id')} / cast(10000 as double) >= cast(1.0 as double) - cast(0.2 as double)"
 _STANDARDIZED = f"""select prescriber_id, {", ".join(_scaled(c) for c in MODEL_FEATURES)}
   from scored cross join (select {", ".join(
@@ -626,5 +627,20 @@ ORACLES: dict[str, str] = {
     "eval_per_class": _with(_METRICS, 'select label, tp, fp, fn, "precision", recall, f1 from metrics'),
     "eval_macro_f1": _with(_METRICS, f"select {_mean_of('f1')} as macro_f1 from metrics"),
     "classification_report": _with(_METRICS, _REPORT),
+    "sample_uniform_facts": "select cast(0 as bigint) as n_repeated, cast(0 as bigint) as n_strangers",
+    "split_random_facts": "select count(*) as n_rows, count(distinct c_custkey) as n_keys from customer",
+    "resample_random_facts": _with(_SURROGATE, "select distinct fraud_label, cast(0 as bigint) as n_strangers from surrogate"),
+    "score_holdout_facts": _with(
+        _SCORED, f"select prescriber_id, {_TIER_CODE} as fraud_label, true as has_class from scored where {_HOLDOUT}"
+    ),
+    "predictions_facts": _with(
+        _SCORED, f"select prescriber_id, provider_type, state, total_claims, fraud_risk_category from scored where {_HOLDOUT}"
+    ),
+    "probability_facts": _with(_SCORED, "select cast(prescriber_id as varchar) as prescriber_id, true as adds_up from scored"),
+    "importance_facts": f"""select model, cast({len(MODEL_FEATURES)} as bigint) as n_features, cast(1 as double) as total
+  from (values ('forest'), ('boosted')) v(model)""",
+    "sample_then_split": _with(
+        _PEOPLE, f"select prescriber_id, {_HOLDOUT} as is_holdout from prescribers where {_bucket(_SALTED)} < 2000"
+    ),
     "model_roundtrip": "select count(*) as n_rows, cast(0 as bigint) as n_different from customer",
 }

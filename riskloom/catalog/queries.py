@@ -549,6 +549,63 @@ def model_roundtrip(spark, sf_dir):
     )
 
 
+# --- facts about random and fitted results, which have no SQL form themselves --------
+
+
+def sample_uniform_facts(spark, sf_dir):
+    """Rows of the sample that are repeated or not in the table."""
+    sample = staging.stage(sample_uniform(spark, sf_dir), "sample")
+    strangers = sample.join(t.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_custkey", "c_mktsegment"], "left_anti")
+    counts = sample.agg((F.count("*") - F.count_distinct("c_custkey")).alias("n_repeated"))
+    return counts.withColumn("n_strangers", strangers.agg(F.count("*")).scalar())
+
+
+def split_random_facts(spark, sf_dir):
+    """Rows of both sides together, and keys among them."""
+    return split_random(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.count_distinct("c_custkey").alias("n_keys"))
+
+
+def resample_random_facts(spark, sf_dir):
+    """Classes after balancing, and rows that the labels do not have."""
+    labels = staging.stage(_labels(spark, sf_dir), "labels")
+    balanced = staging.stage(sampling.resample_random(labels, "fraud_label"), "balanced")
+    strangers = balanced.join(labels, ["prescriber_id", "fraud_label"], "left_anti").agg(F.count("*")).scalar()
+    return balanced.select("fraud_label").distinct().withColumn("n_strangers", strangers)
+
+
+def score_holdout_facts(spark, sf_dir):
+    """What the holdout's rows are, and whether each has the prediction of a class."""
+    known = F.col("prediction").isin(*sampling.CLASSES).alias("has_class")
+    return score_holdout(spark, sf_dir).select("prescriber_id", "fraud_label", known)
+
+
+def predictions_facts(spark, sf_dir):
+    """The columns of the predictions table that do not come from the model."""
+    return predictions_table(spark, sf_dir).select("prescriber_id", "provider_type", "state", "total_claims", "fraud_risk_category")
+
+
+def probability_facts(spark, sf_dir):
+    """Whether each row's probabilities add up to one."""
+    total = sum((F.col(c) for c in scoring.PROBABILITY_COLUMNS[1:]), F.col(scoring.PROBABILITY_COLUMNS[0]))
+    return probability_table(spark, sf_dir).select("prescriber_id", (F.abs(total - 1) < 1e-9).alias("adds_up"))
+
+
+def importance_facts(spark, sf_dir):
+    """Features and the sum of importances, of the forest and of boosted trees (the mean of one against the rest)."""
+    train, _ = _split(spark, sf_dir)
+    gbt = _fitted(spark, sf_dir, "scaled-gbt", lambda: training.train_gbt_scaled(train))
+    kinds = {"forest": _forest(spark, sf_dir)[0], "boosted": gbt}
+    parts = [scoring.feature_importance(spark, m).withColumn("model", F.lit(name)) for name, m in kinds.items()]
+    grouped = projecting.union_parts(parts).groupBy("model")
+    return grouped.agg(F.count("*").alias("n_features"), F.round(F.sum("importance"), 1).alias("total"))
+
+
+def sample_then_split(spark, sf_dir):
+    """A fifth of the prescribers, each on the side that the split of all of them puts it on."""
+    people = t.prescribers(spark, sf_dir).select("prescriber_id")
+    return sampling.mark_holdout(sampling.sample_hash(people, "prescriber_id", 0.2))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
@@ -568,6 +625,8 @@ QUERIES: dict[str, Query] = {
         train_gbt, train_rf, train_gbt_scaled, tune_gbt, tune_rf,
         score_holdout, batch_score, predictions_table, probability_table,
         feature_importance, top_features, model_roundtrip,
+        sample_uniform_facts, split_random_facts, resample_random_facts, score_holdout_facts, predictions_facts,
+        probability_facts, importance_facts, sample_then_split,
     ]
 } | {
     "features": feature_columns,

@@ -101,7 +101,7 @@ def top_features(
     The ranking is the same for all records, so it is settled once and each
     record is turned into its ``n`` rows in place, without a window or a join.
     """
-    ranked = sorted(importance.items(), key=lambda item: item[1], reverse=True)[:n]
+    ranked = sorted(importance.items(), key=lambda item: (-item[1], item[0]))[:n]
     cells = [
         F.struct(
             F.lit(rank).alias("rank"),
