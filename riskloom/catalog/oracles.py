@@ -369,9 +369,11 @@ _SOFTMAX = ", ".join(
     f"round({e} / ({' + '.join(_EXPS)}), 9) as {n}" for e, n in zip(_EXPS, ("p_low", "p_medium", "p_high"))
 )
 
-_HISTOGRAM = """select cast(least(floor((v - lo) / (hi - lo) * 50), 49) as integer) as bin, count(*) as n_rows
-  from (select "Payment_Amount" as v from payments) cross join
-    (select min("Payment_Amount") as lo, max("Payment_Amount") as hi from payments) group by 1"""
+_HISTOGRAM = """select cast(b.range as integer) as bin, round(lo + b.range * ((hi - lo) / 50), 6) as low,
+  round(lo + (b.range + 1) * ((hi - lo) / 50), 6) as high,
+  count(case when least(floor((v - lo) / (hi - lo) * 50), 49) = b.range then 1 end) as n_rows
+  from range(50) b cross join (select min("Payment_Amount") as lo, max("Payment_Amount") as hi from payments)
+  cross join (select "Payment_Amount" as v from payments) group by all"""
 
 _AGAIN = f"{_bucket(chr(34) + 'NPI' + chr(34))} < 1000"
 _KEYED = f"(select event_id, {KEY_TEXT} as \"NPI\" from events)"

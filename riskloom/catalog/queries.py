@@ -333,7 +333,7 @@ def distinct_rows(spark, sf_dir):
 
 
 def histogram(spark, sf_dir):
-    return profiling.histogram(t.payments(spark, sf_dir), "Payment_Amount")
+    return _rounded(profiling.histogram(t.payments(spark, sf_dir), "Payment_Amount"), {"low": 6, "high": 6})
 
 
 def correlation_matrix(spark, sf_dir):

@@ -126,7 +126,10 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """Rows per equal-width bin over all rows; the maximum falls into the last bin."""
+    """Rows and edges of every equal-width bin, empty ones too; the maximum falls into the last bin.
+
+    Where all values are equal, the first bin has them all and every edge is that value.
+    """
     limits = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
     values = df.filter(F.col(column).isNotNull()).select(
         F.col(column).cast("double").alias("value"), limits.alias("limits")
@@ -134,7 +137,13 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     above, width = F.col("value") - F.col("limits.low"), F.col("limits.high") - F.col("limits.low")
     position = F.when(width > 0, F.floor(above / width * bins)).otherwise(0)
     binned = values.select(F.least(position, F.lit(bins - 1)).cast("int").alias("bin"))
-    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n_rows"))
+    edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), limits.alias("limits"))
+    step = (F.col("limits.high") - F.col("limits.low")) / bins
+    edge = lambda k: F.col("limits.low").cast("double") + k * step
+    return edges.join(counts, "bin", "left").select(
+        "bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n_rows", F.lit(0)).alias("n_rows")
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
