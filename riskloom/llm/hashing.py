@@ -33,15 +33,53 @@ class WindowHasher:
         return np.fromiter(map(store.__getitem__, words), np.uint64, len(words))
 
     def windows(self, words: list[bytes]) -> np.ndarray:
-        hashed = self.words(words)
+        return self.joined(self.words(words))
+
+    def joined(self, words: np.ndarray) -> np.ndarray:
+        """Window hashes from word hashes."""
         width = min(self.size, len(words))
         n = len(words) - width + 1 if width else 0
         found = np.full(n, width, np.uint64)
         for i in range(width):
-            found = mix(found + np.uint64(0x9E3779B97F4A7C15)) + hashed[i : i + n]
+            found = mix(found + np.uint64(0x9E3779B97F4A7C15)) + words[i : i + n]
         return mix(found)
 
 
 def lowered_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z in lower case."""
     return text.encode().lower().split() if text else []
+
+
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``data`` start and end, in bytes."""
+    codes = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], (codes != 32) & ((codes < 9) | (codes > 13)), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+class WordTable:
+    """Words of several texts as arrays: hash, text, line (over all texts), first and last byte in the text."""
+
+    def __init__(self, texts: list[str | None], hasher: WindowHasher):
+        parts = [(text or "").encode().lower() for text in texts]
+        data = b"\n".join(parts)
+        begins = np.cumsum([0] + [len(p) + 1 for p in parts])
+        starts, ends = word_places(data)
+        self.hashes = hasher.words(data.split())
+        self.text = np.searchsorted(begins, starts, side="right") - 1
+        self.line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
+        self.at, self.upto = starts - begins[self.text], ends - begins[self.text]
+
+
+def least_places(hashes: np.ndarray, reach: int) -> np.ndarray:
+    """Place of the least hash (first of equal ones) among any ``reach`` neighbours."""
+    low = np.uint64(28)
+    least = (hashes >> low << low) | np.arange(len(hashes), dtype=np.uint64)
+    width = 1
+    while 2 * width <= reach:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < reach:
+        least = np.minimum(least[: width - reach], least[reach - width :])
+    return (least & np.uint64((1 << 28) - 1)).astype(np.int64)

@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import only, slices, table
-from riskloom.llm.hashing import WindowHasher, mix
-from riskloom.llm.paragraphs import word_places
+from riskloom.llm.hashing import WindowHasher, mix, word_places
 
 #: Notices by family.
 TEMPLATES = {

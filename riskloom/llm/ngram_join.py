@@ -4,7 +4,7 @@ Two documents link when the Jaccard similarity of their sets of word windows rea
 threshold. Documents with equal sets are one class; the join is between classes. If two
 sets of sizes m and n link, they share at least ``need`` windows, so under *any* global
 order of windows their first ``n - ceil(t n) + 1`` share one. Three orders are used:
-windows rare in the corpus first (by counts of all documents in a fixed number of
+windows of rare words first (by counts of the words of all documents in a fixed number of
 buckets), and two by scrambled hash. Postings of the first order give candidates; a pair
 must also pass the length filter, the filter by the place of the shared window, a bound
 on the symmetric difference from 512 parity bits, and must share a window of its prefixes
@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import only, table
+from riskloom.llm.common import only, slices, table
 from riskloom.llm.graph import components
 from riskloom.llm.hashing import WindowHasher, lowered_words, mix
 from riskloom.sources.staging import stage
 
-#: Buckets that windows are counted in for the first order; the driver holds this many numbers.
+#: Buckets that words are counted in for the first order; the driver holds this many numbers.
 COUNT_BUCKETS = 1 << 16
 #: Seeds of the other orders.
 OTHER_ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
@@ -45,8 +45,8 @@ PARITY_WORDS = 8
 PARITY = [f"parity_{i}" for i in range(PARITY_WORDS)]
 
 
-def _bucket(windows: np.ndarray) -> np.ndarray:
-    return (windows >> np.uint64(48)).astype(np.int64) & (COUNT_BUCKETS - 1)
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(48)).astype(np.int64) & (COUNT_BUCKETS - 1)
 
 
 def class_of(windows: np.ndarray) -> int:
@@ -69,11 +69,12 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WindowHasher(size), np.zeros(COUNT_BUCKETS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, classes, buckets = [], [], [np.zeros(0, np.int64)]
             for text in batch.column("text").to_pylist():
-                windows = np.unique(hasher.windows(lowered_words(text)))
-                buckets.append(_bucket(windows))
+                words = hasher.words(lowered_words(text))
+                windows = np.unique(hasher.joined(words))
+                buckets.append(_bucket(words))
                 sizes.append(len(windows))
                 classes.append(class_of(windows) if len(windows) else None)
             seen += np.bincount(np.concatenate(buckets), minlength=COUNT_BUCKETS)
@@ -90,26 +91,33 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
     """A row per class and task: doc_id of its text, n, prefix in the first order, prefixes in the others, parity bits."""
 
+    # A word's weight grows with its count; a window's is the sum, in steps of 1/16 of a doubling.
+    weights = np.round(16 * np.log2(counts + 1)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, met = WindowHasher(size), set()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                windows = np.unique(hasher.windows(lowered_words(text)))
+                words = hasher.words(lowered_words(text))
+                windows, where = np.unique(hasher.joined(words), return_index=True)
                 if not len(windows) or (name := class_of(windows)) in met:
                     continue
                 met.add(name)
                 first = len(windows) - _least_shared(len(windows), percent) + 1
-                rare = windows[np.lexsort((windows, counts[_bucket(windows)]))[:first]]
-                others = [np.sort(mix(windows ^ np.uint64(seed)))[:first] for seed in OTHER_ORDERS]
-                rows.append((name, doc_id, len(windows), rare.view(np.int64), *[o.view(np.int64) for o in others], *parity_bits(windows)))
+                sums = np.concatenate([[0], np.cumsum(weights[_bucket(words)])])
+                common = sums[np.minimum(where + size, len(words))] - sums[where]
+                rare = windows[np.lexsort((windows, common))[:first]]
+                others = [np.sort(mix(windows ^ np.uint64(seed)) >> np.uint64(33))[:first] for seed in OTHER_ORDERS]
+                rows.append((name, doc_id, len(windows), rare.view(np.int64), *[o.astype(np.int32) for o in others], *parity_bits(windows)))
             if rows:
                 columns = list(zip(*rows))
-                arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(c, pa.list_(pa.int64())) for c in columns[3:6]]
+                arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.list_(pa.int64()))]
+                arrays += [pa.array(c, pa.list_(pa.int32())) for c in columns[4:6]]
                 yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(c, pa.int64()) for c in columns[6:]]], names)
 
     names = ["class", "doc_id", "n", "rare", "other_1", "other_2", *PARITY]
-    kinds = {"rare": "array<bigint>", "other_1": "array<bigint>", "other_2": "array<bigint>"}
+    kinds = {"rare": "array<bigint>", "other_1": "array<int>", "other_2": "array<int>"}
     return docs.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'bigint')}" for n in names))
 
 
@@ -118,7 +126,7 @@ def window_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher(size)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(hasher.windows(lowered_words(text))) for text in batch.column("text").to_pylist()]
             columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["class", "windows"])
@@ -130,7 +138,7 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose sets ``left`` and ``right`` reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for left, right in zip(batch.column("left"), batch.column("right")):
                 x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
@@ -181,11 +189,12 @@ def join_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
         counts[bucket] = seen
     classes = stage(prefixes(docs, counts, size, percent), "prefixes")
 
-    # Windows in the prefixes of two classes; most are in one, and end here.
+    # Most windows are in one prefix, and end here. Then a class that several tasks met counts once.
     postings = classes.select("class", "n", F.posexplode("rare").alias("place", "window")).withColumn("place", F.col("place") + 1)
-    shared = postings.groupBy("window").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y")
-    lists = postings.join(stage(shared.select("window"), "shared"), "window").distinct()
-    lists = stage(lists, "lists")
+    twice = stage(postings.groupBy("window").count().where("count > 1").select("window"), "twice")
+    lists = stage(postings.join(twice, "window").distinct(), "lists")
+    shared = lists.groupBy("window").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y")
+    lists = stage(lists.join(stage(shared.select("window"), "shared"), "window"), "lists")
     active = lists.select("class").distinct()
     held = classes.join(stage(active, "active"), "class").dropDuplicates(["class"])
     held = stage(held.drop("rare", "n"), "classes")

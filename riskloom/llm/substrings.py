@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import only, slices, table
-from riskloom.llm.hashing import mix
+from riskloom.llm.hashing import least_places, mix
 from riskloom.llm.suffix_groups import common_prefixes, suffix_array
 from riskloom.sources.staging import stage
 
@@ -85,19 +85,6 @@ class SliceHasher:
         return mix((self.sums[size:] - self.sums[:n]) * SliceHasher.down[:n])
 
 
-def _least_places(hashes: np.ndarray, reach: int) -> np.ndarray:
-    """Place of the least hash (first of equal ones) among any ``reach`` neighbours."""
-    low = np.uint64(28)
-    least = (hashes >> low << low) | np.arange(len(hashes), dtype=np.uint64)
-    width = 1
-    while 2 * width <= reach:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < reach:
-        least = np.minimum(least[: width - reach], least[reach - width :])
-    return (least & np.uint64((1 << 28) - 1)).astype(np.int64)
-
-
 def regions(data: bytes) -> tuple[np.ndarray, ...]:
     """Of each region: first and last start of its windows, anchor, hash of its bytes, hashes left and right of the anchor.
 
@@ -108,7 +95,7 @@ def regions(data: bytes) -> tuple[np.ndarray, ...]:
         piece = data[begin : begin + CHUNK + LENGTH - 1]
         hasher = SliceHasher(piece)
         grams = hasher.grams(GRAM)
-        place = _least_places(grams, LENGTH - GRAM + 1)
+        place = least_places(grams, LENGTH - GRAM + 1)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         last = np.r_[first[1:] - 1, len(place) - 1]
         at = place[first]
@@ -154,7 +141,7 @@ def _marked(pieces: list[bytes]) -> list[int]:
     joined = b"".join(pieces)
     begins = np.cumsum([0] + [len(p) for p in pieces])
     hasher = SliceHasher(joined)
-    cuts = np.unique(np.concatenate([_least_places(hasher.grams(PHRASE_GRAM), PHRASE_REACH), begins[:-1]]))
+    cuts = np.unique(np.concatenate([least_places(hasher.grams(PHRASE_GRAM), PHRASE_REACH), begins[:-1]]))
     ends = np.r_[cuts[1:], len(joined)]
     phrases = np.unique(hasher.slices(cuts, ends) + (ends - cuts).astype(np.uint64), return_inverse=True)[1] + 1
     opens = np.searchsorted(cuts, begins[:-1])
