@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import only, slices, table
 from riskloom.llm.graph import components
-from riskloom.llm.hashing import WindowHasher, mix
-from riskloom.llm.ngram_join import PARITY, class_of, linked, parity_bits
+from riskloom.llm.hashing import WindowHasher, WordTable, least_places, mix
+from riskloom.llm.ngram_join import PARITY, linked
 from riskloom.sources.staging import stage
 
 #: Words per window, least Jaccard similarity in percent, and least words of a line to count as a paragraph.
@@ -47,20 +47,46 @@ _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 SPAN = "doc_id bigint, at bigint, upto bigint"
 
 
-def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of ``data`` start and end, in bytes."""
-    codes = np.frombuffer(data, np.uint8)
-    inside = np.concatenate([[False], (codes != 32) & ((codes < 9) | (codes > 13)), [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[::2], edges[1::2]
-
-
-def _bands(windows: np.ndarray) -> list[int]:
-    minima = mix(windows[:, None] ^ _SEEDS).min(axis=0).reshape(BANDS, ROWS)
-    found = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in minima.T:
-        found = mix(found) + column
-    return mix(found).view(np.int64).tolist()
+class Paragraphs:
+    """The paragraphs of several texts, with their distinct windows one paragraph after the other."""
+
+    def __init__(self, texts: list[str | None], hasher: WindowHasher):
+        words = WordTable(texts, hasher)
+        counts = np.bincount(words.line)
+        chosen = np.flatnonzero(counts >= MIN_WORDS)
+        last = np.cumsum(counts)[chosen]
+        first = last - counts[chosen]
+        self.text = words.text[first]
+        self.at, self.upto = words.at[first], words.upto[last - 1]
+        number = np.full(len(counts) + 1, -1)
+        number[chosen] = np.arange(len(chosen))
+        n = len(words.hashes) - WINDOW + 1
+        inside = np.flatnonzero((words.line[: max(n, 0)] == words.line[WINDOW - 1 :]) & (counts >= MIN_WORDS)[words.line[: max(n, 0)]])
+        owner, windows = number[words.line[inside]], hasher.joined(words.hashes)[inside]
+        order = np.lexsort((windows, owner))
+        owner, windows = owner[order], windows[order]
+        fresh = np.flatnonzero((owner != np.roll(owner, 1)) | (windows != np.roll(windows, 1)) | (np.arange(len(owner)) == 0))
+        self.owner, self.windows = owner[fresh], windows[fresh]
+        self.sizes = np.bincount(self.owner, minlength=len(chosen))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        # A set's name: the sum of its scrambled windows, scrambled with its size.
+        sums = np.add.reduceat(mix(self.windows ^ _SEEDS[0]), self.starts) if len(chosen) else np.zeros(0, np.uint64)
+        self.classes = mix(sums + self.sizes.astype(np.uint64)).view(np.int64)
+
+    def bands(self) -> np.ndarray:
+        """One row of band hashes per paragraph. The least of scrambled hashes after one more exclusive or is a MinHash."""
+        found = np.empty((len(self.sizes), BANDS), np.uint64)
+        for band in range(BANDS):
+            found[:, band] = band
+            for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
+                found[:, band] = mix(found[:, band]) + np.minimum.reduceat(self.windows ^ seed, self.starts)
+        return mix(found).view(np.int64)
+
+    def parity(self) -> np.ndarray:
+        width = 64 * len(PARITY)
+        cells = self.owner * width + (self.windows & np.uint64(width - 1)).astype(np.int64)
+        bits = np.bincount(cells, minlength=len(self.sizes) * width) & 1
+        return np.packbits(bits.astype(np.uint8).reshape(-1, width), axis=1).view(np.int64)
 
 
 def paragraph_rows(docs: DataFrame) -> DataFrame:
@@ -69,25 +95,25 @@ def paragraph_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, met = WindowHasher(WINDOW), set()
         for batch in slices(batches):
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                at = 0
-                for line in (text or "").encode().lower().split(b"\n"):
-                    words = line.split()
-                    if len(words) >= MIN_WORDS:
-                        windows = np.unique(hasher.windows(words))
-                        name = class_of(windows)
-                        extra = [None] * (1 + len(PARITY)) if name in met else [_bands(windows), *parity_bits(windows)]
-                        met.add(name)
-                        rows.append((doc_id, at, at + len(line), name, len(windows), *extra))
-                    at += len(line) + 1
-            if rows:
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] + [pa.int64()] * len(PARITY)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    names = ["doc_id", "at", "upto", "class", "n", "bands", *PARITY]
+            found = Paragraphs(batch.column("text").to_pylist(), hasher)
+            if not len(found.sizes):
+                continue
+            known = []
+            for name in found.classes.tolist():
+                known.append(name in met)
+                met.add(name)
+            known = np.array(known)
+            ids = batch.column("doc_id").take(pa.array(found.text))
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(found.bands().ravel(), pa.int64()), BANDS).cast(pa.list_(pa.int64()))
+            parity = [pa.array(p, pa.int64()) for p in found.parity().T]
+            columns = [pa.array(c, pa.int64()) for c in (found.at, found.upto, found.classes, found.sizes)]
+            yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(~known), bands, *parity], names)
+
+    names = ["doc_id", "at", "upto", "class", "n", "first", "bands", *PARITY]
     rest = ", ".join(f"{p} bigint" for p in PARITY)
-    return docs.mapInArrow(run, f"{SPAN}, class bigint, n bigint, bands array<bigint>, {rest}")
+    rows = docs.mapInArrow(run, f"{SPAN}, class bigint, n bigint, first boolean, bands array<bigint>, {rest}")
+    # Signatures of further copies are dropped before anything is written.
+    return rows.select("doc_id", "at", "upto", "class", "n", *[F.when(F.col("first"), F.col(c)).alias(c) for c in ("bands", *PARITY)])
 
 
 def paragraph_sets(docs: DataFrame) -> DataFrame:
@@ -96,10 +122,9 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher(WINDOW)
         for batch in slices(batches):
-            lines = [line.split() for text in batch.column("text").to_pylist() for line in (text or "").encode().lower().split(b"\n")]
-            sets = [np.unique(hasher.windows(words)) for words in lines if len(words) >= MIN_WORDS]
-            columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["class", "windows"])
+            found = Paragraphs(batch.column("text").to_pylist(), hasher)
+            sets = [found.windows[a : a + n].tobytes() for a, n in zip(found.starts.tolist(), found.sizes.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(found.classes, pa.int64()), pa.array(sets, pa.binary())], ["class", "windows"])
 
     return docs.select("text").mapInArrow(run, "class bigint, windows binary")
 
@@ -110,29 +135,22 @@ def block_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher(ANCHOR)
         for batch in slices(batches):
-            parts: list[list[np.ndarray]] = []
-            owners, counts = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                data = (text or "").encode().lower()
-                words = data.split()
-                if len(words) < BLOCK + REACH + ANCHOR - 1:
-                    continue
-                hashed = hasher.words(words)
-                view = np.lib.stride_tricks.sliding_window_view(hasher.windows(words), REACH)
-                chosen = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-                chosen = chosen[chosen + BLOCK <= len(words)]
-                first = second = np.full(len(chosen), BLOCK, np.uint64)
-                for i in range(BLOCK):
-                    first = mix(first) + hashed[chosen + i]
-                    second = mix(second ^ _SEEDS[0]) ^ hashed[chosen + i]
-                starts, ends = word_places(data)
-                parts.append([starts[chosen], ends[chosen + BLOCK - 1], mix(first).view(np.int64), mix(second).view(np.int64)])
-                owners.append(doc_id)
-                counts.append(len(chosen))
-            if owners:
-                columns = [np.concatenate(c) for c in zip(*parts)]
-                ids = pa.array(owners, pa.int64()).take(pa.array(np.repeat(np.arange(len(owners)), counts)))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in columns]], names)
+            words = WordTable(batch.column("text").to_pylist(), hasher)
+            if len(words.hashes) < BLOCK + REACH + ANCHOR - 1:
+                continue
+            least = least_places(hasher.joined(words.hashes), REACH)
+            # Anchors of reaches inside one text, with room for a block.
+            inside = words.text[: len(least)] == words.text[REACH + ANCHOR - 2 : REACH + ANCHOR - 2 + len(least)]
+            chosen = np.unique(least[inside])
+            chosen = chosen[chosen + BLOCK <= len(words.hashes)]
+            chosen = chosen[words.text[chosen] == words.text[chosen + BLOCK - 1]]
+            first = second = np.full(len(chosen), BLOCK, np.uint64)
+            for i in range(BLOCK):
+                first = mix(first) + words.hashes[chosen + i]
+                second = mix(second ^ _SEEDS[0]) ^ words.hashes[chosen + i]
+            columns = words.at[chosen], words.upto[chosen + BLOCK - 1], mix(first).view(np.int64), mix(second).view(np.int64)
+            ids = batch.column("doc_id").take(pa.array(words.text[chosen]))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in columns]], names)
 
     names = ["doc_id", "at", "upto", "block", "check"]
     return docs.mapInArrow(run, f"{SPAN}, block bigint, check bigint")
