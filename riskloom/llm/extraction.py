@@ -19,7 +19,6 @@ without a page that names its article, nothing can be learned or extracted; othe
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,8 @@ TRAINING_BLOCKS = 200
 #: Rows of the path table, buckets of words, other measures, and cells per direction.
 PATHS, WORDS, MEASURES, CELLS = 2048, 32, 4, 16
 STEPS, PAGES_PER_STEP, RATE = 220, 16, 0.02
-#: Blocks that a task labels in one pass.
-BLOCKS_PER_PASS = 8192
+#: Blocks that a task labels in one pass, and tag paths that a worker keeps the rows of.
+BLOCKS_PER_PASS, KEPT_PATHS = 8192, 4096
 
 #: Containers of the article, of everything else, and ways to say them on pages unlike the sample.
 ARTICLE = ("<article>", "<main>")
@@ -53,20 +52,23 @@ ARTICLE_NAMES = "article body content entry main post story text".split()
 OTHER_TAGS = ("<div>", "<section>", "<ul>", "<p>", "<span>", "<table>")
 
 
-@lru_cache(4096)
 def path_rows(path: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(sorted({xxhash.xxh3_64_intdigest(name) % PATHS for name in path})) or (0,)
 
 
 class Sequences:
-    """Vectors of the blocks of several pages."""
+    """Vectors of the blocks of several pages. Words and paths met before are kept, up to a number."""
 
     hasher = WindowHasher(1)
+    known_paths: dict[tuple[str, ...], tuple[int, ...]] = {}
 
     def __init__(self, pages: Sequence[Sequence[Block]]):
         self.lengths = np.array([len(p) for p in pages])
         blocks = [b for p in pages for b in p]
-        rows = [path_rows(b.path) for b in blocks]
+        known = self.known_paths
+        if len(known) > KEPT_PATHS:
+            known.clear()
+        rows = [known[b.path] if b.path in known else known.setdefault(b.path, path_rows(b.path)) for b in blocks]
         self.row_counts = np.array([len(r) for r in rows])
         self.rows = np.fromiter((r for part in rows for r in part), np.int64, int(self.row_counts.sum()))
         self.row_starts = np.cumsum(np.r_[0, self.row_counts[:-1]])
