@@ -6,12 +6,12 @@ sets of sizes m and n link, they share at least ``need`` windows, so under *any*
 order of windows their first ``n - ceil(t n) + 1`` share one. Three orders are used:
 windows of rare words first (by counts of the words of all documents in a fixed number of
 buckets), and two by scrambled hash. Postings of the first order give candidates; a pair
-must also pass the length filter, the filter by the place of the shared window, a bound
-on the symmetric difference from 512 parity bits, and must share a window of its prefixes
-under each other order. Only then are both sets brought together and compared.
+must also pass the length filter, a bound on the symmetric difference from 512 parity bits,
+filters by the number of shared windows and the place of the first (prefixes are a little
+longer for that), and must share a window of its prefixes under each other order. Only then are both sets brought together and compared.
 
 All filters keep every link. Components need fewer pairs than there are links: first each
-posting list is compared with its least member alone, then only pairs in lists that still
+class is compared with the head of most of its posting lists alone, then only pairs in lists that still
 hold different components are looked at. A big group of near copies so costs one pair per
 copy and list, not one for any two copies.
 
@@ -40,6 +40,8 @@ from riskloom.sources.staging import stage
 COUNT_BUCKETS = 1 << 16
 #: Seeds of the other orders.
 OTHER_ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: One more window in the first order's prefix for so many in the set; a link then shares one more of them.
+SPARE = 64
 #: 64-bit words of parity bits per class.
 PARITY_WORDS = 8
 PARITY = [f"parity_{i}" for i in range(PARITY_WORDS)]
@@ -107,7 +109,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                 first = len(windows) - _least_shared(len(windows), percent) + 1
                 sums = np.concatenate([[0], np.cumsum(weights[_bucket(words)])])
                 common = sums[np.minimum(where + size, len(words))] - sums[where]
-                rare = windows[np.lexsort((windows, common))[:first]]
+                rare = windows[np.lexsort((windows, common))[: first + len(windows) // SPARE]]
                 others = [np.sort(mix(windows ^ np.uint64(seed)) >> np.uint64(33))[:first] for seed in OTHER_ORDERS]
                 rows.append((name, doc_id, len(windows), rare.view(np.int64), *[o.astype(np.int32) for o in others], *parity_bits(windows)))
             if rows:
@@ -150,19 +152,31 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _alike(x: str, y: str, percent: int) -> Column:
-    """Whether postings ``x`` and ``y`` of one window can belong to a link whose first shared window this is.
+    """Whether sets ``x`` and ``y`` can be linked: near sizes, and parity bits that differ in few places.
 
-    A link shares at least p (m + n) / (100 + p) windows: all of them at or after this
-    window in both orders, and the sets differ in no more than the rest.
+    A link shares at least p (m + n) / (100 + p) windows, so the sets differ in no more than the rest.
     """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    after = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place")) + 1
     differ = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITY), F.lit(0))
-    return (
-        (100 * F.least(n, m) >= percent * F.greatest(n, m))
-        & ((100 + percent) * after >= percent * (n + m))
-        & ((100 + percent) * differ <= (100 - percent) * (n + m))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+
+def _enough_shared(joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` that share enough windows of their prefixes, the first of them early enough.
+
+    Prefixes have ``n // SPARE`` windows to spare, so a link shares as many of the smaller one and one
+    more. All windows it shares stand at or after the first shared one, which must leave room for them.
+    """
+    x, y = F.col("x.class") < F.col("y.class"), F.col("x.class") > F.col("y.class")
+    sides = {k: (F.when(x, F.col(f"x.{k}")).otherwise(F.col(f"y.{k}")), F.when(y, F.col(f"x.{k}")).otherwise(F.col(f"y.{k}"))) for k in ("class", "n", "place")}
+    columns = [c.alias(f"{k}_{side}") for k, both in sides.items() for side, c in zip("ab", both)]
+    counted = joined.select(*columns).groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b")).agg(
+        F.count("*").alias("shared"), *[F.min(f"{k}_{side}").alias(f"{k}_{side}") for k in ("n", "place") for side in "ab"]
     )
+    n, m = F.col("n_a"), F.col("n_b")
+    after = F.least(n - F.col("place_a"), m - F.col("place_b")) + 1
+    spare = F.floor(F.least(n, m) / SPARE)
+    return counted.where((F.col("shared") > spare) & ((100 + percent) * after >= percent * (n + m))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -204,7 +218,11 @@ def join_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
     heads = stage(heads.select(F.col("window").alias("of"), "head.*"), "heads")
     stars = lists.alias("x").join(heads.alias("y"), F.col("x.window") == F.col("y.of"))
     stars = stars.where((F.col("x.class") != F.col("y.class")) & _alike("x", "y", percent))
-    links = _verified(_pairs(stars), held, docs, size, percent)
+    # One head for each class, the one that most of its lists have: this step only has to link much, not all.
+    heads_of = stars.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("times"))
+    best = heads_of.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", "best.b")
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _verified(stage(best, "pairs"), held, docs, size, percent)
 
     grouped = lists.join(stage(components(links), "components"), F.col("class") == F.col("node"), "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "class")).drop("node")
@@ -214,7 +232,7 @@ def join_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
         rest.alias("y"),
         (F.col("x.window") == F.col("y.window")) & (F.col("x.component") < F.col("y.component")) & _alike("x", "y", percent),
     )
-    links = links.union(_verified(_pairs(across), held, docs, size, percent))
+    links = links.union(_verified(stage(_enough_shared(across, percent), "pairs"), held, docs, size, percent))
 
     found = stage(components(links), "components")
     named = described.where("bucket is null").select("doc_id", "n_shingles", F.col("class").alias("__class"))
@@ -224,10 +242,5 @@ def join_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
     return named.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    x, y = F.col("x.class"), F.col("y.class")
-    return stage(joined.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "pairs")
-
-
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
