@@ -121,9 +121,12 @@ def fit_rates(rows: DataFrame, targets: Sequence[float]) -> Column:
     return best
 
 
-def largest_budget(totals: Sequence[float], weights: Sequence[float]) -> float:
-    """Tokens that can be drawn at these weights before some domain has to be repeated."""
-    return min((t / w for t, w in zip(totals, weights) if w > 0), default=0.0)
+def targets_within(held: Sequence[float], shares: np.ndarray) -> np.ndarray:
+    """Tokens per domain at these shares without repeating any: the domain with the greatest share is used
+    whole, each other one as its share asks, or whole where it holds less than that."""
+    held = np.asarray(held, dtype=float)
+    main = int(np.argmax(np.where(held > 0, shares, -1.0)))
+    return np.minimum(held, shares * held[main] / shares[main]) if shares[main] > 0 else np.zeros(len(shares))
 
 
 def copies_of(rate: Column, doc_id: Column) -> Column:
@@ -137,8 +140,8 @@ def copies_of(rate: Column, doc_id: Column) -> Column:
 def mix_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], budget: float | None = None) -> DataFrame:
     """One row per document: content (hash of the text), n_tokens, the posterior of each domain, rate and copies.
 
-    ``weights`` maps domains, in the order of their numbers, to shares of ``budget`` tokens;
-    without a budget it is the largest for which no domain has to be repeated.
+    ``weights`` maps domains, in the order of their numbers, to shares of ``budget`` tokens. Without
+    a budget nothing is repeated: see ``targets_within``.
     """
     shares = np.asarray(list(weights.values()), dtype=float) / sum(weights.values())
     scored = posteriors(only(docs, doc_id="bigint", text="string"), labelled, len(shares))
@@ -147,8 +150,10 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, fl
     n = F.col("n_tokens").cast("double")
     if budget is None:
         held = rows.agg(*[F.coalesce(F.sum(n * F.col("posterior")[i]), F.lit(0.0)) for i in range(len(shares))]).first()
-        budget = largest_budget(held, shares)
-    rate = F.round(fit_rates(rows, budget * shares), 6)
+        targets = targets_within(held, shares)
+    else:
+        targets = budget * shares
+    rate = F.round(fit_rates(rows, targets), 6)
     named = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(weights)]
     mixed = rows.select("doc_id", "content", "n_tokens", *named, rate.alias("rate"))
     return mixed.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))

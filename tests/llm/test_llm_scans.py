@@ -199,6 +199,13 @@ def test_mixing_meets_its_targets(spark, rows):
     assert sum(x["copies"] for x in found) == pytest.approx(sum(x["rate"] for x in found), rel=0.15)
 
 
+def test_a_scarce_domain_does_not_shrink_the_mixture():
+    shares = np.array([0.9, 0.05, 0.05])
+    assert mixing.targets_within([900.0, 0.0, 500.0], shares).tolist() == [900.0, 0.0, 50.0]
+    assert mixing.targets_within([0.0, 1000.0, 10.0], shares) == pytest.approx([0.0, 1000.0, 10.0])
+    assert mixing.targets_within([0.0, 0.0, 0.0], shares).tolist() == [0.0, 0.0, 0.0]
+
+
 def test_mixing_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, domain int")
