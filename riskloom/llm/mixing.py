@@ -42,7 +42,7 @@ SNAP = 0.1
 
 #: Domains of the ``labels`` table: (name, quality, toxic), and the share of tokens each is to have.
 DOMAINS = (("clean", 1, 0), ("clean_toxic", 1, 1), ("poor", 0, 0), ("poor_toxic", 0, 1))
-WEIGHTS = {"clean": 0.95, "clean_toxic": 0.01, "poor": 0.03, "poor_toxic": 0.01}
+WEIGHTS = {"clean": 0.95, "clean_toxic": 0.01, "poor": 0.03, "poor_toxic": 0.002}
 
 
 def with_words(docs: DataFrame) -> DataFrame:
