@@ -1,15 +1,19 @@
-"""Licence scans with a trained paragraph classifier.
-
-Paragraphs are lines; a long line is read in overlapping windows, so that a notice in the
-middle of it is not thinned out. Hashed one- and two-word features feed a multinomial logistic
-regression over licence families and an unknown class. It is trained on the driver with
-variations of notice templates, and with a bounded sample of the corpus's own paragraphs and
-scrambled notices as the unknown class. A held-out part sets the temperature of the
-probabilities, and the least probability at which few of its unknown paragraphs, scrambled
-notices among them, are accepted. A prediction counts when the best template of its family also agrees: most of
-the template's word pairs are in the window.
-
-Every paragraph of every document is scored, inside tasks, in one pass without a shuffle.
+"""Licence scans with a trained notice classifier.
+
+A text is one sequence of words, across its line ends; words of punctuation alone (comment
+marks) are passed over, so a hard-wrapped notice reads like one on a single line. Every
+place where most word pairs of a template stand close together is a candidate of the
+template's family. Hashed one- and two-word features of its words feed a multinomial
+logistic regression over licence families and an unknown class. It is trained on the driver
+with variations of notice templates, and with a bounded sample of the corpus's own paragraphs
+and scrambled notices as the unknown class. A held-out part sets the temperature of the
+probabilities, and the least chance of a family against the unknown class at which few of its
+unknown paragraphs, scrambled notices among them, are accepted. Candidates with that chance are
+notices. Where candidates share words, the one with the greatest probability, agreement and
+density of matched words counts; others are findings of their own, also of the same family or
+in the same line.
+
+Every word of every document is compared, inside tasks, in one pass without a shuffle.
 
 Defined cases: null, empty and blank texts have no findings; repeated rows are reported
 each; an empty table gives an empty table (the classifier is then trained without corpus
@@ -98,12 +102,14 @@ FAMILIES = list(TEMPLATES)
 FEATURES, SAMPLE, VARIATIONS, STEPS = 1 << 14, 3000, 40, 120
 #: Notices of so many words are also given scrambled, as unknown.
 SCRAMBLED = 8
-#: Words of a line that are one window; words and stride of windows of longer lines.
-SHORT_LINE, WINDOW, STRIDE = 30, 24, 10
+#: Words that a candidate may span; of templates with more than two thirds of that, half as many again as they have.
+WINDOW = 24
 #: Share of held-out unknown paragraphs that the least probability may let through to the templates.
 FALSE_ACCEPTS = 0.02
-#: Share of a template's word pairs that must be in the window.
+#: Share of a template's word pairs that must be in the candidate.
 AGREEMENT = 0.6
+#: Candidates scored at once.
+SCORED = 4096
 
 
 class NoticeHasher(WindowHasher):
@@ -119,6 +125,10 @@ class NoticeHasher(WindowHasher):
         return np.fromiter(map(store.__getitem__, words), np.uint64, len(words))
 
 
+#: The hash of words of punctuation alone.
+MARKS = np.uint64(xxhash.xxh3_64_intdigest(b""))
+
+
 def word_pairs(hashed: np.ndarray) -> np.ndarray:
     return mix(mix(hashed[:-1]) + hashed[1:])
 
@@ -140,17 +150,26 @@ class NoticeClassifier:
         self.weights, self.bias, self.temperature, self.least = weights, bias, temperature, least
         hasher = NoticeHasher(1)
         self.templates = [[np.unique(word_pairs(hasher.words(t.encode().split()))) for t in TEMPLATES[f]] for f in FAMILIES]
+        # Pairs of all templates and of each template: its family, words, and which of them it has.
+        several = [(k, t) for k, family in enumerate(self.templates) for t in family]
+        self.pairs = np.unique(np.concatenate([t for _, t in several]))
+        self.matched = [(k, len(t) + 1, np.isin(self.pairs, t)) for k, t in several]
 
     def chances(self, hashed: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Class probabilities of the windows of words from ``starts`` to ``ends``."""
-        one = np.zeros((len(hashed) + 1, len(self.bias)), np.float64)
-        two = one.copy()
-        np.cumsum(self.weights[_buckets(hashed)], axis=0, out=one[1:])
-        if len(hashed) > 1:
-            np.cumsum(self.weights[_buckets(word_pairs(hashed))], axis=0, out=two[1:-1])
-            two[-1] = two[-2]
-        sums = one[ends] - one[starts] + two[ends - 1] - two[starts]
-        return softmax((sums / np.sqrt(2.0 * (ends - starts) - 1)[:, None] + self.bias) / self.temperature)
+        """Class probabilities of the spans of two or more words from ``starts`` to ``ends``."""
+        found = np.empty((len(starts), len(self.bias)))
+        words = _buckets(hashed)
+        pairs = _buckets(word_pairs(hashed))
+        for low in range(0, len(starts), SCORED):
+            first, n = starts[low : low + SCORED], (ends - starts)[low : low + SCORED]
+            begins = np.cumsum(n) - n
+            at = np.repeat(first - begins, n) + np.arange(n.sum())
+            one = np.add.reduceat(self.weights[words[at]], begins, axis=0)
+            two = self.weights[pairs[np.minimum(at, len(pairs) - 1)]]
+            two[begins + n - 1] = 0  # the last word starts no pair
+            sums = one + np.add.reduceat(two, begins, axis=0)
+            found[low : low + SCORED] = softmax((sums / np.sqrt(2.0 * n - 1)[:, None] + self.bias) / self.temperature)
+        return found
 
     def agreement(self, hashed: np.ndarray, family: int) -> float:
         pairs = word_pairs(hashed)
@@ -162,6 +181,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def against_unknown(chances: np.ndarray) -> np.ndarray:
+    """Chance of each family if it is that family or none; other notices nearby do not lower it."""
+    return chances[:, 1:] / (chances[:, 1:] + chances[:, :1] + 1e-300)
+
+
 def train_notices(paragraphs: Sequence[str], seed: int = 11) -> NoticeClassifier:
     """Fit the classifier; ``paragraphs`` of the corpus are taken as unknown unless a template is in them."""
     r = np.random.default_rng(seed)
@@ -214,46 +238,69 @@ def train_notices(paragraphs: Sequence[str], seed: int = 11) -> NoticeClassifier
     scores = logits(at, counts)
     losses = {t: -np.log(softmax(scores / t)[np.arange(len(wanted)), wanted] + 1e-9).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
     temperature = min(losses, key=losses.__getitem__)
-    wrong = softmax(scores / temperature)[wanted == 0, 1:].max(axis=1, initial=0.0)
+    wrong = against_unknown(softmax(scores / temperature)[wanted == 0]).max(axis=1, initial=0.0)
     least = float(np.quantile(wrong, 1 - FALSE_ACCEPTS)) if len(wrong) else 0.0
     return NoticeClassifier(weights, bias, temperature, min(0.9, max(0.5, least)))
 
 
-def _windows(lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line, first and last word (exclusive) of each window; lines of one word have none."""
-    line, start, end = [], [], []
-    at = 0
-    for k, n in enumerate(lengths):
-        firsts = [0] if n <= SHORT_LINE else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
-        if n > 1:
-            line += [k] * len(firsts)
-            start += [at + f for f in firsts]
-            end += [at + (n if n <= SHORT_LINE else f + WINDOW) for f in firsts]
-        at += n
-    return np.array(line, np.int64), np.array(start, np.int64), np.array(end, np.int64)
+def _candidates(hashed: np.ndarray, model: NoticeClassifier) -> list[tuple[int, int, int, float, float]]:
+    """(first word, last word exclusive, family, agreement, density) wherever a template agrees.
+
+    From every matched pair on, each span that ends with a pair of the template not yet in it and
+    has enough of them is one.
+    """
+    pairs = word_pairs(hashed)
+    slot = np.minimum(np.searchsorted(model.pairs, pairs), len(model.pairs) - 1)
+    hits = np.flatnonzero(model.pairs[slot] == pairs)
+    slot = slot[hits]
+    found = []
+    for family, n_words, has in model.matched:
+        mine = has[slot]
+        if mine.sum() < AGREEMENT * (n_words - 1):
+            continue
+        at, pair = hits[mine], slot[mine]
+        least, reach = int(np.ceil(AGREEMENT * (n_words - 1) - 1e-9)), max(WINDOW, n_words * 3 // 2) - 1
+        # Spans without room for enough pairs are passed over at once.
+        for i in np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] < reach).tolist():
+            seen: set[int] = set()
+            for j in range(i, len(at)):
+                if at[j] - at[i] >= reach:
+                    break
+                if int(pair[j]) in seen:
+                    continue
+                seen.add(int(pair[j]))
+                if len(seen) >= least:
+                    n = int(at[j] - at[i]) + 2
+                    found.append((int(at[i]), int(at[i]) + n, family, len(seen) / (n_words - 1), min(1.0, (len(seen) + 1) / n)))
+    return found
 
 
 def text_notices(text: str, model: NoticeClassifier, hasher: NoticeHasher) -> list[tuple[int, int, int, Notice]]:
-    """(line, first byte, last byte exclusive, notice): the best window of each family in each line."""
-    lines = [line.split() for line in text.encode().split(b"\n")]
-    words = [w for line in lines for w in line]
-    line, start, end = _windows([len(x) for x in lines])
-    if not len(line):
-        return []
-    hashed = hasher.words(words)
-    chances = model.chances(hashed, start, end)
-    best = chances.argmax(axis=1)
-    found: dict[tuple[int, int], tuple] = {}
-    for i in np.flatnonzero((best > 0) & (chances.max(axis=1) >= model.least)):
-        family, chance = int(best[i]) - 1, float(chances[i, best[i]])
-        agreed = model.agreement(hashed[start[i] : end[i]], family)
-        known = found.get((int(line[i]), family))
-        if agreed >= AGREEMENT and (known is None or known[2].probability < chance):
-            found[int(line[i]), family] = (int(start[i]), int(end[i]), Notice(family, chance, agreed))
+    """(line, first byte, last byte exclusive, notice) of every notice; its line is where it starts."""
+    data = text.encode()
+    found = []
+    hashed = hasher.words(data.split())
+    spoken = np.flatnonzero(hashed != MARKS)
+    hashed = hashed[spoken]
+    candidates = _candidates(hashed, model) if len(hashed) > 1 else []
+    if candidates:
+        first, last = (edge[spoken] for edge in word_places(data))
+        start, end, family = (np.array(c, np.int64) for c in list(zip(*candidates))[:3])
+        chances = model.chances(hashed, start, end)
+        rows = np.arange(len(family))
+        chance = chances[rows, family + 1]
+        worth = chance * np.array([agreed * dense for *_, agreed, dense in candidates])
+        taken = np.zeros(len(hashed), bool)
+        allowed = against_unknown(chances)[rows, family] >= model.least
+        for i in np.lexsort((start, -worth)).tolist():
+            a, b = int(start[i]), int(end[i])
+            if allowed[i] and not taken[a:b].any():
+                taken[a:b] = True
+                found.append((int(first[a]), int(last[b - 1]), Notice(int(family[i]), float(chance[i]), candidates[i][3])))
     if not found:
         return []
-    first, last = word_places(text.encode())
-    return [(k, int(first[a]), int(last[b - 1]), notice) for (k, _), (a, b, notice) in sorted(found.items())]
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    return [(int(np.searchsorted(ends, a)), a, b, notice) for a, b, notice in sorted(found)]
 
 
 def scan_licenses(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -181,6 +181,25 @@ def test_held_out_notices():
     assert right >= 0.9 * sum(map(len, licenses.TEMPLATES.values()))
 
 
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_notices_wrapped_over_lines():
+    model, hasher = licenses.train_notices([]), licenses.NoticeHasher(1)
+    text = "one line\n\n" + GPL_HEADER + "\nbody\n"
+    ((line, at, upto, notice),) = licenses.text_notices(text, model, hasher)
+    assert (line, licenses.FAMILIES[notice.family]) == (2, "GPL")
+    assert text[at:upto].startswith("you can redistribute") and text[at:upto].endswith("Free Software Foundation,")
+    for family, texts in licenses.TEMPLATES.items():
+        for words in (t.split() for t in texts if len(t.split()) > 15):
+            for width in (6, 8):
+                wrapped = "\n".join(" * " + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+                assert [licenses.FAMILIES[n.family] for *_, n in licenses.text_notices(wrapped, model, hasher)] == [family], wrapped
+
+
 def test_mixing_meets_its_targets(spark, rows):
     r = np.random.default_rng(2)
     kinds = ["apple pear plum", "red green blue", "one two three"]
