@@ -13,6 +13,10 @@ notices. Where candidates share words, the one with the greatest probability, ag
 density of matched words counts; others are findings of their own, also of the same family or
 in the same line.
 
+SPDX tags are read by their identifiers, each of an expression by itself: a family's prefix
+decides, whatever the version or suffix, and probability and agreement are 1. Identifiers of
+no family listed here (Apache-1.1, CC-BY-ND) are unknown.
+
 Every word of every document is compared, inside tasks, in one pass without a shuffle.
 
 Defined cases: null, empty and blank texts have no findings; repeated rows are reported
@@ -22,6 +26,7 @@ paragraphs); other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -110,6 +115,22 @@ FALSE_ACCEPTS = 0.02
 AGREEMENT = 0.6
 #: Candidates scored at once.
 SCORED = 4096
+#: SPDX identifiers by family, and the tag before them.
+IDENTIFIERS = {
+    "MIT": r"MIT(-.+|NFA)?",
+    "Apache-2.0": r"Apache-2\.0.*",
+    "GPL": r"GPL-.+",
+    "LGPL": r"LGPL(LR)?-.+",
+    "AGPL": r"AGPL-.+",
+    "BSD": r"0?BSD(-.+)?",
+    "MPL-2.0": r"MPL-2\.0.*",
+    "CC-BY": r"CC-BY-\d.*",
+    "CC-BY-SA": r"CC-BY-SA-.+",
+    "CC-BY-NC": r"CC-BY-NC-.+",
+    "public domain": r"CC0-.+|Unlicense.*|CC-PDDC|PDDL-.+",
+    "proprietary": r"LicenseRef-.*(Proprietary|Commercial|All-Rights-Reserved).*",
+}
+SPDX, TAG = re.compile(rb"SPDX-License-Identifier\s*:?\s*([^\r\n]*)", re.I), b"spdx-license-identifier"
 
 
 class NoticeHasher(WindowHasher):
@@ -150,8 +171,8 @@ class NoticeClassifier:
         self.weights, self.bias, self.temperature, self.least = weights, bias, temperature, least
         hasher = NoticeHasher(1)
         self.templates = [[np.unique(word_pairs(hasher.words(t.encode().split()))) for t in TEMPLATES[f]] for f in FAMILIES]
-        # Pairs of all templates and of each template: its family, words, and which of them it has.
-        several = [(k, t) for k, family in enumerate(self.templates) for t in family]
+        # Pairs of all templates but the SPDX tags, and of each template: its family, words, and which of them it has.
+        several = [(k, t) for k, family in enumerate(self.templates) for t in family if len(t) > 1]
         self.pairs = np.unique(np.concatenate([t for _, t in several]))
         self.matched = [(k, len(t) + 1, np.isin(self.pairs, t)) for k, t in several]
 
@@ -275,10 +296,33 @@ def _candidates(hashed: np.ndarray, model: NoticeClassifier) -> list[tuple[int,
     return found
 
 
+def spdx_notices(data: bytes) -> list[tuple[int, int, int]]:
+    """(first byte, last byte exclusive, family) of the identifiers after SPDX tags."""
+    found = []
+    if TAG not in data.lower():
+        return found
+    for tag in SPDX.finditer(data):
+        before, first = b"AND", True
+        for word in re.finditer(rb"[^\s()]+", tag[1]):
+            name = word[0].strip(b".,;:!?[]{}\"'*#/|")
+            if name.upper() in (b"AND", b"OR", b"WITH"):
+                before = name.upper()
+                continue
+            if not before:
+                break
+            if before != b"WITH":
+                at = tag.start(1) + word.start() + word[0].index(name)
+                families = [k for k, f in enumerate(FAMILIES) if re.fullmatch(IDENTIFIERS[f].encode(), name, re.I)]
+                found += [(tag.start() if first else at, at + len(name), k) for k in families]
+                first = False
+            before = b""
+    return found
+
+
 def text_notices(text: str, model: NoticeClassifier, hasher: NoticeHasher) -> list[tuple[int, int, int, Notice]]:
     """(line, first byte, last byte exclusive, notice) of every notice; its line is where it starts."""
     data = text.encode()
-    found = []
+    found = [(a, b, Notice(k, 1.0, 1.0)) for a, b, k in spdx_notices(data)]
     hashed = hasher.words(data.split())
     spoken = np.flatnonzero(hashed != MARKS)
     hashed = hashed[spoken]

@@ -200,6 +200,23 @@ def test_notices_wrapped_over_lines():
                 assert [licenses.FAMILIES[n.family] for *_, n in licenses.text_notices(wrapped, model, hasher)] == [family], wrapped
 
 
+def test_every_notice_of_a_line_is_found():
+    model, hasher = licenses.train_notices([]), licenses.NoticeHasher(1)
+
+    def found(text):
+        return [(text[a:b], licenses.FAMILIES[n.family]) for _, a, b, n in licenses.text_notices(text, model, hasher)]
+
+    mit, cc = ("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY")
+    assert found(f"{mit[0]} {cc[0]}") == [mit, cc]
+    assert found(f"{mit[0]} {mit[0]} {mit[0]}") == [mit] * 3
+    assert found(" and then some words ".join([cc[0]] * 50)) == [cc] * 50
+    for name, family in (("GPL-2.0-only", "GPL"), ("LGPL-3.0-only", "LGPL"), ("BSD-2-Clause", "BSD"), ("CC-BY-SA-4.0", "CC-BY-SA"), ("CC0-1.0", "public domain")):
+        assert found(f"// SPDX-License-Identifier: {name}") == [(f"SPDX-License-Identifier: {name}", family)]
+    both = "SPDX-License-Identifier: (MIT OR GPL-2.0-or-later WITH Classpath-exception-2.0) AND Zlib"
+    assert found(both) == [("SPDX-License-Identifier: (MIT", "MIT"), ("GPL-2.0-or-later", "GPL")]
+    assert found("SPDX-License-Identifier: CC-BY-ND-4.0") == []
+
+
 def test_mixing_meets_its_targets(spark, rows):
     r = np.random.default_rng(2)
     kinds = ["apple pear plum", "red green blue", "one two three"]
