@@ -10,7 +10,11 @@ A passage that was pasted into the middle of a longer paragraph is not one of th
 It is found as a paragraph of its own: every text also has blocks of ``BLOCK`` words that
 start at anchors, words chosen as the least hash of any ``REACH`` neighbouring windows, so
 the same passage has the same blocks wherever it stands. Blocks are as short as to lie
-inside any passage of 50 words, and collide only when all their words agree.
+inside any passage of 50 words, and collide only when all their words agree. Each is then
+extended, word by word in both directions, as far as any earlier occurrence of the block
+reads the same: first against the block's first occurrence, then among those that leave it
+at the same word in the same way, and so on. A longer run holds a further block, so that
+the spans of one run touch, and the whole run is removed.
 
 In a band's bucket each paragraph is compared with the least one, and only buckets that
 still hold different components are joined in full, behind bounds on length and on parity
@@ -25,6 +29,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,8 @@ WINDOW, PERCENT, MIN_WORDS = 5, 80, 16
 BANDS, ROWS = 8, 3
 #: Words per block, and windows of three words among which one starts a block: 20 + 28 + 2 words hold a whole block.
 BLOCK, REACH, ANCHOR = 20, 28, 3
+#: Words on each side of a block that are compared: a run beyond them holds a block nearer to its end.
+AROUND = REACH + ANCHOR - 1
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 SPAN = "doc_id bigint, at bigint, upto bigint"
@@ -133,6 +140,14 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "class bigint, windows binary")
 
 
+def _block_hashes(hashes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = second = np.full(len(chosen), BLOCK, np.uint64)
+    for i in range(BLOCK):
+        first = mix(first) + hashes[chosen + i]
+        second = mix(second ^ _SEEDS[0]) ^ hashes[chosen + i]
+    return mix(first).view(np.int64), mix(second).view(np.int64)
+
+
 def block_rows(docs: DataFrame) -> DataFrame:
     """A row per anchored block: its place and two hashes of its words."""
 
@@ -148,11 +163,8 @@ def block_rows(docs: DataFrame) -> DataFrame:
             chosen = np.unique(least[inside])
             chosen = chosen[chosen + BLOCK <= len(words.hashes)]
             chosen = chosen[words.text[chosen] == words.text[chosen + BLOCK - 1]]
-            first = second = np.full(len(chosen), BLOCK, np.uint64)
-            for i in range(BLOCK):
-                first = mix(first) + words.hashes[chosen + i]
-                second = mix(second ^ _SEEDS[0]) ^ words.hashes[chosen + i]
-            columns = words.at[chosen], words.upto[chosen + BLOCK - 1], mix(first).view(np.int64), mix(second).view(np.int64)
+            first, second = _block_hashes(words.hashes, chosen)
+            columns = words.at[chosen], words.upto[chosen + BLOCK - 1], first, second
             ids = batch.column("doc_id").take(pa.array(words.text[chosen]))
             yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in columns]], names)
 
@@ -160,6 +172,77 @@ def block_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"{SPAN}, block bigint, check bigint")
 
 
+def _lists(values: np.ndarray, there: np.ndarray) -> pa.Array:
+    ends = pa.array(np.r_[0, np.cumsum(there.sum(axis=1))], pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(values[there].view(np.int64)))
+
+
+def surroundings(texts: DataFrame) -> DataFrame:
+    """For the blocks that start at the bytes ``ats`` of each text: the words on one side (0 before, 1 after), nearest first.
+
+    ``chain`` has a hash of the nearest word, of the nearest two, and so on, ``edges`` the byte where each of these runs ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WindowHasher(ANCHOR)
+        for batch in slices(batches, 64):
+            words = WordTable(batch.column("text").to_pylist(), hasher)
+            wanted = batch.column("ats")
+            text = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy())
+            wanted = (text << 40) | wanted.flatten().to_numpy()
+            known = (words.text << 40) | words.at
+            # Rows that repeat an id may have another text, without a word or a block there.
+            chosen = np.searchsorted(known, wanted)
+            chosen, wanted = chosen[chosen + BLOCK <= len(known)], wanted[chosen + BLOCK <= len(known)]
+            chosen = chosen[(known[chosen] == wanted) & (words.text[chosen] == words.text[chosen + BLOCK - 1])] if len(chosen) else chosen
+            if not len(chosen):
+                continue
+            first, second = _block_hashes(words.hashes, chosen)
+            ids = batch.column("doc_id").take(pa.array(words.text[chosen]))
+            own = [pa.array(c, pa.int64()) for c in (words.at[chosen], words.upto[chosen + BLOCK - 1], first, second)]
+            for side in (0, 1):
+                steps = np.arange(1, AROUND + 1)
+                places = chosen[:, None] + (BLOCK - 1 + steps if side else -steps)
+                there = (places >= 0) & (places < len(known))
+                places = np.where(there, places, 0)
+                there &= words.text[places] == words.text[chosen][:, None]
+                chain, last = np.empty(places.shape, np.uint64), np.zeros(len(chosen), np.uint64)
+                for i in range(AROUND):
+                    last = chain[:, i] = mix(last + _SEEDS[side]) + words.hashes[places[:, i]]
+                edges = (words.upto if side else words.at)[places]
+                sides = pa.array(np.full(len(chosen), side), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids, *own, sides, _lists(chain, there), _lists(edges, there)], names)
+
+    names = ["doc_id", "at", "upto", "block", "check", "side", "chain", "edges"]
+    return texts.select("doc_id", "text", "ats").mapInArrow(run, f"{SPAN}, block bigint, check bigint, side int, chain array<bigint>, edges array<bigint>")
+
+
+def _extended(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """id, block_at, cluster, and the span that the block has in common with earlier occurrences of it."""
+    ats = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("at").alias("ats"))
+    texts = docs.join(stage(ats, "block-places"), F.col("doc_id").eqNullSafe(F.col("id")))
+    rows = surroundings(texts).withColumn("cluster", F.xxhash64("block", "check")).drop("block", "check")
+    rows = stage(rows.withColumn("key", F.col("cluster")), "surroundings")
+    d = F.coalesce("doc_id", F.lit(-(1 << 62)))
+    spans = []
+    for level in range(AROUND + 1):
+        heads = rows.groupBy("side", "key").agg(F.min(F.struct(d.alias("d"), "at", "chain")).alias("head"), F.count("*").alias("n"))
+        heads = stage(heads.where("n > 1").drop("n"), "run-heads")
+        if heads.isEmpty():
+            break
+        # Hashes of runs agree up to the first word that differs.
+        same = F.size(F.filter(F.zip_with("chain", "head.chain", lambda x, y: x == y), lambda x: x))
+        later = rows.join(heads, ["side", "key"]).where((d != F.col("head.d")) | (F.col("at") != F.col("head.at")))
+        later = stage(later.withColumn("n", same).drop("head"), "runs")
+        edge = F.when(F.col("n") > 0, F.element_at("edges", F.greatest(F.col("n"), F.lit(1)))).otherwise(F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("upto")))
+        spans.append(later.select("doc_id", "at", "cluster", "side", edge.alias("edge")))
+        left = later.where(F.col("n") < F.size("chain")).withColumn("key", F.xxhash64("key", F.element_at("chain", F.col("n") + 1)))
+        rows = left.drop("n")
+    every = reduce(DataFrame.union, spans) if spans else rows.select("doc_id", "at", "cluster", "side", F.col("at").alias("edge"))
+    before, after = F.min(F.when(F.col("side") == 0, F.col("edge"))), F.max(F.when(F.col("side") == 1, F.col("edge")))
+    return every.groupBy(F.col("doc_id").alias("id"), F.col("at").alias("block_at"), F.col("cluster").alias("of")).agg(before.alias("from"), after.alias("to"))
+
+
 def _repeated_blocks(docs: DataFrame) -> DataFrame:
     """Blocks whose words stand in two places, all occurrences: doc_id, at, upto, cluster, kept."""
     blocks = stage(block_rows(docs), "all-blocks")
@@ -168,7 +251,11 @@ def _repeated_blocks(docs: DataFrame) -> DataFrame:
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("d"), "at")
     heads = found.groupBy("block", "check").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1")
     found = found.join(stage(heads, "heads"), ["block", "check"])
-    return found.select("doc_id", "at", "upto", F.xxhash64("block", "check").alias("cluster"), (order == F.col("head")).alias("kept"))
+    found = found.select("doc_id", "at", "upto", F.xxhash64("block", "check").alias("cluster"), (order == F.col("head")).alias("kept"))
+    found = stage(found, "repeated-blocks")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("at") == F.col("block_at")) & (F.col("cluster") == F.col("of")) & ~F.col("kept")
+    joined = found.join(stage(_extended(docs, found), "extended"), same, "left")
+    return joined.select("doc_id", F.coalesce("from", "at").alias("at"), F.coalesce("to", "upto").alias("upto"), "cluster", "kept")
 
 
 def _alike(x: str, y: str) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -111,6 +112,27 @@ def test_paragraphs_catch_passages_and_leave_clean_texts(frame, corpus, rows):
     assert any(not kept for *_, kept in by_doc[30]) and all(kept for *_, kept in by_doc[0])
 
 
+def sentence(r, n):
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(4, 7))) for _ in range(n))
+
+
+def test_a_pasted_passage_is_removed_whole(frame, rows):
+    r = random.Random(8)
+    passages = [sentence(r, n) for n in (50, 65, 200)]
+    cut = " ".join(passages[2].split()[:120])
+    texts = [f"{sentence(r, 45)} {p} {sentence(r, 45)}" for p in (*passages[:2], cut) for _ in range(3)]
+    # The first occurrences have 120 words of the passage; the next one all 200, and the later ones repeat it.
+    texts += [f"{sentence(r, 45)} {passages[2]} {sentence(r, 45)}" for _ in range(3)]
+    covered = defaultdict(set)
+    for doc_id, at, upto, _, kept in rows(paragraphs.repeated_spans(frame(list(enumerate(texts))))):
+        if not kept:
+            covered[doc_id].update(range(at, upto))
+    for doc_id, passage in ((1, passages[0]), (2, passages[0]), (4, passages[1]), (5, passages[1]), (7, cut), (9, cut), (10, passages[2]), (11, passages[2])):
+        begin = texts[doc_id].index(passage)
+        assert covered[doc_id] == set(range(begin, begin + len(passage))), doc_id
+    assert not {0, 3, 6} & set(covered)
+
+
 def test_band_recall_at_the_threshold():
     chance = 1 - (1 - (paragraphs.PERCENT / 100) ** paragraphs.ROWS) ** paragraphs.BANDS
     assert chance > 0.99
