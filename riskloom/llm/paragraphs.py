@@ -1,8 +1,9 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Paragraphs (lines of ``MIN_WORDS`` words or more) get MinHash signatures over windows of
-five words, cut into bands that are tuned for recall: at Jaccard 0.8 a pair shares one of
-8 bands of 3 rows with probability 0.997. Paragraphs that collide in a band are verified on
+Paragraphs (all lines with words) get MinHash signatures over windows of five words, cut into
+bands that are tuned for recall: at Jaccard 0.8 a pair shares one of 8 bands of 3 rows with
+probability 0.997. A line of fewer words is one window by itself. Sets of fewer than ``EXACT``
+windows reach 0.8 with equal ones only, so their class decides without bands. Paragraphs that collide in a band are verified on
 their exact sets of windows and linked at 0.8 or more; each component keeps its first
 occurrence (least document, then least place) and the others are removed.
 
@@ -20,8 +21,7 @@ In a band's bucket each paragraph is compared with the least one, and only bucke
 still hold different components are joined in full, behind bounds on length and on parity
 bits that no linked pair can fail; so a big group of copies is not expanded into pairs.
 
-Defined cases: null, empty and blank texts have no paragraphs and lose nothing; shorter
-lines are left alone; rows repeated with the same id stand in the same places, so they are
+Defined cases: null, empty and blank texts have no paragraphs and lose nothing; rows repeated with the same id stand in the same places, so they are
 kept or removed alike; a null id sorts first; an empty table gives an empty table; other
 columns are ignored.
 """
@@ -42,8 +42,12 @@ from riskloom.llm.hashing import WindowHasher, WordTable, least_places, mix
 from riskloom.llm.ngram_join import PARITY, linked
 from riskloom.sources.staging import stage
 
-#: Words per window, least Jaccard similarity in percent, and least words of a line to count as a paragraph.
-WINDOW, PERCENT, MIN_WORDS = 5, 80, 16
+#: Words per window, and least Jaccard similarity in percent.
+WINDOW, PERCENT = 5, 80
+#: Least windows of a set that another set can be linked with: n of n + 1 windows are the percentage.
+EXACT = -(-PERCENT // (100 - PERCENT))
+#: Paragraphs whose parity bits are counted at once.
+COUNTED = 4096
 BANDS, ROWS = 8, 3
 #: Words per block, and windows of three words among which one starts a block: 20 + 28 + 2 words hold a whole block.
 BLOCK, REACH, ANCHOR = 20, 28, 3
@@ -60,7 +64,7 @@ class Paragraphs:
     def __init__(self, texts: list[str | None], hasher: WindowHasher):
         words = WordTable(texts, hasher)
         counts = np.bincount(words.line)
-        chosen = np.flatnonzero(counts >= MIN_WORDS)
+        chosen = np.flatnonzero(counts)
         last = np.cumsum(counts)[chosen]
         first = last - counts[chosen]
         self.text = words.text[first]
@@ -68,8 +72,16 @@ class Paragraphs:
         number = np.full(len(counts) + 1, -1)
         number[chosen] = np.arange(len(chosen))
         n = len(words.hashes) - WINDOW + 1
-        inside = np.flatnonzero((words.line[: max(n, 0)] == words.line[WINDOW - 1 :]) & (counts >= MIN_WORDS)[words.line[: max(n, 0)]])
-        owner, windows = number[words.line[inside]], hasher.joined(words.hashes)[inside]
+        inside = np.flatnonzero(words.line[: max(n, 0)] == words.line[WINDOW - 1 :])
+        owners, sets = [number[words.line[inside]]], [hasher.joined(words.hashes)[inside]]
+        for width in range(1, WINDOW):
+            short = np.flatnonzero(last - first == width)
+            whole = np.full(len(short), width, np.uint64)
+            for i in range(width):
+                whole = mix(whole + _SEEDS[1]) + words.hashes[first[short] + i]
+            owners.append(short)
+            sets.append(mix(whole))
+        owner, windows = np.concatenate(owners), np.concatenate(sets)
         # One key of both sorts faster than two; it is enough unless windows of a paragraph differ in their low bits alone.
         key = (owner.astype(np.uint64) << np.uint64(40)) | (windows >> np.uint64(24))
         order = np.argsort(key)
@@ -95,13 +107,18 @@ class Paragraphs:
 
     def parity(self) -> np.ndarray:
         width = 64 * len(PARITY)
-        cells = self.owner * width + (self.windows & np.uint64(width - 1)).astype(np.int64)
-        bits = np.bincount(cells, minlength=len(self.sizes) * width) & 1
-        return np.packbits(bits.astype(np.uint8).reshape(-1, width), axis=1).view(np.int64)
+        parts = [np.zeros((0, len(PARITY)), np.int64)]
+        for low in range(0, len(self.sizes), COUNTED):
+            n = min(COUNTED, len(self.sizes) - low)
+            of = slice(self.starts[low], self.starts[low + n - 1] + self.sizes[low + n - 1])
+            cells = (self.owner[of] - low) * width + (self.windows[of] & np.uint64(width - 1)).astype(np.int64)
+            bits = np.bincount(cells, minlength=n * width) & 1
+            parts.append(np.packbits(bits.astype(np.uint8).reshape(-1, width), axis=1).view(np.int64))
+        return np.concatenate(parts)
 
 
 def paragraph_rows(docs: DataFrame) -> DataFrame:
-    """A row per paragraph; the first of its class in a task also has its bands and parity bits."""
+    """A row per paragraph; the first of its class in a task also has its bands and parity bits, if it has enough windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, met = WindowHasher(WINDOW), set()
@@ -118,7 +135,7 @@ def paragraph_rows(docs: DataFrame) -> DataFrame:
             bands = pa.FixedSizeListArray.from_arrays(pa.array(found.bands().ravel(), pa.int64()), BANDS).cast(pa.list_(pa.int64()))
             parity = [pa.array(p, pa.int64()) for p in found.parity().T]
             columns = [pa.array(c, pa.int64()) for c in (found.at, found.upto, found.classes, found.sizes)]
-            yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(~known), bands, *parity], names)
+            yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(~known & (found.sizes >= EXACT)), bands, *parity], names)
 
     names = ["doc_id", "at", "upto", "class", "n", "first", "bands", *PARITY]
     rest = ", ".join(f"{p} bigint" for p in PARITY)

@@ -133,6 +133,21 @@ def test_a_pasted_passage_is_removed_whole(frame, rows):
     assert not {0, 3, 6} & set(covered)
 
 
+def test_short_lines_are_compared(frame, rows):
+    r = random.Random(9)
+    lines = [sentence(r, n) for n in (1, 3, 5, 7, 15)]
+    near = sentence(r, 14).split()
+    texts = ["\n".join([sentence(r, 12), *lines, " ".join(near), sentence(r, 6)]) for _ in range(3)]
+    texts.append("\n".join([sentence(r, 9), " ".join([*near, "more"]), sentence(r, 2)]))
+    gone = defaultdict(list)
+    for doc_id, at, upto, _, kept in sorted(rows(paragraphs.repeated_spans(frame(list(enumerate(texts)))))):
+        if not kept:
+            gone[doc_id].append(texts[doc_id][at:upto])
+    for doc_id in (1, 2):
+        assert set(gone[doc_id]) >= {*lines, " ".join(near)}
+    assert gone[3] == [" ".join([*near, "more"])] and 0 not in gone
+
+
 def test_band_recall_at_the_threshold():
     chance = 1 - (1 - (paragraphs.PERCENT / 100) ** paragraphs.ROWS) ** paragraphs.BANDS
     assert chance > 0.99
