@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import extraction, licenses, mixing, quality, secrets, sharding
 from riskloom.llm.common import table
@@ -242,6 +243,28 @@ def test_a_scarce_domain_does_not_shrink_the_mixture():
     assert mixing.targets_within([0.0, 0.0, 0.0], shares).tolist() == [0.0, 0.0, 0.0]
 
 
+def test_a_scarce_domain_is_repeated_up_to_its_share(spark):
+    r = np.random.default_rng(3)
+    kinds = ["apple pear plum", "red green blue"]
+    # The second domain holds a fiftieth of the tokens and is to have a tenth of them.
+    number = lambda i: int(i % 50 == 0)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(kinds[number(i)].split(), 20))) for i in range(2000)], "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, number(i)) for i in range(1000)], "doc_id bigint, domain int")
+    weights = {"fruit": 0.9, "colour": 0.1}
+    mixed = mixing.mix_documents(docs, known, weights).cache()
+    assert mixed.where("p_colour > 0.9 and rate > 4 and copies >= 4").count() == 40
+    totals = {x["domain"]: x for x in mixing.mixture_totals(mixed, weights).collect()}
+    for name, share in weights.items():
+        assert totals[name]["target"] == pytest.approx(40000 * share)
+        assert totals[name]["fitted"] == pytest.approx(40000 * share, rel=1e-3)
+        assert totals[name]["copied"] == pytest.approx(40000 * share, rel=0.05)
+
+
+def test_fractions_of_copies_are_drawn_near_whole_numbers(spark):
+    often = spark.range(20000).select(mixing.copies_of(F.lit(0.95), F.col("id")).alias("n")).groupBy("n").count().collect()
+    assert {x["n"] for x in often} == {0, 1} and {x["n"]: x["count"] for x in often}[1] == pytest.approx(19000, rel=0.01)
+
+
 def test_mixing_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, domain int")
