@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from riskloom.llm.decontamination import OP10_SQL, op10_minhash_containment
 from riskloom.llm.extraction import op7_recurrent_extraction
+from riskloom.llm.languages import op11_word_backoff
 from riskloom.llm.licenses import op8_license_classifier
+from riskloom.llm.manifest import OP12_SQL, op12_van_emde_boas_manifest
 from riskloom.llm.mixing import op9_soft_mixing
+from riskloom.llm.negatives import OP13_SQL, op13_bit_plane_negatives
 from riskloom.llm.ngram_join import op1_ngram_jaccard_join
 from riskloom.llm.paragraphs import op2_paragraph_minhash
 from riskloom.llm.quality import op6_suffix_repetition
@@ -26,6 +29,14 @@ QUERIES = {
         op8_license_classifier,
         op9_soft_mixing,
         op10_minhash_containment,
+        op11_word_backoff,
+        op12_van_emde_boas_manifest,
+        op13_bit_plane_negatives,
     )
 }
-ORACLES = {"op3_rendezvous_sharding": OP3_SQL, "op10_minhash_containment": OP10_SQL}
+ORACLES = {
+    "op3_rendezvous_sharding": OP3_SQL,
+    "op10_minhash_containment": OP10_SQL,
+    "op12_van_emde_boas_manifest": OP12_SQL,
+    "op13_bit_plane_negatives": OP13_SQL,
+}
