@@ -83,7 +83,7 @@ def test_words_and_marks():
 def test_words_are_counted_over_all_documents(spark, monkeypatch):
     monkeypatch.setattr(languages, "STORE", 2)
     rows = {(r["lang"], r["word"]): r["n"] for r in count_words(frame(spark, DOCS * 3)).collect()}
-    assert rows["en", "the"] == 12 and rows[None, "the"] == 9 and rows["fr", "est"] == 6
+    assert rows["en", "the"] == 12 and rows[None, "the"] == 9 and rows["fr", "est"] == 9
 
 
 def test_the_model_is_bounded(spark):
