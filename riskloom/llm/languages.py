@@ -6,7 +6,7 @@ which at least one is known, and counts with their mean, so that every word has
 text's language has the greatest sum; the score is that language's share of the likelihoods per
 word (their geometric mean), which says how clear the choice is.
 
-Words are runs of letters (with the marks that belong to them, cut every 64), in lower case. Word counts cover every
+Words are runs of letters (composed, cut every 64), in lower case. Word counts cover every
 document that may be learnt from. The model keeps, for each language, its most frequent words and n-grams,
 as many as ``MODEL_CELLS`` allows: a frequency from which all are kept is found from a table of how many have
 each count, so nothing is sorted in one task. Its size is therefore bounded whatever the corpus is; words
@@ -21,7 +21,8 @@ and not held out; repeated rows count each; an empty table gives an empty table;
 from __future__ import annotations
 
 import re
-from collections import Counter
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ LONGEST = 5
 #: Numbers in the model: n-grams and words, times languages. Four bytes each.
 MODEL_CELLS = 1 << 23
 #: Words, or n-grams of one length, that are kept per language at most.
-KEPT = 50_000
+KEPT = 20_000
 #: Added to every count.
 SMOOTHING = 0.5
 #: Words kept with their numbers in one worker before the store is emptied.
@@ -46,12 +47,12 @@ STORE = 1 << 17
 #: What texts without letters are in.
 UNDETERMINED = "und"
 
-#: Letters with the marks on them; the same in tasks that learn and tasks that predict. A longer run is several words.
-WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f]){0,63}")
+#: Letters; the same in tasks that learn and tasks that predict. A longer run is several words.
+WORD = re.compile(r"[^\W\d_]{1,64}")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    return WORD.findall(unicodedata.normalize("NFC", text.lower())) if text else []
 
 
 def grams_of(word: str, length: int) -> list[str]:
@@ -64,37 +65,46 @@ def count_words(docs: DataFrame) -> DataFrame:
     """``lang``, ``word``, ``n``: occurrences over all of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[str | None, Counter] = defaultdict(Counter)
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for word, n in Counter(words_of(text)).items():
-                    held[lang, word] += n
-            if len(held) > STORE:
-                yield _counted(held)
-                held.clear()
-        if held:
-            yield _counted(held)
+                held[lang].update(words_of(text))
+            if sum(map(len, held.values())) > STORE:
+                yield from _drained(held, lambda lang: [lang])
+        yield from _drained(held, lambda lang: [lang])
 
     counts = docs.select("lang", "text").mapInArrow(run, "lang string, word string, n bigint")
     return counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _counted(held: Counter) -> pa.RecordBatch:
-    langs, words = [k[0] for k in held], [k[1] for k in held]
-    return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
-
-
 def count_grams(words: DataFrame) -> DataFrame:
     """``lang``, ``size`` (0 for whole words), ``gram``, ``n``, from counted words."""
-    marked = F.concat(F.lit("<"), "word", F.lit(">"))
-    found = []
-    for size in range(1, LONGEST + 1):
-        whole = F.col("word") if size == 1 else marked
-        places = F.sequence(F.lit(1), F.length(whole) - (size - 1))
-        grams = F.transform(places, lambda i: F.substring(whole, i, F.lit(size)))
-        found.append(F.transform(F.when(F.length(whole) >= size, grams).otherwise(F.array().cast("array<string>")), lambda g: F.struct(F.lit(size).alias("size"), g.alias("gram"))))
-    each = words.select("lang", "n", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("size"), F.col("word").alias("gram"))), *found)).alias("g"))
-    return each.groupBy("lang", "g.size", "g.gram").agg(F.sum("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], Counter] = defaultdict(Counter)
+        for batch in slices(batches, 4096):
+            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
+                held[lang, 0][word] += n
+                for size in range(1, LONGEST + 1):
+                    counts = held[lang, size]
+                    for gram in grams_of(word, size):
+                        counts[gram] += n
+            if sum(map(len, held.values())) > STORE:
+                yield from _drained(held, list)
+        yield from _drained(held, list)
+
+    grams = words.mapInArrow(run, "lang string, size int, gram string, n bigint")
+    return grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+
+
+def _drained(held: dict, key_columns) -> Iterator[pa.RecordBatch]:
+    """The counts as rows of their key, word and number; ``held`` is empty afterwards."""
+    names = ["lang", "word", "n"] if not any(isinstance(k, tuple) for k in held) else ["lang", "size", "gram", "n"]
+    kinds = [pa.string(), pa.int32()]
+    for key, counts in held.items():
+        fixed = [pa.array([v] * len(counts), kind) for v, kind in zip(key_columns(key), kinds)]
+        yield pa.RecordBatch.from_arrays([*fixed, pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names)
+    held.clear()
 
 
 @dataclass
@@ -119,29 +129,34 @@ class Model:
     def predict(self, texts: list[str | None], store: dict[str, np.ndarray]) -> tuple[list[str], list[float]]:
         """Languages and scores; ``store`` keeps the values of words that fell back."""
         langs, scores = [], []
+        row_of = self.places[0].get
         for text in texts:
-            words = words_of(text)
-            sums = np.zeros(len(self.langs))
-            known = [i for w in words if (i := self.places[0].get(w)) is not None]
-            if known:
-                sums += self.logs[known].sum(axis=0, dtype=np.float64)
-            if len(known) < len(words):
-                for word, n in Counter(w for w in words if w not in self.places[0]).items():
-                    if word not in store:
-                        if len(store) > STORE:
-                            store.clear()
-                        rows = self.numbers(word)
-                        store[word] = self.logs[rows].mean(axis=0, dtype=np.float64) if rows else np.zeros(len(self.langs))
-                    sums += n * store[word]
-            if not words or not self.langs:
+            counts = Counter(words_of(text))
+            if not counts or not self.langs:
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
+            rows = list(map(row_of, counts))
+            numbers = np.fromiter((-1 if i is None else i for i in rows), np.int64, len(rows))
+            often = np.fromiter(counts.values(), np.float64, len(rows))
+            known = numbers >= 0
+            sums = often[known] @ self.logs[numbers[known]].astype(np.float64)
+            for word, n in [item for item, i in zip(counts.items(), rows) if i is None]:
+                sums += n * self._fallen_back(word, store)
             best = int(np.argmax(sums))
             langs.append(self.langs[best])
-            scores.append(float(1 / np.exp((sums - sums[best]) / len(words)).sum()))
+            scores.append(float(1 / np.exp((sums - sums[best]) / often.sum()).sum()))
         return langs, scores
 
+    def _fallen_back(self, word: str, store: dict[str, np.ndarray]) -> np.ndarray:
+        found = store.get(word)
+        if found is None:
+            if len(store) > STORE:
+                store.clear()
+            rows = self.numbers(word)
+            found = store[word] = self.logs[rows].mean(axis=0, dtype=np.float64) if rows else np.zeros(len(self.langs))
+        return found
+
 
 def fit(docs: DataFrame, cells: int = MODEL_CELLS, kept: int = KEPT) -> Model:
     """Count the words of all ``docs`` (``lang`` not null) and keep the most frequent."""
@@ -155,27 +170,29 @@ def fit(docs: DataFrame, cells: int = MODEL_CELLS, kept: int = KEPT) -> Model:
     tops = grams.groupBy("lang", "size", "n").agg(F.count("*").alias("have"))
     upto = F.sum("have").over(Window.partitionBy("lang", "size").orderBy(F.desc("n")))
     least = tops.withColumn("upto", upto).where(F.col("upto") <= most).groupBy("lang", "size").agg(F.min("n").alias("least"))
-    chosen = grams.join(least, ["lang", "size"]).where("n >= least").select("size", "gram").distinct()
-    totals = {(r["lang"], r["size"]): r for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-    # At most ``cells`` counts, as each of the languages keeps at most ``most`` n-grams of each size.
-    model = grams.join(chosen, ["size", "gram"]).groupBy("size", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("counts")).collect()
-    model.sort(key=lambda r: (r["size"], r["gram"]))
-    places: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    totals = grams.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
+    # Six rows per language.
+    told = grams.join(F.broadcast(least), ["lang", "size"], "left")
+    kept_by_any = told.groupBy("size", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("counts"), F.bool_or(F.coalesce(F.col("n") >= F.col("least"), F.lit(False))).alias("kept"))
+    # At most ``cells`` rows: each language keeps at most ``most`` n-grams of each size.
+    model = kept_by_any.where("kept").select("size", "gram", F.explode("counts").alias("c")).select("size", "gram", "c.lang", "c.n").toArrow()
     number = {lang: i for i, lang in enumerate(langs)}
-    counts = np.full((len(model), len(langs)), SMOOTHING)
+    places: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    rows, column, sizes = np.empty(model.num_rows, np.int64), np.empty(model.num_rows, np.int64), []
+    at = 0
+    for batch in model.to_batches(max_chunksize=1 << 14):
+        for size, gram, lang in zip(*(batch.column(c).to_pylist() for c in ("size", "gram", "lang"))):
+            rows[at] = place = places[size].setdefault(gram, len(sizes))
+            if place == len(sizes):
+                sizes.append(size)
+            column[at] = number[lang]
+            at += 1
+    counts = np.full((len(sizes), len(langs)), SMOOTHING)
+    counts[rows, column] += model.column("n").to_numpy()
     sums = np.ones((LONGEST + 1, len(langs)))
-    for size in range(LONGEST + 1):
-        for lang in langs:
-            total = totals.get((lang, size))
-            if total:
-                sums[size, number[lang]] = total["n"] + SMOOTHING * total["kinds"]
-    sizes = np.empty(len(model), np.int64)
-    for i, row in enumerate(model):
-        places[row["size"]][row["gram"]] = i
-        sizes[i] = row["size"]
-        for lang, n in row["counts"]:
-            counts[i, number[lang]] += n
-    return Model(langs, places, np.log(counts / sums[sizes]).astype(np.float32))
+    for total in totals:
+        sums[total["size"], number[total["lang"]]] = total["n"] + SMOOTHING * total["kinds"]
+    return Model(langs, places, np.log(counts / sums[np.array(sizes, np.int64)]).astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
