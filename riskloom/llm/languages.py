@@ -42,7 +42,7 @@ MODEL_CELLS = 1 << 23
 KEPT = 20_000
 #: Added to every count.
 SMOOTHING = 0.5
-#: Words kept with their numbers in one worker before the store is emptied.
+#: Words or n-grams that one worker counts before it passes the counts on.
 STORE = 1 << 17
 #: What texts without letters are in.
 UNDETERMINED = "und"
@@ -126,36 +126,39 @@ class Model:
                 return known
         return []
 
-    def predict(self, texts: list[str | None], store: dict[str, np.ndarray]) -> tuple[list[str], list[float]]:
-        """Languages and scores; ``store`` keeps the values of words that fell back."""
-        langs, scores = [], []
-        row_of = self.places[0].get
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Languages and scores of many texts at once."""
+        if not self.langs:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        numbers: dict[str, int] = {}
+        found: list[int] = []
+        often: list[int] = []
+        sizes = []
         for text in texts:
             counts = Counter(words_of(text))
-            if not counts or not self.langs:
-                langs.append(UNDETERMINED)
-                scores.append(0.0)
-                continue
-            rows = list(map(row_of, counts))
-            numbers = np.fromiter((-1 if i is None else i for i in rows), np.int64, len(rows))
-            often = np.fromiter(counts.values(), np.float64, len(rows))
-            known = numbers >= 0
-            sums = often[known] @ self.logs[numbers[known]].astype(np.float64)
-            for word, n in [item for item, i in zip(counts.items(), rows) if i is None]:
-                sums += n * self._fallen_back(word, store)
-            best = int(np.argmax(sums))
-            langs.append(self.langs[best])
-            scores.append(float(1 / np.exp((sums - sums[best]) / often.sum()).sum()))
-        return langs, scores
-
-    def _fallen_back(self, word: str, store: dict[str, np.ndarray]) -> np.ndarray:
-        found = store.get(word)
-        if found is None:
-            if len(store) > STORE:
-                store.clear()
-            rows = self.numbers(word)
-            found = store[word] = self.logs[rows].mean(axis=0, dtype=np.float64) if rows else np.zeros(len(self.langs))
-        return found
+            found += [numbers.setdefault(word, len(numbers)) for word in counts]
+            often += counts.values()
+            sizes.append(len(counts))
+        values = self._values(list(numbers))
+        word, times, of = np.array(found, np.int64), np.array(often, np.float64), np.repeat(np.arange(len(texts)), sizes)
+        sums = np.stack([np.bincount(of, times * column[word], len(texts)) for column in values.T], axis=1)
+        words = np.bincount(of, times, len(texts))
+        best = sums.argmax(axis=1)
+        shares = np.exp((sums - sums.max(axis=1, keepdims=True)) / np.maximum(words, 1)[:, None])
+        langs = [self.langs[i] if n else UNDETERMINED for i, n in zip(best.tolist(), words.tolist())]
+        return langs, np.where(words > 0, 1 / shares.sum(axis=1), 0.0)
+
+    def _values(self, words: list[str]) -> np.ndarray:
+        """What each word counts with, per language: the mean of its rows, zero without any."""
+        rows = list(map(self.numbers, words))
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter((i for r in rows for i in r), np.int64, int(counts.sum()))
+        values = np.zeros((len(rows), len(self.langs)))
+        some = np.flatnonzero(counts)
+        if len(some):
+            starts = (np.cumsum(counts) - counts)[some]
+            values[some] = np.add.reduceat(self.logs[flat].astype(np.float64), starts, axis=0) / counts[some, None]
+        return values
 
 
 def fit(docs: DataFrame, cells: int = MODEL_CELLS, kept: int = KEPT) -> Model:
@@ -200,9 +203,8 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store: dict[str, np.ndarray] = {}
         for batch in slices(batches):
-            langs, scores = shared.value.predict(batch.column("text").to_pylist(), store)
+            langs, scores = shared.value.predict(batch.column("text").to_pylist())
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
