@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +11,20 @@ from riskloom.operators import features as feat
 from riskloom.operators import joining
 from riskloom.operators.cleaning import clean_payments, clean_prescribers
 from riskloom.operators.rules import RiskThresholds, score
+from riskloom.plans.progress import forget, is_finished, remember, stage_key
+from riskloom.sources.fingerprints import fingerprint
 from riskloom.sources.readers import scan_parquet
 from riskloom.sources.sinks import write_table
 from riskloom.sources.staging import stage
 
 
 def prescriber_table(prescribers: DataFrame, payments: DataFrame) -> DataFrame:
-    """Clean prescribers with their payment summary."""
+    """Clean prescribers with their payment summary, which is written as a stage table right away."""
     return joining.prescriber_level(prescribers, stage(joining.payment_summary(payments), "payment-summary"))
 
 
 def enrich(level: DataFrame, thresholds: RiskThresholds = RiskThresholds()) -> DataFrame:
-    """All engineered columns. The peer means need two columns of ``level`` and are staged."""
+    """All engineered columns. The peer means need two columns of ``level`` and are written as a stage table right away."""
     peers = stage(feat.peer_average(level), "peer-average")
     return feat.add_peer_deviation(feat.add_features(level, thresholds), peers)
 
@@ -30,7 +32,10 @@ def enrich(level: DataFrame, thresholds: RiskThresholds = RiskThresholds()) -> D
 def score_prescribers(
     prescribers: DataFrame, payments: DataFrame, thresholds: RiskThresholds = RiskThresholds()
 ) -> DataFrame:
-    """Clean tables in, scored prescribers out: 39 columns, one row per prescriber."""
+    """Clean tables in, scored prescribers out: 39 columns, one row per prescriber.
+
+    Two stage tables (payment summary, peer means) are written before this returns; the rest is lazy.
+    """
     return score(enrich(prescriber_table(prescribers, payments), thresholds), thresholds)
 
 
@@ -53,6 +58,7 @@ def _side_by_side(*jobs: Callable[[], object]) -> None:
 
 
 def clean_stage(raw_prescribers: DataFrame, raw_payments: DataFrame, folder: str) -> None:
+    forget(raw_payments.sparkSession, folder, "clean")
     _side_by_side(
         lambda: write_table(clean_prescribers(raw_prescribers), _path(folder, "clean_prescribers")),
         lambda: write_table(clean_payments(raw_payments), _path(folder, "clean_payments")),
@@ -61,6 +67,7 @@ def clean_stage(raw_prescribers: DataFrame, raw_payments: DataFrame, folder: str
 
 def aggregate_stage(spark: SparkSession, folder: str) -> None:
     """Prescriber level and payment level; the merge, by far the largest table, is written alongside."""
+    forget(spark, folder, "aggregate")
     prescribers = _read(spark, folder, "clean_prescribers", "aggregate")
     payments = _read(spark, folder, "clean_payments", "aggregate")
 
@@ -76,6 +83,7 @@ def aggregate_stage(spark: SparkSession, folder: str) -> None:
 
 
 def feature_stage(spark: SparkSession, folder: str, thresholds: RiskThresholds = RiskThresholds()) -> None:
+    forget(spark, folder, "features")
     level = _read(spark, folder, "prescriber_level", "features")
     write_table(feat.peer_average(level), _path(folder, "peer_average"))
     peers = _read(spark, folder, "peer_average", "features")
@@ -84,20 +92,51 @@ def feature_stage(spark: SparkSession, folder: str, thresholds: RiskThresholds =
 
 
 def score_stage(spark: SparkSession, folder: str, thresholds: RiskThresholds = RiskThresholds()) -> None:
+    forget(spark, folder, "score")
     enriched = _read(spark, folder, "prescriber_level_enriched", "score")
     write_table(score(enriched, thresholds), _path(folder, "scored_prescribers"), "prescriber_id")
 
 
-TABLES = [
-    "clean_prescribers",
-    "clean_payments",
-    "payment_summary",
-    "prescriber_level",
-    "payment_level",
-    "peer_average",
-    "prescriber_level_enriched",
-    "scored_prescribers",
-]
+# The stages in order, and the tables that each leaves.
+STAGE_TABLES = {
+    "clean": ["clean_prescribers", "clean_payments"],
+    "aggregate": ["payment_summary", "prescriber_level", "payment_level"],
+    "features": ["peer_average", "prescriber_level_enriched"],
+    "score": ["scored_prescribers"],
+}
+TABLES = [table for tables in STAGE_TABLES.values() for table in tables]
+
+
+def resume_etl(
+    spark: SparkSession,
+    raw_prescribers: DataFrame,
+    raw_payments: DataFrame,
+    folder: str,
+    thresholds: RiskThresholds = RiskThresholds(),
+    versions: Sequence[str] | None = None,
+) -> list[str]:
+    """Run the stages that are not finished for this input; returns their names.
+
+    Once a stage runs, all later ones do. Other raw rows repeat the whole job, other thresholds the
+    last two stages. Telling whether the raw tables are the same takes one scan of each, unless
+    ``versions`` names them (for instance by the snapshots they were read from).
+    """
+    work = {
+        "clean": lambda: clean_stage(raw_prescribers, raw_payments, folder),
+        "aggregate": lambda: aggregate_stage(spark, folder),
+        "features": lambda: feature_stage(spark, folder, thresholds),
+        "score": lambda: score_stage(spark, folder, thresholds),
+    }
+    made_from = {"clean": versions or [fingerprint(raw_prescribers), fingerprint(raw_payments)]}
+    made_from |= {name: [thresholds] for name in ("features", "score")}
+    key, ran = "", []
+    for name, tables in STAGE_TABLES.items():
+        key = stage_key(name, key, *made_from.get(name, []))
+        if ran or not is_finished(spark, folder, name, key, tables):
+            work[name]()
+            remember(spark, folder, name, key, tables)
+            ran.append(name)
+    return ran
 
 
 def run_etl(
@@ -106,15 +145,13 @@ def run_etl(
     raw_payments: DataFrame,
     folder: str,
     thresholds: RiskThresholds = RiskThresholds(),
+    versions: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
     """All four stages; returns the tables.
 
-    A failed run can go on from its last complete stage, and a lost executor costs
-    the running stage at most. Tables keyed by prescriber are written in key order,
-    which gives later reads narrow min/max ranges.
+    Run again after a failure, it goes on from the last finished stage, as ``resume_etl`` says; a
+    lost executor costs the running stage at most. Tables keyed by prescriber are written in key
+    order, which gives later reads narrow min/max ranges.
     """
-    clean_stage(raw_prescribers, raw_payments, folder)
-    aggregate_stage(spark, folder)
-    feature_stage(spark, folder, thresholds)
-    score_stage(spark, folder, thresholds)
+    resume_etl(spark, raw_prescribers, raw_payments, folder, thresholds, versions)
     return {name: _read(spark, folder, name, "etl") for name in TABLES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,9 @@ def write_table(df: DataFrame, path: str, order_by: str | None = None, fmt: str
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
     return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table, wherever Spark can write one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

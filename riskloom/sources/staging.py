@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.sources.sinks import delete_path
+
 
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
@@ -49,5 +51,4 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete what this application has staged, once its results are written."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_path(spark, _own_folder(spark))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.learning import dataset, evaluation, scoring, training
 from riskloom.schemas import MODEL_FEATURES, RULE_INPUTS
 from riskloom.sources import models
-from riskloom.sources.readers import MissingColumns
+from riskloom.sources.readers import MissingColumns, MissingInput
 
 
 @pytest.fixture(scope="module")
@@ -118,6 +118,72 @@ def test_model_roundtrip(forest, split, tmp_path):
     assert want == {r["prescriber_id"]: r["prediction"] for r in loaded.transform(split[1]).collect()}
 
 
+def test_copies_of_a_prescriber_are_on_one_side(spark, split):
+    train, _ = split
+    copied = train.union(train).union(train.limit(50))
+    marked = training.mark_validation(copied)
+    sides = marked.groupBy("prescriber_id").agg(F.count_distinct("is_validation").alias("n"))
+    assert sides.filter("n > 1").isEmpty()
+    share = marked.filter("is_validation").count() / marked.count()
+    assert 0.1 < share < 0.3
+    with pytest.raises(ValueError, match="empty"):
+        training.tune_forest(train, num_trees=(1,), max_depths=(1,), share=0.0)
+
+
+def test_tuning_judges_points_on_keys_they_did_not_see(spark, split):
+    train, _ = split
+    search = training.tune_forest(train, num_trees=(2,), max_depths=(1, 3))
+    marked = training.mark_validation(train)
+    for point, score in zip(search.points, search.validationMetrics):
+        pipeline = training.forest_stages(num_trees=2, max_depth=point["maxDepth"])[0]
+        fitted = pipeline.fit(marked.filter("not is_validation"))
+        assert training._judge().evaluate(fitted.transform(marked.filter("is_validation"))) == pytest.approx(score, abs=0.15)
+    best = training.tuning_report(search)[0]
+    assert search.bestModel.stages[-1].getOrDefault("maxDepth") == best["maxDepth"]
+    table = training.tuning_table(spark, search).collect()
+    assert [r["rank"] for r in table] == [1, 2] and table[0]["f1"] >= table[1]["f1"]
+    assert table[0]["parameters"].startswith("featureSubsetStrategy=auto, maxDepth=")
+
+
+def test_tuning_by_folds_of_keys(split):
+    search = training.tune_forest(split[0], num_trees=(2,), max_depths=(1, 2), folds=3)
+    assert len(search.validationMetrics) == 2 and all(0 <= f <= 1 for f in search.validationMetrics)
+
+
+def test_bundle_roundtrip(spark, forest, split, tmp_path):
+    path = models.save_bundle(forest, str(tmp_path / "bundle"), MODEL_FEATURES, {"rows": 7})
+    model, signature = models.load_bundle(spark, path)
+    assert signature.features == MODEL_FEATURES and signature.facts == {"rows": "7"} and signature.classes == ["Low", "Medium", "High"]
+    signature.check_inputs(split[1])
+    with pytest.raises(MissingColumns, match="opioid_cost, avg_risk_score"):
+        signature.check_inputs(split[1].drop("opioid_cost").withColumn("avg_risk_score", F.array(F.lit(1))))
+    same = {r["prescriber_id"]: r["prediction"] for r in forest.transform(split[1]).collect()}
+    assert same == {r["prescriber_id"]: r["prediction"] for r in model.transform(split[1]).collect()}
+
+
+def test_bundles_that_do_not_fit_are_refused(spark, forest, tmp_path, monkeypatch):
+    with pytest.raises(models.WrongModel, match="signature"):
+        models.save_bundle(forest, str(tmp_path / "a"), MODEL_FEATURES[::-1])
+    with pytest.raises(MissingInput, match="bundle"):
+        models.load_bundle(spark, str(tmp_path / "none"))
+    path = models.save_bundle(forest, str(tmp_path / "b"), MODEL_FEATURES)
+    with monkeypatch.context() as patch:
+        patch.setattr(models, "save_model", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            models.save_bundle(forest, path, MODEL_FEATURES)
+    with pytest.raises(MissingInput, match="bundle"):  # the write was cut off
+        models.load_bundle(spark, path)
+    models.save_bundle(forest, path, MODEL_FEATURES)
+    with monkeypatch.context() as patch:
+        patch.setattr(models, "LAYOUT", 2)
+        with pytest.raises(models.WrongModel, match="layout"):
+            models.load_bundle(spark, path)
+    with monkeypatch.context() as patch:
+        patch.setattr(models, "TIERS", ["High", "Low"])
+        with pytest.raises(models.WrongModel, match="classes"):
+            models.load_bundle(spark, path)
+
+
 # --- metrics against a count by hand -------------------------------------------------
 
 
