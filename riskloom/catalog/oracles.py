@@ -419,6 +419,55 @@ def _murmur_steps(key: str, source: str, seed: int = 42) -> list[str]:
 
 _SIGNED = f"(case when hashed >= {2**31} then cast(hashed as bigint) - {_TWO_32} else cast(hashed as bigint) end)"
 
+# --- lines, windows, stored profiles, exact sizes, the resumed job ------------------------
+
+_RAW_NAMES = {clean: raw for raw, clean in PRESCRIBER_COLUMNS.items()}
+
+
+def _misfit(c: str) -> str:
+    return f"case when {c} is not null and try_cast({c} as double) is null then '{_RAW_NAMES[c]}=' || {c} end"
+
+
+_MISFITS = f"concat_ws('|', {', '.join(_misfit(c) for c in PRESCRIBER_NUMERIC)})"
+
+_TIGHT = SCORING_RANGES | {"total_claims": (0.0, 100.0), "payment_variability": (0.0, 2.0), "peer_deviation_score": (0.0, 1.0)}
+
+
+def _scored_error(column: str, low: float, high: float) -> str:
+    return f"""case when {column} is not null and prescriber_id % 50 = 0 then '{column}: enter a valid number.'
+      when coalesce({column}, 0) < {low} or coalesce({column}, 0) > {high} then '{column}: must be between {low:,.0f} and {high:,.0f}.' end"""
+
+
+_SCORED_ERRORS = f"concat_ws('|', {', '.join(_scored_error(c, low, high) for c, (low, high) in _TIGHT.items())})"
+
+_HOME = """homes as (
+  select h.state as home from payments q join prescribers h on h.prescriber_id = cast(q."NPI" as bigint) where h.total_claims > 0)"""
+
+_BALANCE_ORDER = "substr(sha256(concat('balance:', cast(prescriber_id as varchar))), 1, 16)"
+
+
+def _exact(source: str, label: str) -> str:
+    """Every class of ``source`` with the mean class size, or ten times its own: whole copies, and one more by hash order."""
+    return f"""sized as (
+  select {label}, count(*) as n, least((select sum(k) // count(*) from (select count(*) as k from {source} group by {label})), 10 * count(*)) as size
+  from {source} group by {label}), placed as (
+  select s.*, row_number() over (partition by s.{label} order by {_BALANCE_ORDER}) as place from {source} s), drawn as (
+  select p.*, size // n + case when place <= size % n then 1 else 0 end as copies from placed p join sized z on z.{label} = p.{label})"""
+
+
+_TRAIN = f"train as (select prescriber_id, {_TIER_CODE} as tier from scored where not ({_HOLDOUT}))"
+_JUDGED = f"{_bucket("concat('validation:', cast(prescriber_id as varchar))")} < 2000"
+_EVERY_TABLE = {
+    "clean_prescribers": ("clean", "prescribers"),
+    "clean_payments": ("clean", "payments"),
+    "payment_summary": ("aggregate", "summary"),
+    "prescriber_level": ("aggregate", "level"),
+    "payment_level": ("aggregate", "merged"),
+    "peer_average": ("features", "peers"),
+    "prescriber_level_enriched": ("features", "enriched"),
+    "scored_prescribers": ("score", "scored"),
+}
+
 ORACLES: dict[str, str] = {
     "scan_prescribers": _with([CLAIMS, RAW], "select * from raw"),
     "scan_payments": _with([RAW_PAYMENTS], "select * from raw_payments"),
@@ -645,4 +694,84 @@ ORACLES: dict[str, str] = {
         _PEOPLE, f"select prescriber_id, {_HOLDOUT} as is_holdout from prescribers where {_bucket(_SALTED)} < 2000"
     ),
     "model_roundtrip": "select count(*) as n_rows, cast(0 as bigint) as n_different from customer",
+    "scan_checked": _with(
+        [CLAIMS, RAW, UNTIDY], f"select prescriber_id, {_MISFITS} as reasons, {_MISFITS} = '' as accepted from untidy"
+    ),
+    "reject_counts": _with(
+        [CLAIMS, RAW, UNTIDY],
+        "select * from ("
+        + " union all ".join(
+            f"select '{_RAW_NAMES[c]}' as column_name, 'double' as wanted, "
+            f"count(case when {c} is not null and try_cast({c} as double) is null then 1 end) as n_values from untidy"
+            for c in PRESCRIBER_NUMERIC
+        )
+        + ") where n_values > 0",
+    ),
+    "validate_scored": _with(_SCORED, f"select prescriber_id, {_SCORED_ERRORS} as errors, {_SCORED_ERRORS} = '' as is_valid from scored"),
+    "peer_window": _with(
+        _LEVEL,
+        """select prescriber_id, provider_type, round(m, 6) as peer_avg_payment,
+  round(case when m > 0 then avg_payment_amount / m else cast(0 as double) end, 4) as peer_deviation_score
+  from (select *, avg(avg_payment_amount) over (partition by provider_type) as m from level)""",
+    ),
+    "peer_extremes": _with(
+        [PAYMENTS],
+        """select "NPI", "State", "Payment_Form", "Payment_Amount", count("Payment_Amount") over w as count_amount,
+  round(avg("Payment_Amount") over w, 6) as avg_amount, min("Payment_Amount") over w as min_amount,
+  max("Payment_Amount") over w as max_amount from payments window w as (partition by "State", "Payment_Form")""",
+    ),
+    "merged_profile": _with(_MERGED, f"select * exclude (n_distinct) from ({_per_column(_MERGED_TYPES, _profile)})"),
+    "sketched_distinct": _with(
+        _MERGED,
+        _per_column(
+            _MERGED_TYPES,
+            lambda c: f"select '{c}' as column_name, cast({_distinct(c)} as bigint) as n_distinct, true as is_near from merged",
+        ),
+    ),
+    "top_known_states": _with([*_PEOPLE, PAYMENTS, _HOME], _top("home", "homes")),
+    "top_known_zips": _with([RAW_PAYMENTS], _top("Zip", "raw_payments where \"Zip\" is not null")),
+    "resample_exact": _with(
+        [*_SURROGATE, _exact("surrogate", "fraud_label")],
+        """select prescriber_id, fraud_label, g.copy from drawn
+  join (select cast(unnest(range(1, 12)) as bigint) as copy) g on g.copy <= copies""",
+    ),
+    "tuning_sides": _with(
+        [*_SCORED, _TRAIN, _exact("train", "tier")],
+        f"""select cast(sum(case when {_JUDGED} then 0 else copies end) as bigint) as n_fitting,
+  cast(sum(case when {_JUDGED} then copies else 0 end) as bigint) as n_validation,
+  count(case when not {_JUDGED} then 1 end) as fitting_keys, count(case when {_JUDGED} then 1 end) as validation_keys,
+  cast(0 as bigint) as keys_on_both from drawn where copies > 0""",
+    ),
+    "bundle_signature": _with(
+        _SCORED,
+        "select cast(position as integer) as position, feature, 3 as n_classes, "
+        f"(select count(*) from scored where not ({_HOLDOUT})) as n_train from (values "
+        + ", ".join(f"({i}, '{c}')" for i, c in enumerate(MODEL_FEATURES))
+        + ") v(position, feature)",
+    ),
+    "model_report_facts": _with(
+        [*_SCORED, f"held as (select fraud_risk_category as tier from scored where {_HOLDOUT})"],
+        """select name as class_name, case when name in ('Low', 'Medium', 'High') then (select count(*) from held where tier = name)
+    else (select count(*) from held) end as support, true as are_shares, true as agree
+  from (values ('Low'), ('Medium'), ('High'), ('accuracy'), ('macro avg'), ('weighted avg')) v(name)""",
+    ),
+    "batch_score_facts": _with(_SCORED, "select prescriber_id, state, true as adds_up, true as is_same from scored"),
+    "top_features_facts": _with(
+        _SCORED,
+        f"select prescriber_id, cast(5 as bigint) as n_features, 5 as last_rank, true as all_own from scored where {_HOLDOUT}",
+    ),
+    "etl_resumed": _with(_SCORED, "select * from scored"),
+    "etl_progress": _with(
+        [*_SCORED, MERGED],
+        " union all ".join(
+            f"select '{stage}' as stage, '{table}' as table_name, (select count(*) from {source}) as n_rows, "
+            f"{str(stage in ('features', 'score')).lower()} as made_again"
+            for table, (stage, source) in _EVERY_TABLE.items()
+        ),
+    ),
+    "sample_then_train_facts": _with(
+        _SCORED,
+        f"""select prescriber_id, {_TIER_CODE} as fraud_label, true as has_class from scored
+  where {_HOLDOUT} and {_bucket(_SALTED)} < 2000""",
+    ),
 }

@@ -13,8 +13,20 @@ from riskloom.functions.buckets import sha_bucket
 from riskloom.functions.cleaning import currency_amount, safe_key, zip5
 from riskloom.functions.labels import decode_tier, encode_tier, softmax
 from riskloom.learning import dataset, evaluation, scoring, training
-from riskloom.operators import auditing, cleaning, features, joining, profiling, projecting, rules, sampling
-from riskloom.plans import etl
+from riskloom.operators import (
+    auditing,
+    cleaning,
+    exact_sampling,
+    features,
+    joining,
+    part_profiles,
+    profiling,
+    projecting,
+    rules,
+    sampling,
+    windows,
+)
+from riskloom.plans import etl, progress
 from riskloom.schemas import (
     MODEL_FEATURES,
     PAYMENT_COLUMNS,
@@ -24,7 +36,7 @@ from riskloom.schemas import (
     SCORING_RANGES,
     SCORING_RECORD,
 )
-from riskloom.sources import models, readers, sinks, staging
+from riskloom.sources import models, readers, rejects, sinks, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +83,21 @@ def bounded_read(spark, sf_dir):
     return readers.first_rows(t.prescribers(spark, sf_dir), 100, ["prescriber_id"])
 
 
+def scan_checked(spark, sf_dir):
+    """Every line of a CSV file of untidy numbers, with what keeps it from being a typed row."""
+    path = _as_csv(t.raw_prescribers_text(spark, sf_dir), "untidy-csv")
+    accepted, rejected = rejects.scan_csv_checked(spark, path, RAW_PRESCRIBERS)
+    told = F.array_join(F.transform("reasons", lambda r: F.concat(r["column_name"], F.lit("="), r["value"])), "|")
+    parts = [accepted.select("PRSCRBR_NPI", F.lit("").alias("reasons")), rejected.select("PRSCRBR_NPI", told.alias("reasons"))]
+    marked = [part.withColumn("accepted", F.lit(side)) for side, part in zip((True, False), parts)]
+    return projecting.union_parts(marked).withColumnRenamed("PRSCRBR_NPI", "prescriber_id")
+
+
+def reject_counts(spark, sf_dir):
+    path = _as_csv(t.raw_prescribers_text(spark, sf_dir), "untidy-csv")
+    return rejects.reject_counts(rejects.scan_csv_checked(spark, path, RAW_PRESCRIBERS)[1])
+
+
 def align_scoring_schema(spark, sf_dir):
     return readers.align_to_schema(t.prescribers(spark, sf_dir), SCORING_RECORD)
 
@@ -191,6 +218,14 @@ def validate_ranges(spark, sf_dir):
     return checked.select("prescriber_id", F.array_join("errors", "|").alias("errors"), "is_valid")
 
 
+def validate_scored(spark, sf_dir):
+    """The scoring inputs that the job itself has made, as the text that an upload would hold."""
+    scored = t.scored(spark, sf_dir)
+    entered = {c: F.when(F.col("prescriber_id") % 50 == 0, F.concat(F.lit("$"), F.col(c).cast("string"))).otherwise(F.col(c).cast("string")) for c in SCORING_RANGES}
+    checked = auditing.validate_ranges(scored.select("prescriber_id", *[e.alias(c) for c, e in entered.items()]), t.TIGHT_RANGES)
+    return checked.select("prescriber_id", F.array_join("errors", "|").alias("errors"), "is_valid")
+
+
 # --- joins and aggregates ----------------------------------------------------------
 
 
@@ -255,6 +290,18 @@ def peer_deviation(spark, sf_dir):
     return _rounded(compared.select("prescriber_id", "provider_type", *PEER_DIGITS), PEER_DIGITS)
 
 
+def peer_window(spark, sf_dir):
+    compared = windows.peer_comparison(prescriber_level(spark, sf_dir))
+    return _rounded(compared.select("prescriber_id", "provider_type", *PEER_DIGITS), PEER_DIGITS)
+
+
+def peer_extremes(spark, sf_dir):
+    """Each payment beside sum, count, mean and extremes of its recipient's state; a few states hold all rows."""
+    money = {f"{kind}_amount": (kind, "Payment_Amount") for kind in ("count", "avg", "min", "max")}
+    compared = windows.over_groups(t.payments(spark, sf_dir), ["State", "Payment_Form"], money)
+    return _rounded(compared.select("NPI", "State", "Payment_Form", "Payment_Amount", *money), {"avg_amount": 6})
+
+
 def scored_prescribers(spark, sf_dir):
     return _rounded(t.scored(spark, sf_dir), PEER_DIGITS).orderBy("prescriber_id")
 
@@ -308,6 +355,31 @@ def profile_columns(spark, sf_dir):
     return _rounded(profiling.profile_columns(_merged(spark, sf_dir)), {"mean": 4, "stddev": 4})
 
 
+def _stored_profile(spark, sf_dir):
+    """Profiles of the merged table by month, the last of them stored later and the first one stored twice."""
+    merged = _merged(spark, sf_dir)
+    month = F.substring("Payment_Date", 1, 7)
+    bounds = merged.agg(F.min(month), F.max(month)).first()
+    path = staging.new_path(spark, "profiles")
+    for part in (merged.filter(month < bounds[1]), merged.filter(month == bounds[1]), merged.filter(month == bounds[0])):
+        part_profiles.store_profiles(part_profiles.profile_parts(part, month), path)
+    return part_profiles.read_profiles(spark, path)
+
+
+def merged_profile(spark, sf_dir):
+    merged = part_profiles.merge_profiles(_stored_profile(spark, sf_dir)).drop("n_distinct", "n_rows")
+    return _rounded(merged, {"mean": 4, "stddev": 4})
+
+
+def sketched_distinct(spark, sf_dir):
+    """Exact numbers of distinct values, and whether the merged sketches are within four standard errors of them."""
+    estimates = part_profiles.merge_profiles(_stored_profile(spark, sf_dir)).select("column_name", F.col("n_distinct").alias("estimate"))
+    exact = distinct_counts(spark, sf_dir)
+    most = F.greatest(F.col("n_distinct") * 4 * part_profiles.sketch_error(), F.lit(1.0))
+    near = F.abs(F.col("estimate") - F.col("n_distinct")) <= most
+    return exact.join(estimates, "column_name", "left").select("column_name", "n_distinct", F.coalesce(near, F.lit(False)).alias("is_near"))
+
+
 def amount_stats(spark, sf_dir):
     stats = profiling.amount_stats(t.payments(spark, sf_dir), "Payment_Amount")
     return _rounded(stats, {"mean": 6, "stddev": 6})
@@ -348,6 +420,18 @@ def top_specialties(spark, sf_dir):
     return profiling.top_values(t.payments(spark, sf_dir), "Specialty", keep_null=False)
 
 
+def top_known_states(spark, sf_dir):
+    """States of payments whose recipient is a prescriber; recipients that are none have no state here."""
+    people = t.prescribers(spark, sf_dir).filter("total_claims > 0").select(F.col("prescriber_id").alias("NPI"), F.col("state").alias("home"))
+    counts = staging.stage(joining.payment_summary(t.payments(spark, sf_dir)), "payment-summary")
+    return profiling.top_values(counts.join(people, "NPI", "left"), "home", keep_null=False, weight="num_payments")
+
+
+def top_known_zips(spark, sf_dir):
+    raw = projecting.project_payments(t.raw_payments(spark, sf_dir))
+    return profiling.top_values(raw, "Zip", keep_null=False)
+
+
 def top_zips(spark, sf_dir):
     return profiling.top_values(t.payments(spark, sf_dir), "Zip")
 
@@ -383,6 +467,10 @@ def resample_hash(spark, sf_dir):
     return sampling.resample_hash(labels, "fraud_label", "prescriber_id")
 
 
+def resample_exact(spark, sf_dir):
+    return exact_sampling.resample_exact(_labels(spark, sf_dir), "fraud_label", "prescriber_id")
+
+
 def resample_random(spark, sf_dir):
     return sampling.resample_random(staging.stage(_labels(spark, sf_dir), "labels"), "fraud_label")
 
@@ -498,6 +586,60 @@ def tune_rf(spark, sf_dir):
     return _outcome(search.bestModel, holdout)
 
 
+def tuning_report(spark, sf_dir):
+    """Every grid point of the forest search with its F1 on the validation keys."""
+    train, _ = _split(spark, sf_dir)
+    return training.tuning_table(spark, training.tune_forest(_balanced(train)))
+
+
+def tuning_sides(spark, sf_dir):
+    """Rows and prescribers on each side of the search over balanced rows; none is on both."""
+    train, _ = _split(spark, sf_dir)
+    marked = training.mark_validation(exact_sampling.resample_exact(train, dataset.LABEL, "prescriber_id"))
+    sides = staging.stage(marked, "sides").groupBy("prescriber_id").agg(
+        F.count_if("is_validation").alias("n_validation"), F.count_if(~F.col("is_validation")).alias("n_fitting")
+    )
+    return sides.agg(
+        *[F.sum(c).alias(c) for c in ("n_fitting", "n_validation")],
+        F.count_if(F.expr("n_fitting > 0")).alias("fitting_keys"), F.count_if(F.expr("n_validation > 0")).alias("validation_keys"),
+        F.count_if(F.expr("n_fitting > 0 and n_validation > 0")).alias("keys_on_both"),
+    )
+
+
+def _bundle(spark, sf_dir):
+    """The forest as it is saved for scoring: with its features, classes and what it was trained on."""
+    key = (spark.sparkContext.applicationId, sf_dir, "forest-bundle")
+    if key not in _FITTED:
+        model, train, _ = _forest(spark, sf_dir)
+        _FITTED[key] = models.save_bundle(model, staging.new_path(spark, "bundle"), MODEL_FEATURES, {"n_train": train.count()})
+    return models.load_bundle(spark, _FITTED[key])
+
+
+def bundle_signature(spark, sf_dir):
+    """What a loaded bundle says it needs: features by position, and the rows that it was trained on."""
+    _, signature = _bundle(spark, sf_dir)
+    rows = [(i, name, len(signature.classes), int(signature.facts["n_train"])) for i, name in enumerate(signature.features)]
+    return spark.createDataFrame(rows, "position int, feature string, n_classes int, n_train bigint")
+
+
+def _model_outcome(spark, sf_dir):
+    model, _, holdout = _forest(spark, sf_dir)
+    return staging.stage(_outcome(model, holdout), "outcome")
+
+
+def model_report(spark, sf_dir):
+    """Precision, recall and F1 per tier of the fitted forest on its holdout."""
+    return evaluation.classification_report(_model_outcome(spark, sf_dir), "fraud_label", "prediction")
+
+
+def model_per_class(spark, sf_dir):
+    return evaluation.eval_per_class(_model_outcome(spark, sf_dir), "fraud_label", "prediction")
+
+
+def model_overall(spark, sf_dir):
+    return evaluation.eval_overall(_model_outcome(spark, sf_dir), "fraud_label", "prediction")
+
+
 def _forest(spark, sf_dir):
     train, holdout = _split(spark, sf_dir)
     return _fitted(spark, sf_dir, "forest", lambda: training.train_forest(train)), train, holdout
@@ -600,6 +742,74 @@ def importance_facts(spark, sf_dir):
     return grouped.agg(F.count("*").alias("n_features"), F.round(F.sum("importance"), 1).alias("total"))
 
 
+def batch_score_facts(spark, sf_dir):
+    """Uploads with all features as text: whether probabilities add up, and whether the tier is the one of the scored numbers."""
+    model, signature = _bundle(spark, sf_dir)
+    scored = staging.stage(t.scored(spark, sf_dir), "scored")
+    uploads = scored.select("prescriber_id", "state", *[F.col(c).cast("string").alias(c) for c in signature.features])
+    predicted = scoring.batch_score(model, signature.check_inputs(uploads), signature.features)
+    direct = scoring.with_prediction(model, scored, signature.features).select("prescriber_id", F.col("predicted_category").alias("tier"))
+    total = F.abs(F.col("p_low") + F.col("p_medium") + F.col("p_high") - 1) < 1e-9
+    same = F.col("predicted_category").eqNullSafe(F.col("tier"))
+    return predicted.join(direct, "prescriber_id").select("prescriber_id", "state", total.alias("adds_up"), same.alias("is_same"))
+
+
+def top_features_facts(spark, sf_dir):
+    """Per record: features named, ranks from 1, and whether all values are the record's own."""
+    top = top_features(spark, sf_dir)
+    wide = _split(spark, sf_dir)[1].select("prescriber_id", F.map_from_arrays(F.array(*map(F.lit, MODEL_FEATURES)), F.array(*MODEL_FEATURES)).alias("own"))
+    compared = top.join(wide, "prescriber_id").withColumn("is_own", F.col("your_value") == F.col("own")[F.col("feature")])
+    return compared.groupBy("prescriber_id").agg(
+        F.count_distinct("feature").alias("n_features"), F.max("rank").alias("last_rank"), F.bool_and("is_own").alias("all_own")
+    )
+
+
+def model_report_facts(spark, sf_dir):
+    """Rows per line of the model's report, and whether its figures are shares and agree with each other."""
+    report = staging.stage(model_report(spark, sf_dir), "report")
+    named = F.map_from_entries(F.collect_list(F.struct("class_name", F.struct("precision", "recall", "f1"))))
+    lines = report.agg(named.alias("m")).scalar()
+    # Recall weighted by class size is the share of rows that are right, which is the accuracy line's F1 column.
+    agree = F.abs(lines["weighted avg"]["recall"] - lines["accuracy"]["f1"]) < 1e-9
+    shares = F.forall(F.array_compact(F.array("precision", "recall", "f1")), lambda x: x.between(0.0, 1.0))
+    return report.select("class_name", "support", shares.alias("are_shares"), agree.alias("agree"))
+
+
+# --- the written job ---------------------------------------------------------------------
+
+
+def _resumed(spark, sf_dir):
+    """The job with the published thresholds, then again in the same folder with those of the catalog."""
+    folder = staging.new_path(spark, "etl")
+    raw = staging.stage(t.raw_prescribers(spark, sf_dir), "raw-prescribers"), staging.stage(t.raw_payments(spark, sf_dir), "raw-payments")
+    etl.resume_etl(spark, *raw, folder)
+    return folder, etl.resume_etl(spark, *raw, folder, t.THRESHOLDS)
+
+
+def etl_resumed(spark, sf_dir):
+    folder, _ = _resumed(spark, sf_dir)
+    return _rounded(readers.scan_parquet(spark, f"{folder}/scored_prescribers"), PEER_DIGITS)
+
+
+def etl_progress(spark, sf_dir):
+    """Rows of each table of the job, and whether the second run made it anew."""
+    folder, again = _resumed(spark, sf_dir)
+    records = progress.progress_table(spark, folder, list(etl.STAGE_TABLES))
+    return records.select("stage", "table_name", "n_rows", F.col("stage").isin(*again).alias("made_again"))
+
+
+def sample_then_train(spark, sf_dir):
+    """A fifth of the prescribers, split and trained on: the holdout's rows with their predictions."""
+    scored = t.scored(spark, sf_dir)
+    train, holdout = dataset.staged_split(sampling.sample_hash(scored, "prescriber_id", 0.2))
+    return _outcome(training.train_forest(train), holdout)
+
+
+def sample_then_train_facts(spark, sf_dir):
+    known = F.col("prediction").isin(*sampling.CLASSES).alias("has_class")
+    return sample_then_train(spark, sf_dir).select("prescriber_id", "fraud_label", known)
+
+
 def sample_then_split(spark, sf_dir):
     """A fifth of the prescribers, each on the side that the split of all of them puts it on."""
     people = t.prescribers(spark, sf_dir).select("prescriber_id")
@@ -627,6 +837,10 @@ QUERIES: dict[str, Query] = {
         feature_importance, top_features, model_roundtrip,
         sample_uniform_facts, split_random_facts, resample_random_facts, score_holdout_facts, predictions_facts,
         probability_facts, importance_facts, sample_then_split,
+        scan_checked, reject_counts, validate_scored, peer_window, peer_extremes, merged_profile, sketched_distinct,
+        top_known_states, top_known_zips, resample_exact, tuning_report, tuning_sides, bundle_signature,
+        model_report, model_per_class, model_overall, model_report_facts, batch_score_facts, top_features_facts,
+        etl_resumed, etl_progress, sample_then_train, sample_then_train_facts,
     ]
 } | {
     "features": feature_columns,

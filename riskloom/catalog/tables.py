@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from riskloom.operators.cleaning import clean_payments, clean_prescribers
 from riskloom.operators.rules import RiskThresholds
 from riskloom.plans.etl import score_prescribers
-from riskloom.schemas import PAYMENT_COLUMNS, PRESCRIBER_COLUMNS, PRESCRIBER_NUMERIC
+from riskloom.schemas import PAYMENT_COLUMNS, PRESCRIBER_COLUMNS, PRESCRIBER_NUMERIC, SCORING_RANGES
 
 # With these every rule fires on the given tables; the published ones leave three silent.
 THRESHOLDS = RiskThresholds(payment_to_cost=0.003, opioid_claims=25.0, average_payment=54.0)
 
+# The accepted ranges of scoring inputs, some so narrow that the given tables exceed them.
+TIGHT_RANGES = SCORING_RANGES | {"total_claims": (0.0, 100.0), "payment_variability": (0.0, 2.0), "peer_deviation_score": (0.0, 1.0)}
+
 # The columns the mapping reads. A declared schema saves a job per table to look it up.
 TABLES = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",

@@ -146,60 +146,54 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     )
 
 
+#: Columns of a block: the sums of a pair of blocks fit one generated aggregate.
+CORRELATION_BLOCK = 3
+
+
+def _correlation(a: str, b: str) -> Column:
+    """Over the rows where both are known; null without spread on either side."""
+    spread = [F.var_pop(F.when(F.col(other).isNotNull(), F.col(c))) for c, other in ((a, b), (b, a))]
+    return F.when((spread[0] > 0) & (spread[1] > 0), F.covar_pop(a, b) / (F.sqrt(spread[0]) * F.sqrt(spread[1])))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, as (a, b, correlation) rows.
 
-    A pair uses the rows where both are known. Rows are summed up per pattern of
-    known columns: one count, one sum per column and one per product, where a
-    ``corr`` per pair would keep six numbers each. The pairs are then put together
-    from those few rows. A column without spread has no correlation.
+    A pair uses the rows where both are known. Columns are cut into blocks, a row becomes one row per
+    pair of blocks where it is, and these are summed up per pair before the shuffle: one scan, as
+    many groups as pairs of blocks, and aggregates whose number does not grow with the columns.
+    A column without spread has no correlation.
     """
     names = list(columns or numeric_columns(df))
-    width = len(names)
-    order = range(width)
-    c = F.col
-    means = df.agg(F.struct(*[F.avg(name).alias(f"m{i}") for i, name in enumerate(names)])).scalar()
-    known = F.concat(*[F.when(c(name).isNotNull(), "1").otherwise("0") for name in names])
-    centred = (
-        df.select(*names)
-        .withColumns({"_known": known, "_mean": means})
-        .select(
-            "_known",
-            *[
-                F.coalesce(c(name).cast("double") - c(f"_mean.m{i}"), F.lit(0.0)).alias(f"x{i}")
-                for i, name in enumerate(names)
-            ],
-        )
-    )
-    sums = centred.groupBy("_known").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        *[F.sum(f"x{i}").alias(f"s{i}") for i in order],
-        *[F.sum(c(f"x{i}") * c(f"x{j}")).alias(f"p{i}_{j}") for i in order for j in order if i <= j],
-    )
-    packed = sums.select(
-        "_known",
-        "n",
-        F.array(*[f"s{i}" for i in order]).alias("s"),
-        F.array(*[f"p{min(i, j)}_{max(i, j)}" for i in order for j in order]).alias("p"),
-        F.explode(F.sequence(F.lit(0), F.lit(width * width - 1))).alias("cell"),
-    ).withColumns({"i": F.floor(c("cell") / width).cast("int"), "j": c("cell") % width})
-    both = (F.substr("_known", c("i") + 1, F.lit(1)) == "1") & (F.substr("_known", c("j") + 1, F.lit(1)) == "1")
-    cells = {"n": c("n"), "sa": F.get("s", "i"), "sb": F.get("s", "j"), "ab": F.get("p", "cell")}
-    cells |= {"aa": F.get("p", c("i") * (width + 1)), "bb": F.get("p", c("j") * (width + 1))}
-    total = packed.groupBy("i", "j").agg(*[F.sum(F.when(both, v)).alias(k) for k, v in cells.items()])
-
-    def spread(s: str, q: str) -> Column:
-        """n² times the variance, or null where only rounding error is left of it."""
-        raw = c("n") * c(q)
-        return F.when(raw - c(s) * c(s) > raw * 1e-12, raw - c(s) * c(s))
+    size = CORRELATION_BLOCK
+    blocks = [names[at : at + size] for at in range(0, len(names), size)]
+
+    def values(block: Sequence[str], side: str) -> list[Column]:
+        cells = [F.col(f"`{name}`").cast("double") for name in block] + [F.lit(None).cast("double")] * (size - len(block))
+        return [c.alias(f"{side}{k}") for k, c in enumerate(cells)]
 
+    pairs = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *values(blocks[i], "a"), *values(blocks[j], "b"))
+        for i in range(len(blocks))
+        for j in range(i, len(blocks))
+    ]
+    inner = [(k, l) for k in range(size) for l in range(size)]  # noqa: E741
+    sums = df.select(F.inline(F.array(*pairs))).groupBy("i", "j").agg(
+        F.array(*[_correlation(f"a{k}", f"b{l}") for k, l in inner]).alias("r")
+    )
     labels = F.array(*[F.lit(name) for name in names])
-    together = c("n") * c("ab") - c("sa") * c("sb")
-    return total.select(
-        F.get(labels, "i").alias("column_a"),
-        F.get(labels, "j").alias("column_b"),
-        (together / F.sqrt(spread("sa", "aa") * spread("sb", "bb"))).alias("correlation"),
+    cells = sums.select("i", "j", F.posexplode("r").alias("cell", "r")).select(
+        (F.col("i") * size + F.floor(F.col("cell") / size)).cast("int").alias("p"),
+        (F.col("j") * size + F.col("cell") % size).cast("int").alias("q"),
+        F.col("r").alias("correlation"),
+        (F.col("i") < F.col("j")).alias("twice"),
+    )
+    # A pair of different blocks was summed up once and stands for both orders.
+    orders = F.array(F.struct("p", "q"), F.when(F.col("twice"), F.struct(F.col("q").alias("p"), F.col("p").alias("q"))))
+    both = cells.filter((F.col("p") < len(names)) & (F.col("q") < len(names))).select(
+        "correlation", F.inline(F.array_compact(orders))
     )
+    return both.select(F.get(labels, "p").alias("column_a"), F.get(labels, "q").alias("column_b"), "correlation")
 
 
 def top_values(

@@ -30,14 +30,30 @@ def scan_csv(
     that are not asked for. A value that does not fit its type reads as null.
     ``options`` are reader options, such as ``escape`` for files that double quotes.
     """
+    return _scan(spark, path, schema, None, stage, options).select(*schema.names)
+
+
+def scan_csv_with_record(
+    spark: SparkSession, path: str, schema: T.StructType, record: str, stage: str = "scan", **options: str
+) -> DataFrame:
+    """The same, and in ``record`` the whole line where it has too few or too many columns, else null."""
+    # Whether a line has as many columns as the header shows only if none are skipped.
+    whole = _scan(spark, path, schema, record, stage, {"columnPruning": "false"} | options)
+    return whole.select(*schema.names, record)
+
+
+def _scan(spark, path: str, schema: T.StructType, record: str | None, stage: str, options: dict) -> DataFrame:
     reader = spark.read.option("header", True).option("enforceSchema", False).options(**options)
     header = _opened(lambda: reader.csv(path), path, stage).columns
     wanted = {f.name: f for f in schema.fields}
     absent = [name for name in wanted if name not in header]
     if absent:
         raise MissingColumns(f"{stage} requires columns: {', '.join(absent)}")
-    file_schema = T.StructType([wanted.get(name, T.StructField(name, T.StringType())) for name in header])
-    return reader.schema(file_schema).csv(path).select(*wanted)
+    fields = [wanted.get(name, T.StructField(name, T.StringType())) for name in header]
+    if record:
+        fields.append(T.StructField(record, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", record)
+    return reader.schema(T.StructType(fields)).csv(path)
 
 
 def scan_csv_text(

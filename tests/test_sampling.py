@@ -1,8 +1,11 @@
+import hashlib
+from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators import exact_sampling
 from riskloom.operators import sampling
 
 
@@ -110,3 +113,45 @@ def test_unlisted_labels_stop_balancing(spark):
 def test_most_copies_is_an_argument(spark):
     df = spark.createDataFrame([(i, 0 if i < 100 else 1) for i in range(102)], "id bigint, label int")
     assert sampling.resample_hash(df, "label", "id", most_copies=3.0).filter("label = 1").count() == 6
+
+
+def exact_by_hand(pairs, most=10):
+    """Copies of each (key, row) as the classes' sizes ask for: whole ones, and one more in hash order."""
+    by_class = {}
+    for key, label in pairs:
+        by_class.setdefault(label, []).append(key)
+    target = len(pairs) // len(by_class)
+    out = Counter()
+    for label, keys in by_class.items():
+        size = min(target, most * len(keys))
+        order = sorted(keys, key=lambda k: hashlib.sha256(f"balance:{k}".encode()).hexdigest()[:16])
+        for place, key in enumerate(order):
+            out[key, label] += size // len(keys) + (place < size % len(keys))
+    return +out
+
+
+@pytest.mark.parametrize("sizes", [(500, 40, 3), (70, 70, 70), (1, 1, 900), (5000, 0, 17)])
+def test_exact_class_sizes(spark, sizes):
+    pairs = [(f"k{c}-{i}", c) for c, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(pairs, "prescriber_id string, y int").repartition(7)
+    out = exact_sampling.resample_exact(df, "y", "prescriber_id")
+    rows = [tuple(r) for r in out.select("prescriber_id", "y").collect()]
+    assert Counter(rows) == exact_by_hand(pairs)
+    assert out.filter("copy < 1").isEmpty() and out.columns == ["prescriber_id", "y", "copy"]
+
+
+def test_exact_sizes_with_one_key_in_most_rows(spark):
+    """Rows of one key have the same hash; their numbers still tell them apart."""
+    pairs = [("hot", 0)] * 4000 + [(None, 0)] * 20 + [(f"k{i}", 1) for i in range(300)]
+    df = spark.createDataFrame(pairs, "prescriber_id string, y int").repartition(9)
+    sizes = {r["y"]: r["n"] for r in exact_sampling.resample_exact(df, "y", "prescriber_id").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {0: 2160, 1: 2160}
+    assert exact_sampling.resample_exact(df.limit(0), "y", "prescriber_id").collect() == []
+
+
+def test_bounds_need_enough_rows(spark):
+    ordered = exact_sampling.with_order(spark.createDataFrame([("a", 0), ("b", 0)], "k string, y int"), "k")
+    assert exact_sampling.least_bounds(ordered, "y", {0: 0}) == {}
+    assert ordered.filter(F.col("_order") <= exact_sampling.least_bounds(ordered, "y", {0: 2})[0] + "~").count() == 2
+    with pytest.raises(ValueError, match="fewer"):
+        exact_sampling.least_bounds(ordered, "y", {0: 3})

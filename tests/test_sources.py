@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.cleaning import clean_payments
 from riskloom.schemas import RAW_PAYMENTS, SCORING_RECORD
+from riskloom.sources import rejects
 from riskloom.sources import readers, sinks, staging
 
 
@@ -140,3 +141,23 @@ def test_cluster_without_a_shared_folder_is_refused():
     assert staging.staging_root(_session("yarn", "hdfs://x/y")) == "hdfs://x/y"
     local = _session("local[2]")
     assert staging.staging_root(local) == staging.staging_root(local)
+
+
+def test_checked_scan_keeps_what_does_not_fit(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("id,amount,extra,when\n1,2.5,x,2024-01-02\n2,$3,x,2024-01-02\n3,,x,\n4,abc,x,soon\n")
+    (tmp_path / "in" / "b.csv").write_text('id,amount,extra,when\n5,7,"quoted, comma",2024-05-05\n6,8\n7,9,x,2024-01-01,more,and more\nnine,1,x,2024-01-01\n')
+    schema = "id bigint, amount double, when date"
+    schema = spark.createDataFrame([], schema).schema
+    accepted, rejected = rejects.scan_csv_checked(spark, str(tmp_path / "in"), schema)
+    assert accepted.schema == schema
+    assert sorted((r["id"], r["amount"]) for r in accepted.collect()) == [(1, 2.5), (3, None), (5, 7.0)]
+    reasons = {r["id"]: [(x["column_name"], x["value"], x["wanted"]) for x in r["reasons"]] for r in rejected.collect()}
+    assert reasons["2"] == [("amount", "$3", "double")]
+    assert reasons["4"] == [("amount", "abc", "double"), ("when", "soon", "date")]
+    assert reasons["nine"] == [("id", "nine", "bigint")]
+    assert [x[:2] for x in reasons["6"]] == [("", "6,8")] and [x[:2] for x in reasons["7"]] == [("", "7,9,x,2024-01-01,more,and more")]
+    counts = {r["column_name"]: r["n_values"] for r in rejects.reject_counts(rejected).collect()}
+    assert counts == {"amount": 2, "when": 1, "id": 1, "": 2}
+    with pytest.raises(readers.MissingColumns, match="other"):
+        rejects.check_csv(spark, str(tmp_path / "in"), schema.add("other", "string"))
