@@ -651,7 +651,7 @@ def score_holdout(spark, sf_dir):
 
 
 def batch_score(spark, sf_dir):
-    """Uploads carry one payment feature as text; the other is absent and counts as 0."""
+    """Uploads that lack a feature, which counts as 0, and carry another as text; ``batch_score_facts`` has all of them."""
     model, _, _ = _forest(spark, sf_dir)
     variability = F.col("payment_variability").cast("string").alias("payment_variability")
     uploads = t.scored(spark, sf_dir).select("prescriber_id", "state", variability, *CLAIM_FEATURES)
@@ -664,9 +664,10 @@ def predictions_table(spark, sf_dir):
 
 
 def probability_table(spark, sf_dir):
-    train, holdout = _split(spark, sf_dir)
+    marked = dataset.staged_marked(t.scored(spark, sf_dir))
+    train, _ = sampling.split_marked(marked)
     model = _fitted(spark, sf_dir, "scaled-gbt", lambda: training.train_gbt_scaled(train))
-    return scoring.probability_table(model, projecting.union_parts([train, holdout]))
+    return scoring.probability_table(model, marked)
 
 
 def feature_importance(spark, sf_dir):

@@ -48,16 +48,22 @@ def assembler(features: Sequence[str] = MODEL_FEATURES, output: str = "features"
     return VectorAssembler(inputCols=require_safe_features(features), outputCol=output, handleInvalid="error")
 
 
-def staged_split(
+def staged_marked(
     scored: DataFrame, features: Sequence[str] = MODEL_FEATURES, test_size: float = 0.2
-) -> tuple[DataFrame, DataFrame]:
-    """(train, holdout), divided by prescriber and read from a stage table.
+) -> DataFrame:
+    """Labelled rows with ``is_holdout``, decided by prescriber, read from a stage table.
 
     Fitting passes over the training rows many times; from the stage table each
     pass reads files instead of repeating the joins before it.
     """
-    table = stage(mark_holdout(labelled(scored, features), "prescriber_id", test_size), "training")
-    train, holdout = split_marked(table)
+    return stage(mark_holdout(labelled(scored, features), "prescriber_id", test_size), "training")
+
+
+def staged_split(
+    scored: DataFrame, features: Sequence[str] = MODEL_FEATURES, test_size: float = 0.2
+) -> tuple[DataFrame, DataFrame]:
+    """(train, holdout) of ``staged_marked``; neither may be empty."""
+    train, holdout = split_marked(staged_marked(scored, features, test_size))
     if train.isEmpty() or holdout.isEmpty():
         raise ValueError("one side of the split is empty: change test_size or check prescriber_id")
     return train, holdout

@@ -51,15 +51,22 @@ def summary_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return _structs_to_rows(totals, names)
 
 
+def _cell(position: int, field: T.StructField) -> Column:
+    """(position, text, number, whole number) of a cell: one of the three has the value, as it is; -0.0 counts as 0.0."""
+    value = F.col(f"`{field.name}`")
+    text, number, whole = (F.lit(None).cast(kind) for kind in ("string", "double", "bigint"))
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        number = value.cast("double") + F.lit(0.0)
+    elif isinstance(field.dataType, T.IntegralType):
+        whole = value.cast("bigint")
+    else:
+        text = value.cast("string")
+    return F.struct(F.lit(position).alias("position"), text.alias("text"), number.alias("number"), whole.alias("whole"))
+
+
 def _as_rows(df: DataFrame) -> DataFrame:
-    """Every cell as (column position, value as text); -0.0 counts as 0.0."""
-    cells = []
-    for position, field in enumerate(df.schema.fields):
-        value = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-            value = value + F.lit(0.0)
-        cells.append(F.struct(F.lit(position).alias("position"), value.cast("string").alias("value")))
-    return df.select(F.inline(F.array(*cells)))
+    """Every cell as a row; numbers are not printed for it."""
+    return df.select(F.inline(F.array(*[_cell(i, f) for i, f in enumerate(df.schema.fields)])))
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.buckets import BUCKETS, murmur_bucket, sha_bucket
-from riskloom.operators.projecting import union_parts
 
 CLASSES = (0, 1, 2)
 HASH_RANGE = 2**32
@@ -91,17 +91,34 @@ def resample_hash(
     )
 
 
+def _poisson_limits(mean: float) -> list[float]:
+    """Chances of at most 0, 1, 2, … copies, until no double is left above."""
+    limits, term = [math.exp(-mean)], math.exp(-mean)
+    while limits[-1] < 1.0 and term > 1e-18:
+        term *= mean / len(limits)
+        limits.append(min(1.0, limits[-1] + term))
+    return limits
+
+
 def resample_random(
     df: DataFrame, label: str, classes: Sequence[int] = CLASSES, seed: int = 42, most_copies: float = MAX_OVERSAMPLE
 ) -> DataFrame:
-    """The random form: each class sampled at its fraction, with copies only where it must grow."""
-    parts = []
+    """The random form, in one scan: rows of a class that must shrink are drawn without repetition, those of
+    one that must grow get a Poisson number of copies.
+
+    Hand in a stored table: the draw depends on which rows are in which partition.
+    """
+    copies = F.lit(0)
     for row in resample_plan(df, label, classes, most_copies).collect():  # at most len(classes) rows
-        part = df.filter(F.col(label) == row[label])
-        if row["fraction"] != 1.0:
-            part = part.sample(withReplacement=row["fraction"] > 1.0, fraction=row["fraction"], seed=seed)
-        parts.append(part)
-    return union_parts(parts) if parts else df.limit(0)
+        fraction = row["fraction"]
+        if fraction > 1.0:
+            limits = F.array(*[F.lit(x) for x in _poisson_limits(fraction)])
+            drawn = F.size(F.filter(limits, lambda x: x <= F.col("_drawn")))
+        else:
+            drawn = (F.col("_drawn") < F.lit(fraction)).cast("int")
+        copies = F.when(F.col(label) == row[label], drawn).otherwise(copies)
+    often = df.withColumn("_drawn", F.rand(seed)).withColumn("_copies", copies).filter("_copies > 0")
+    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_drawn", "_copies", "_copy")
 
 
 def standardize(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame) -> DataFrame:

@@ -50,6 +50,7 @@ PAYMENT_COLUMNS = {
     "Dispute_Status_for_Publication": "Dispute_Status",
 }
 
+# Cleaned names of the number columns, of the payment summary and of a record's identity.
 PRESCRIBER_NUMERIC = [
     "total_claims",
     "total_drug_cost",
@@ -110,6 +111,7 @@ SCORING_RANGES = {
     "elderly_focus_flag": (0.0, 1.0),
 }
 
+# The text columns of a scoring record.
 SCORING_ID_COLUMNS = ["prescriber_id", "first_name", "last_name", "provider_type", "state"]
 
 
