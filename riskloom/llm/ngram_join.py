@@ -8,12 +8,14 @@ windows of rare words first (by counts of the words of all documents in a fixed
 buckets), and two by scrambled hash. Postings of the first order give candidates; a pair
 must also pass the length filter, a bound on the symmetric difference from 512 parity bits,
 filters by the number of shared windows and the place of the first (prefixes are a little
-longer for that), and must share a window of its prefixes under each other order. Only then are both sets brought together and compared.
+longer for that), and must share a window of its prefixes under each other order. Only then are both sets brought
+together and compared. A pair comes out of the list of its first shared window alone, however many it shares.
 
-All filters keep every link. Components need fewer pairs than there are links: first each
-class is compared with the head of most of its posting lists alone, then only pairs in lists that still
-hold different components are looked at. A big group of near copies so costs one pair per
-copy and list, not one for any two copies.
+All filters keep every link. Components need fewer pairs than there are links: each class is
+compared with the head of most of its posting lists alone, lists that hold one component by then
+are done, and the others get new heads, until few of a turn's pairs are links. Then the pairs of
+different components in the lists that are left are looked at. A big group of near copies so costs
+one pair per copy and turn, not one for any two copies.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing;
 a text shorter than a window is one window; repeated rows and copies share a component; a
@@ -24,6 +26,7 @@ table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ COUNT_BUCKETS = 1 << 16
 OTHER_ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: One more window in the first order's prefix for so many in the set; a link then shares one more of them.
 SPARE = 64
+#: Another turn of stars follows one in which a pair of so many was a link.
+PAYS = 4
 #: 64-bit words of parity bits per class.
 PARITY_WORDS = 8
 PARITY = [f"parity_{i}" for i in range(PARITY_WORDS)]
@@ -161,29 +166,36 @@ def _alike(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
-def _enough_shared(joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a``, ``b`` that share enough windows of their prefixes, the first of them early enough.
+def _first_shared(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of different components, each from the first window that both prefixes have.
 
-    Prefixes have ``n // SPARE`` windows to spare, so a link shares as many of the smaller one and one
-    more. All windows it shares stand at or after the first shared one, which must leave room for them.
+    A posting brings the windows that its class has before, so that a pair comes out of one list only. All
+    windows that a pair shares stand at or after its first one, which must leave room for a link's.
     """
-    x, y = F.col("x.class") < F.col("y.class"), F.col("x.class") > F.col("y.class")
-    sides = {k: (F.when(x, F.col(f"x.{k}")).otherwise(F.col(f"y.{k}")), F.when(y, F.col(f"x.{k}")).otherwise(F.col(f"y.{k}"))) for k in ("class", "n", "place")}
-    columns = [c.alias(f"{k}_{side}") for k, both in sides.items() for side, c in zip("ab", both)]
-    counted = joined.select(*columns).groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b")).agg(
-        F.count("*").alias("shared"), *[F.min(f"{k}_{side}").alias(f"{k}_{side}") for k in ("n", "place") for side in "ab"]
-    )
-    n, m = F.col("n_a"), F.col("n_b")
-    after = F.least(n - F.col("place_a"), m - F.col("place_b")) + 1
-    spare = F.floor(F.least(n, m) / SPARE)
-    return counted.where((F.col("shared") > spare) & ((100 + percent) * after >= percent * (n + m))).select("a", "b")
+    before = rest.join(classes.select("class", "rare"), "class")
+    before = before.withColumn("earlier", F.slice("rare", F.lit(1), F.col("place").cast("int") - 1)).drop("rare")
+    x, y = before.alias("x"), before.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    after = F.least(n - F.col("x.place"), m - F.col("y.place")) + 1
+    across = x.join(
+        y,
+        (F.col("x.window") == F.col("y.window")) & (F.col("x.component") < F.col("y.component")) & _alike("x", "y", percent)
+        & ((100 + percent) * after >= percent * (n + m)) & ~F.arrays_overlap("x.earlier", "y.earlier"),
+    )
+    return across.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links among ``pairs``: first the prefixes under the other orders, then the sets."""
-    side = lambda name: classes.select(F.col("class").alias(name), *[F.col(o).alias(f"{name}_{o}") for o in ("doc_id", "other_1", "other_2")])
+    """Links among ``pairs``: first the prefixes under all orders, then the sets.
+
+    A first-order prefix has ``n // SPARE`` windows to spare, so a link shares as many of the smaller one and one more.
+    """
+    carried = ("doc_id", "n", "rare", "other_1", "other_2")
+    side = lambda name: classes.select(F.col("class").alias(name), *[F.col(o).alias(f"{name}_{o}") for o in carried])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
+    spare = F.floor(F.least("a_n", "b_n") / SPARE)
     both = both.where(F.arrays_overlap("a_other_1", "b_other_1") & F.arrays_overlap("a_other_2", "b_other_2"))
+    both = both.where(F.size(F.array_intersect("a_rare", "b_rare")) > spare)
     left = stage(both.select("a", "b", "a_doc_id", "b_doc_id"), "filtered")
     ids = left.select(F.col("a_doc_id").alias("id")).union(left.select("b_doc_id")).distinct()
     texts = docs.join(stage(ids, "ids"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
@@ -194,6 +206,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return stage(linked(joined, percent), "links")
 
 
+def _star_pairs(rest: DataFrame, turn: int, percent: int) -> DataFrame:
+    """At most one pair per class: with the head that most of its lists have, out of another component.
+
+    A list's head is the class that has its window first, in later turns one drawn anew by hash.
+    """
+    first = F.col("place") if turn == 0 else F.xxhash64(F.lit(turn), "class")
+    head = F.struct(first.alias("turn"), "n", "class", "component", *PARITY)
+    heads = rest.groupBy("window").agg(F.min(head).alias("head"))
+    heads = stage(heads.select(F.col("window").alias("of"), "head.*"), "heads")
+    stars = rest.alias("x").join(heads.alias("y"), F.col("x.window") == F.col("y.of"))
+    stars = stars.where((F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent))
+    heads_of = stars.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("times"))
+    best = heads_of.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", "best.b")
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def join_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     docs = only(docs, doc_id="bigint", text="string")
@@ -211,28 +239,23 @@ def join_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
     lists = stage(lists.join(stage(shared.select("window"), "shared"), "window"), "lists")
     active = lists.select("class").distinct()
     held = classes.join(stage(active, "active"), "class").dropDuplicates(["class"])
-    held = stage(held.drop("rare", "n"), "classes")
+    held = stage(held, "classes")
     lists = stage(lists.join(held.select("class", *PARITY), "class"), "postings")
 
-    heads = lists.groupBy("window").agg(F.min(F.struct("place", "n", "class", *PARITY)).alias("head"))
-    heads = stage(heads.select(F.col("window").alias("of"), "head.*"), "heads")
-    stars = lists.alias("x").join(heads.alias("y"), F.col("x.window") == F.col("y.of"))
-    stars = stars.where((F.col("x.class") != F.col("y.class")) & _alike("x", "y", percent))
-    # One head for each class, the one that most of its lists have: this step only has to link much, not all.
-    heads_of = stars.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("times"))
-    best = heads_of.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", "best.b")
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(stage(best, "pairs"), held, docs, size, percent)
-
-    grouped = lists.join(stage(components(links), "components"), F.col("class") == F.col("node"), "left")
-    grouped = grouped.withColumn("component", F.coalesce("component", "class")).drop("node")
-    mixed = grouped.groupBy("window").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    rest = stage(grouped.join(stage(mixed.select("window"), "mixed"), "window"), "mixed-postings")
-    across = rest.alias("x").join(
-        rest.alias("y"),
-        (F.col("x.window") == F.col("y.window")) & (F.col("x.component") < F.col("y.component")) & _alike("x", "y", percent),
-    )
-    links = links.union(_verified(stage(_enough_shared(across, percent), "pairs"), held, docs, size, percent))
+    links = None
+    rest = lists.withColumn("component", F.col("class"))
+    for turn in count():
+        pairs = stage(_star_pairs(rest, turn, percent), "pairs")
+        gained = _verified(pairs, held, docs, size, percent)
+        links = gained if links is None else links.union(gained)
+        grouped = rest.drop("component").join(stage(components(links), "components"), F.col("class") == F.col("node"), "left")
+        grouped = grouped.withColumn("component", F.coalesce("component", "class")).drop("node")
+        mixed = grouped.groupBy("window").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+        rest = stage(grouped.join(stage(mixed.select("window"), "mixed"), "window"), "mixed-postings")
+        # A turn pays as long as many of its pairs are links; what is left after it are mostly pairs that are none.
+        if gained.count() * PAYS < pairs.count() or rest.isEmpty():
+            break
+    links = links.union(_verified(stage(_first_shared(rest, held, percent), "pairs"), held, docs, size, percent))
 
     found = stage(components(links), "components")
     named = described.where("bucket is null").select("doc_id", "n_shingles", F.col("class").alias("__class"))
