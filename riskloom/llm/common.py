@@ -21,6 +21,11 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+def content_hash(text: Column) -> Column:
+    """64 bits of a text; null counts as the empty text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def split_words(text: Column) -> Column:
     """Words of a text; a null or blank text has none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACES)

@@ -128,9 +128,13 @@ def targets_within(held: Sequence[float], shares: np.ndarray) -> np.ndarray:
     return np.minimum(held, shares * held[main] / shares[main]) if shares[main] > 0 else np.zeros(len(shares))
 
 
-def copies_of(rate: Column, doc_id: Column) -> Column:
-    """Whole copies of a document: the rate rounded down, and one more as often as its fraction says."""
-    draw = F.pmod(F.xxhash64(F.lit("copies"), doc_id), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def copies_of(rate: Column, doc_id: Column, content: Column) -> Column:
+    """Whole copies of a document: the rate rounded down, and one more as often as its fraction says.
+
+    The draw is by id, by the text where there is none. Rows that repeat both draw alike.
+    """
+    drawn_by = F.when(doc_id.isNull(), F.xxhash64(F.lit("copies"), F.lit("text"), content)).otherwise(F.xxhash64(F.lit("copies"), doc_id))
+    draw = F.pmod(drawn_by, F.lit(1 << 40)) / F.lit(float(1 << 40))
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("bigint")
 
 
@@ -151,7 +155,7 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, fl
     rate = F.round(fit_rates(rows, targets), 6)
     named = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(weights)]
     mixed = rows.select("doc_id", "content", "n_tokens", *named, rate.alias("rate"))
-    return mixed.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
+    return mixed.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"), F.col("content")))
 
 
 def mixture_totals(mixed: DataFrame, weights: Mapping[str, float], budget: float | None = None) -> DataFrame:

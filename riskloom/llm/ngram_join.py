@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import only, slices, table
+from riskloom.llm.common import content_hash, only, slices, table
 from riskloom.llm.graph import components
 from riskloom.llm.hashing import WindowHasher, lowered_words, mix
 from riskloom.sources.staging import stage
@@ -72,7 +72,7 @@ def parity_bits(windows: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, size: int) -> DataFrame:
-    """Two kinds of rows: (doc_id, n_shingles, class) per document, and (bucket, seen) counts of each task."""
+    """Two kinds of rows: (doc_id, n_shingles, class, content) per document, and (bucket, seen) counts of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WindowHasher(size), np.zeros(COUNT_BUCKETS, np.int64)
@@ -86,12 +86,12 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
                 classes.append(class_of(windows) if len(windows) else None)
             seen += np.bincount(np.concatenate(buckets), minlength=COUNT_BUCKETS)
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, none, batch.column("content")], names)
         at = np.flatnonzero(seen)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at, pa.int64()), pa.array(seen[at], pa.int64()), none], names)
 
-    names = ["doc_id", "n_shingles", "class", "bucket", "seen"]
+    names = ["doc_id", "n_shingles", "class", "bucket", "seen", "content"]
     return docs.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
@@ -222,9 +222,13 @@ def _star_pairs(rest: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def join_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    docs = only(docs, doc_id="bigint", text="string")
+def group_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, content (hash of the text) and group of every document.
+
+    Documents with the same group are joined by links; one without words has none. Groups are numbers
+    without a meaning; equal texts have equal groups, so that (doc_id, content) tells rows apart.
+    """
+    docs = only(docs, doc_id="bigint", text="string").withColumn("content", content_hash(F.col("text")))
     described = stage(describe(docs, size), "described")
     counts = np.zeros(COUNT_BUCKETS, np.int64)
     for bucket, seen in described.where("bucket is not null").groupBy("bucket").agg(F.sum("seen")).collect():
@@ -253,17 +257,41 @@ def join_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
         mixed = grouped.groupBy("window").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
         rest = stage(grouped.join(stage(mixed.select("window"), "mixed"), "window"), "mixed-postings")
         # A turn pays as long as many of its pairs are links; what is left after it are mostly pairs that are none.
-        if gained.count() * PAYS < pairs.count() or rest.isEmpty():
+        if gained.count() * PAYS <= pairs.count() or rest.isEmpty():
             break
     links = links.union(_verified(stage(_first_shared(rest, held, percent), "pairs"), held, docs, size, percent))
 
     found = stage(components(links), "components")
-    named = described.where("bucket is null").select("doc_id", "n_shingles", F.col("class").alias("__class"))
+    named = described.where("bucket is null").select("doc_id", "n_shingles", "content", F.col("class").alias("__class"))
     named = named.join(found, F.col("__class") == F.col("node"), "left")
-    named = stage(named.select("doc_id", "n_shingles", F.coalesce("component", "__class").alias("group")), "grouped")
+    return stage(named.select("doc_id", "n_shingles", "content", F.coalesce("component", "__class").alias("group")), "grouped")
+
+
+def join_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    named = group_documents(docs, size, percent)
     least = stage(named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least")), "names")
     return named.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group: the one with the least id (rows without an id last), among texts of one id the least hash.
+
+    Of rows that repeat this id and text one stays, whichever; rows without words are in no group and all stay.
+    """
+    named = group_documents(docs, size, percent).where("group is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content")
+    sizes = stage(named.groupBy("group", "doc_id", "content").agg(F.count("*").alias("rows")), "sizes")
+    heads = stage(sizes.groupBy("group").agg(F.min(rank).alias("head")), "group-heads")
+    judged = sizes.join(heads, "group").withColumn("first", F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.content") == F.col("content")))
+    named_by = [F.col("doc_id").alias("__id"), F.col("content").alias("__content")]
+    later = stage(judged.where("not first or rows > 1").select(*named_by, "first"), "later")
+    mine = content_hash(F.col("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (mine == F.col("__content"))
+    kept = docs.join(later.drop("first"), same, "left_anti")
+    repeated = docs.join(later.where("first").drop("first"), same, "left_semi").withColumn("__content", mine)
+    return kept.unionByName(repeated.dropDuplicates(["doc_id", "__content"]).drop("__content"))
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))

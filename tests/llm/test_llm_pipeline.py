@@ -52,3 +52,17 @@ def test_stages_on_odd_documents(spark, frame, corpus, sf_dir):
 def test_every_operator_has_one_query():
     numbers = Counter(int(name[2:].split("_")[0]) for name in QUERIES)
     assert numbers == dict.fromkeys(range(1, 14), 1)
+
+
+def test_rows_without_or_with_repeated_ids(spark, frame, sf_dir):
+    """Rows are told apart by id and text: copies go whatever their ids are, and no clean text goes with them."""
+    words = [" ".join(f"w{k}x{i}" for i in range(90)) for k in range(4)]
+    item = " ".join(r["text"] for r in table(spark, sf_dir, "benchmark").limit(3).collect())
+    pairs = [(1, words[0]), (1, words[0]), (2, words[0]), (None, words[0]), (None, words[0]), (3, words[1]), (3, words[0]), (None, words[2])]
+    pairs += [(None, words[3]), (None, words[3])]
+    kept = corpus_pipeline.near_duplicates(spark, frame(pairs), sf_dir)
+    assert kept.columns == frame(pairs).columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, words[0]), (3, words[1]), (None, words[2]), (None, words[3])])
+    dirty = [(None, item + " " + words[0]), (5, item), (5, words[1]), (None, words[2]), (None, None)]
+    clean = corpus_pipeline.decontamination(spark, frame(dirty), sf_dir)
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter([(5, words[1]), (None, words[2]), (None, None)])

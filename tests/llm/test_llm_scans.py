@@ -261,7 +261,7 @@ def test_a_scarce_domain_is_repeated_up_to_its_share(spark):
 
 
 def test_fractions_of_copies_are_drawn_near_whole_numbers(spark):
-    often = spark.range(20000).select(mixing.copies_of(F.lit(0.95), F.col("id")).alias("n")).groupBy("n").count().collect()
+    often = spark.range(20000).select(mixing.copies_of(F.lit(0.95), F.col("id"), F.lit(0)).alias("n")).groupBy("n").count().collect()
     assert {x["n"] for x in often} == {0, 1} and {x["n"]: x["count"] for x in often}[1] == pytest.approx(19000, rel=0.01)
 
 
