@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import table
-from riskloom.llm.decontamination import contained_items, drop_contaminated
+from riskloom.llm.common import content_hash, table
+from riskloom.llm.decontamination import contained_items
 from riskloom.llm.mixing import WEIGHTS, label_domains, mix_documents
-from riskloom.llm.ngram_join import join_documents
+from riskloom.llm.ngram_join import drop_near_copies
 from riskloom.llm.quality import keep_good
 from riskloom.llm.sharding import SHARDS, shard_documents
 from riskloom.sources.staging import stage
@@ -27,18 +27,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links hold together: the one with the least id.
-
-    Documents without an id cannot be named as a group's first; they stay.
-    """
-    joined = join_documents(docs, SHINGLE, PERCENT)
-    later = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("__later")).distinct()
-    return docs.join(stage(later, "later"), F.col("doc_id") == F.col("__later"), "left_anti")
+    """One document of each group that near-duplicate links hold together: the one with the least id."""
+    return drop_near_copies(docs, SHINGLE, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return drop_contaminated(docs, stage(contained_items(docs, table(spark, sf_dir, "benchmark")), "contaminated"))
+    """Documents that hold no benchmark item. Texts go by their hash, so rows without an id or with a repeated one are judged alike."""
+    texts = docs.select(content_hash(docs["text"]).alias("doc_id"), docs["text"].alias("text"))
+    found = contained_items(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__found")).distinct()
+    return docs.join(stage(found, "contaminated"), content_hash(docs["text"]) == F.col("__found"), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
