@@ -166,14 +166,18 @@ def _alike(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
-def _first_shared(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _first_shared(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` of different components, each from the first window that both prefixes have.
 
-    A posting brings the windows that its class has before, so that a pair comes out of one list only. All
-    windows that a pair shares stand at or after its first one, which must leave room for a link's.
+    A posting brings the windows that its class has before, so that a pair comes out of one list only. Windows
+    whose list is done are left out: no pair of different components shares one. All windows that a pair shares
+    stand at or after its first one, which must leave room for a link's; the spare ones at a prefix's end never do.
     """
-    before = rest.join(classes.select("class", "rare"), "class")
-    before = before.withColumn("earlier", F.slice("rare", F.lit(1), F.col("place").cast("int") - 1)).drop("rare")
+    carried = ["class", "n", "component", *PARITY]
+    room = rest.where(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
+    own = room.groupBy(*carried).agg(F.sort_array(F.collect_list(F.struct("place", "window"))).alias("own"))
+    before = own.select(*carried, F.col("own.window").alias("windows"), F.posexplode("own").alias("nth", "at"))
+    before = before.select(*carried, "at.place", "at.window", F.slice("windows", F.lit(1), F.col("nth")).alias("earlier"))
     x, y = before.alias("x"), before.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     after = F.least(n - F.col("x.place"), m - F.col("y.place")) + 1
@@ -259,7 +263,7 @@ def group_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
         # A turn pays as long as many of its pairs are links; what is left after it are mostly pairs that are none.
         if gained.count() * PAYS <= pairs.count() or rest.isEmpty():
             break
-    links = links.union(_verified(stage(_first_shared(rest, held, percent), "pairs"), held, docs, size, percent))
+    links = links.union(_verified(stage(_first_shared(rest, percent), "pairs"), held, docs, size, percent))
 
     found = stage(components(links), "components")
     named = described.where("bucket is null").select("doc_id", "n_shingles", "content", F.col("class").alias("__class"))
