@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.sources.staging import stage
+
 #: White space between words, as in every contract of this subpackage.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -58,3 +60,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def sampled(df: DataFrame, key: str, cell: Column, count: int) -> list[str]:
+    """``cell`` of the rows that have the ``count`` least hashes of ``key``, in their order, on the driver.
+
+    Keys are picked first and by themselves, so no task sends cells of rows that are not in the sample. Of
+    rows that repeat a key, a null one too, one cell counts. The caller bounds the length of a cell.
+    """
+    ranked = df.select(F.xxhash64(key).alias("__rank"), F.col(key).alias("__key")).orderBy("__rank", "__key")
+    picked = stage(ranked.limit(count).distinct(), "sample-keys")
+    found = df.join(picked.select("__key"), F.col(key).eqNullSafe(F.col("__key")), "left_semi").select(key, cell.alias("__cell"))
+    found = found.groupBy(key).agg(F.min(F.struct(F.xxhash64("__cell").alias("__hash"), "__cell")).alias("__one"))
+    rows = found.select(F.xxhash64(key).alias("rank"), F.col(key).alias("key"), F.col("__one.__cell").alias("cell")).collect()
+    return [row["cell"] for row in sorted(rows, key=lambda row: (row["rank"], row["key"] is not None, row["key"] or 0))]

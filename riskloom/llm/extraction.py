@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import only, slices, table
+from riskloom.llm.common import only, sampled, slices, table
 from riskloom.llm.hashing import WindowHasher
 from riskloom.llm.html_blocks import Block, page_blocks
 
@@ -34,6 +34,8 @@ from riskloom.llm.html_blocks import Block, page_blocks
 TRAINING_PAGES = 300
 #: Longest page that is trained on, in blocks; longer ones are labelled all the same.
 TRAINING_BLOCKS = 200
+#: Longest page that is sent to the driver for training, in characters.
+TRAINING_CHARS = 1 << 16
 #: Rows of the path table, buckets of words, other measures, and cells per direction.
 PATHS, WORDS, MEASURES, CELLS = 2048, 32, 4, 16
 STEPS, PAGES_PER_STEP, RATE = 220, 16, 0.02
@@ -264,8 +266,8 @@ def main_texts(pages: Sequence[str], model: Labeller) -> list[str]:
 def extract_pages(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = only(pages, page_id="bigint", url="string", html="string")
-    sample = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id", "url").limit(training_pages)
-    model = train_labeller([row["html"] for row in sample.select("html").collect()])
+    short = pages.where(F.length("html") <= TRAINING_CHARS)
+    model = train_labeller(sampled(short, "page_id", F.col("html"), training_pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import only, slices, table
+from riskloom.llm.common import only, sampled, slices, table
 from riskloom.llm.hashing import WindowHasher, mix, word_places
 
 #: Notices by family.
@@ -350,10 +350,9 @@ def text_notices(text: str, model: NoticeClassifier, hasher: NoticeHasher) -> li
 def scan_licenses(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, line, at, upto (bytes), family, probability, agreement of every notice."""
     docs = only(docs, doc_id="bigint", text="string")
-    picked = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # One line of each sampled document, cut to one window: the driver gets a bounded number of words.
-    one = F.element_at(F.split("text", "\n"), F.lit(-1))
-    model = train_notices([row[0] for row in picked.select(F.substring(one, 1, 600)).collect()])
+    one = F.substring(F.element_at(F.split("text", "\n"), F.lit(-1)), 1, 600)
+    model = train_notices(sampled(docs.where("text is not null"), "doc_id", one, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = NoticeHasher(1)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm import extraction, licenses, mixing, quality, secrets, sharding
-from riskloom.llm.common import table
+from riskloom.llm.common import sampled, table
 from riskloom.llm.html_blocks import page_blocks
 
 
@@ -161,6 +162,33 @@ def test_blocks_have_paths_and_decoded_text():
     assert blocks[0].path == ("<ul>", "menu", "main", "<li>") and blocks[1].path == blocks[0].path and blocks[3].path == ("<div>",)
 
 
+@pytest.mark.parametrize("piece", ['<p "x" ', "<a ", '<a ">"', "<!", "<script ", "</x>", "<div>x", '<p class="'])
+def test_long_broken_pages_take_linear_time(piece):
+    html = piece * (1_000_000 // len(piece))
+    start = time.monotonic()
+    assert len(page_blocks(html + ">tail")) <= html.count("x") + 1
+    page_blocks(html)
+    assert time.monotonic() - start < 30
+
+
+def test_blocks_of_broken_tags():
+    texts = lambda html: [b.text for b in page_blocks(html)]
+    assert texts('<p title="a > b">one</p><p>two') == ["one", "two"]
+    assert texts('<p>one<p title="open>two</p>three') == ["one", "two", "three"]
+    assert texts("<p>one</p>a < b <a") == ["one", "a < b <a"]
+    assert texts("<p>one</p><!-- open <p>two") == ["one"] and texts("<p>one<script>x = 1 < 2") == ["one"]
+    assert texts("<p>one</p>two <!-- open") == ["one", "two"]
+
+
+def test_samples_hold_one_cell_per_key(spark):
+    rows = [(1, "b"), (1, "a"), (None, "n"), (None, "m"), (2, "c"), (2, "c"), (3, "d")]
+    df = spark.createDataFrame(rows, "id bigint, cell string")
+    cells = sampled(df, "id", F.col("cell"), 7)
+    assert len(cells) == 4 and set(cells) <= {"a", "b", "m", "n", "c", "d"} and {"c", "d"} <= set(cells)
+    assert cells == sampled(df.repartition(3), "id", F.col("cell"), 7) and len(sampled(df, "id", F.col("cell"), 1)) == 1
+    assert sampled(df.limit(0), "id", F.col("cell"), 5) == []
+
+
 def test_notices_are_found_and_clean_texts_are_not(spark, frame, corpus, rows):
     around = corpus[2][1]
     pairs = [*corpus, (800, around + "\nReleased under the MIT License.\n" + around), (801, around + " Licensed under the Apache License, Version 2.0. " + around)]
