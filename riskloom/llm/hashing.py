@@ -58,6 +58,44 @@ def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+class TextHasher:
+    """Hashes of a text's words from prefix sums over its bytes, without a Python object per word.
+
+    A word's hash is the sum of a number per byte times a power of ``BASE`` for its place in the word, scrambled.
+    """
+
+    #: Bytes hashed at once, up to the next end of a word.
+    CHUNK = 1 << 20
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.numbers = mix(np.arange(1, 257, dtype=np.uint64))
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = max(n, 2 * len(self.powers))
+            one, bases = np.ones(1, np.uint64), (self.BASE, pow(self.BASE, -1, 1 << 64))
+            self.powers, self.inverses = [np.cumprod(np.concatenate([one, np.full(n - 1, base, np.uint64)])) for base in bases]
+
+    def words(self, text: str | None) -> np.ndarray:
+        """Hashes of the words between ASCII white space, with A-Z in lower case."""
+        data, parts = (text or "").encode().lower(), [np.zeros(0, np.uint64)]
+        starts, ends = word_places(data)
+        codes = np.frombuffer(data, np.uint8)
+        low = 0
+        while low < len(starts):
+            high = max(low + 1, int(np.searchsorted(ends, starts[low] + self.CHUNK)))
+            begin, end = int(starts[low]), int(ends[high - 1])
+            self._reach(end - begin)
+            sums = np.zeros(end - begin + 1, np.uint64)
+            np.cumsum(self.numbers[codes[begin:end]] * self.powers[: end - begin], out=sums[1:])
+            first = starts[low:high] - begin
+            parts.append(mix((sums[ends[low:high] - begin] - sums[first]) * self.inverses[first]))
+            low = high
+        return np.concatenate(parts)
+
+
 class WordTable:
     """Words of several texts as arrays: hash, text, line (over all texts), first and last byte in the text."""
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import content_hash, only, slices, table
 from riskloom.llm.graph import components
-from riskloom.llm.hashing import WindowHasher, lowered_words, mix
+from riskloom.llm.hashing import TextHasher, WindowHasher, mix
 from riskloom.sources.staging import stage
 
 #: Buckets that words are counted in for the first order; the driver holds this many numbers.
@@ -71,44 +71,42 @@ def parity_bits(windows: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def describe(docs: DataFrame, size: int) -> DataFrame:
-    """Two kinds of rows: (doc_id, n_shingles, class, content) per document, and (bucket, seen) counts of each task."""
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    """Words of all documents in each bucket, counted in tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = WindowHasher(size), np.zeros(COUNT_BUCKETS, np.int64)
+        hasher, seen = TextHasher(), np.zeros(COUNT_BUCKETS, np.int64)
         for batch in slices(batches):
-            sizes, classes, buckets = [], [], [np.zeros(0, np.int64)]
             for text in batch.column("text").to_pylist():
-                words = hasher.words(lowered_words(text))
-                windows = np.unique(hasher.joined(words))
-                buckets.append(_bucket(words))
-                sizes.append(len(windows))
-                classes.append(class_of(windows) if len(windows) else None)
-            seen += np.bincount(np.concatenate(buckets), minlength=COUNT_BUCKETS)
-            none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, none, batch.column("content")], names)
+                np.add.at(seen, _bucket(hasher.words(text)), 1)
         at = np.flatnonzero(seen)
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at, pa.int64()), pa.array(seen[at], pa.int64()), none], names)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["bucket", "seen"])
 
-    names = ["doc_id", "n_shingles", "class", "bucket", "seen", "content"]
-    return docs.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    counts = np.zeros(COUNT_BUCKETS, np.int64)
+    for bucket, seen in docs.select("text").mapInArrow(run, "bucket bigint, seen bigint").groupBy("bucket").agg(F.sum("seen")).collect():
+        counts[bucket] = seen
+    return counts
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """A row per class and task: doc_id of its text, n, prefix in the first order, prefixes in the others, parity bits."""
+def describe(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+    """A row per document: doc_id, content, n, class. A class's first row in a task also has its prefix in
+    the first order, its prefixes in the others and its parity bits; the others have nulls there.
+    """
 
     # A word's weight grows with its count; a window's is the sum, in steps of 1/16 of a doubling.
     weights = np.round(16 * np.log2(counts + 1)).astype(np.int64)
+    nothing = (None,) * (1 + len(OTHER_ORDERS) + PARITY_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, met = WindowHasher(size), set()
+        hasher, joiner, met = TextHasher(), WindowHasher(size), set()
         for batch in slices(batches):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = hasher.words(lowered_words(text))
-                windows, where = np.unique(hasher.joined(words), return_index=True)
-                if not len(windows) or (name := class_of(windows)) in met:
+            for text in batch.column("text").to_pylist():
+                words = hasher.words(text)
+                windows, where = np.unique(joiner.joined(words), return_index=True)
+                name = class_of(windows) if len(windows) else None
+                if name is None or name in met:
+                    rows.append((len(windows), name, *nothing))
                     continue
                 met.add(name)
                 first = len(windows) - _least_shared(len(windows), percent) + 1
@@ -116,14 +114,13 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                 common = sums[np.minimum(where + size, len(words))] - sums[where]
                 rare = windows[np.lexsort((windows, common))[: first + len(windows) // SPARE]]
                 others = [np.sort(mix(windows ^ np.uint64(seed)) >> np.uint64(33))[:first] for seed in OTHER_ORDERS]
-                rows.append((name, doc_id, len(windows), rare.view(np.int64), *[o.astype(np.int32) for o in others], *parity_bits(windows)))
-            if rows:
-                columns = list(zip(*rows))
-                arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.list_(pa.int64()))]
-                arrays += [pa.array(c, pa.list_(pa.int32())) for c in columns[4:6]]
-                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(c, pa.int64()) for c in columns[6:]]], names)
-
-    names = ["class", "doc_id", "n", "rare", "other_1", "other_2", *PARITY]
+                rows.append((len(windows), name, rare.view(np.int64), *[o.astype(np.int32) for o in others], *parity_bits(windows)))
+            columns = list(zip(*rows)) if rows else [()] * (2 + len(nothing))
+            arrays = [pa.array(c, pa.int64()) for c in columns[:2]] + [pa.array(columns[2], pa.list_(pa.int64()))]
+            arrays += [pa.array(c, pa.list_(pa.int32())) for c in columns[3:5]] + [pa.array(c, pa.int64()) for c in columns[5:]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), *arrays], names)
+
+    names = ["doc_id", "content", "n", "class", "rare", "other_1", "other_2", *PARITY]
     kinds = {"rare": "array<bigint>", "other_1": "array<int>", "other_2": "array<int>"}
     return docs.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'bigint')}" for n in names))
 
@@ -132,9 +129,9 @@ def window_sets(docs: DataFrame, size: int) -> DataFrame:
     """class and its sorted windows, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WindowHasher(size)
+        hasher, joiner = TextHasher(), WindowHasher(size)
         for batch in slices(batches):
-            sets = [np.unique(hasher.windows(lowered_words(text))) for text in batch.column("text").to_pylist()]
+            sets = [np.unique(joiner.joined(hasher.words(text))) for text in batch.column("text").to_pylist()]
             columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["class", "windows"])
 
@@ -233,11 +230,8 @@ def group_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     without a meaning; equal texts have equal groups, so that (doc_id, content) tells rows apart.
     """
     docs = only(docs, doc_id="bigint", text="string").withColumn("content", content_hash(F.col("text")))
-    described = stage(describe(docs, size), "described")
-    counts = np.zeros(COUNT_BUCKETS, np.int64)
-    for bucket, seen in described.where("bucket is not null").groupBy("bucket").agg(F.sum("seen")).collect():
-        counts[bucket] = seen
-    classes = stage(prefixes(docs, counts, size, percent), "prefixes")
+    described = stage(describe(docs, bucket_counts(docs), size, percent), "described")
+    classes = described.where("rare is not null").drop("content")
 
     # Most windows are in one prefix, and end here. Then a class that several tasks met counts once.
     postings = classes.select("class", "n", F.posexplode("rare").alias("place", "window")).withColumn("place", F.col("place") + 1)
@@ -266,7 +260,7 @@ def group_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     links = links.union(_verified(stage(_first_shared(rest, percent), "pairs"), held, docs, size, percent))
 
     found = stage(components(links), "components")
-    named = described.where("bucket is null").select("doc_id", "n_shingles", "content", F.col("class").alias("__class"))
+    named = described.select("doc_id", F.col("n").alias("n_shingles"), "content", F.col("class").alias("__class"))
     named = named.join(found, F.col("__class") == F.col("node"), "left")
     return stage(named.select("doc_id", "n_shingles", "content", F.coalesce("component", "__class").alias("group")), "grouped")
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from riskloom.llm import decontamination, ngram_join, paragraphs, substrings
+from riskloom.llm import decontamination, hashing, ngram_join, paragraphs, substrings
 from riskloom.llm.graph import components
 from riskloom.llm.suffix_groups import common_prefixes, suffix_array
 
@@ -194,3 +194,17 @@ def test_empty_tables(spark, frame, rows):
     assert rows(decontamination.contained_items(empty, items)) == []
     assert rows(decontamination.contained_items(frame([(1, "a b c d e f")]), items)) == []
     assert sorted(rows(ngram_join.join_documents(frame([(1, None), (2, "")])))) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_words_hashed_from_prefix_sums(monkeypatch):
+    """Equal words have equal hashes wherever they stand, different ones different hashes."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abAB0é") for _ in range(r.randint(1, 6))) for _ in range(3000)]
+    text = "".join(w + r.choice(" \t\n\v\f\r") * r.randint(1, 3) for w in words) + "x" * 500
+    for chunk in (hashing.TextHasher.CHUNK, 40, 1):
+        monkeypatch.setattr(hashing.TextHasher, "CHUNK", chunk)
+        hashed = hashing.TextHasher().words(text).tolist()
+        expected = text.encode().lower().split()
+        assert len(hashed) == len(expected) and len(set(hashed)) == len(set(expected)) == len(set(zip(hashed, expected)))
+        assert all(len(hashing.TextHasher().words(t)) == 0 for t in (None, "", " \n"))
+    assert hashed == [int(hashing.TextHasher().words(w.decode())[0]) for w in expected]
