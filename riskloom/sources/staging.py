@@ -4,11 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.sources.sinks import delete_path
 
+#: Lets Spark delete the shuffle files of a query as soon as it has ended, instead of when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the stage tables written in each open ``passing`` block, the innermost last.
+_WRITTEN: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
+#: Where each stage table lies, as long as its frame is held.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
@@ -42,11 +53,53 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     The reread table has no lineage to recompute when executors are lost, and its
     file sizes tell the planner whether it is small enough to broadcast; if it is
-    not, both join inputs are plain shuffles that skew handling can split.
+    not, both join inputs are plain shuffles that skew handling can split. The
+    shuffles behind it are not needed any more, and go when it is written.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    if written := _WRITTEN.get():
+        written[-1].append(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _PATHS[staged] = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete stage tables, given as ``stage`` returned them, that nothing reads any more."""
+    for df in staged:
+        delete_path(df.sparkSession, _PATHS[df])
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete the stage tables written inside when the block ends.
+
+    What it gives stages a table that outlives the block, up to the end of the block around it, if any.
+    Frames that read deleted tables must not leave the block.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    outer, paths = _WRITTEN.get(), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inside = _WRITTEN.set(outer)
+        try:
+            return stage(df, name)
+        finally:
+            _WRITTEN.reset(inside)
+
+    opened = _WRITTEN.set((*outer, paths))
+    try:
+        yield keep
+    finally:
+        _WRITTEN.reset(opened)
+        for path in paths:
+            delete_path(spark, path)
 
 
 def drop_stages(spark: SparkSession) -> None:

@@ -114,6 +114,21 @@ def test_stage_reads_back_the_same_rows_from_the_shared_folder(spark):
     assert all(staging.staging_root(spark) in f for f in staged.inputFiles())
 
 
+def test_a_stage_leaves_no_shuffle_and_a_block_no_tables(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in map(str, disk.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+    before = shuffles()
+    with staging.passing(spark) as keep:
+        counts = staging.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+        total = keep(counts.agg(F.sum("count").alias("n")), "total")
+        path = staging._PATHS[counts]
+    assert not shuffles() - before
+    assert total.first()["n"] == 1000
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    staging.release(total)
+
+
 def test_dropping_stages_leaves_other_files_alone(spark):
     context = spark.sparkContext
     other_app = SimpleNamespace(
