@@ -15,7 +15,8 @@ inside any passage of 50 words, and collide only when all their words agree. Eac
 extended, word by word in both directions, as far as any earlier occurrence of the block
 reads the same: first against the block's first occurrence, then among those that leave it
 at the same word in the same way, and so on. A longer run holds a further block, so that
-the spans of one run touch, and the whole run is removed.
+the spans of one run touch, and the whole run is removed. Blocks that read the same on a side for as far
+as is looked share one row there, and only where such rows differ are all their words brought together.
 
 In a band's bucket each paragraph is compared with the least one, and only buckets that
 still hold different components are joined in full, behind bounds on length and on parity
@@ -40,7 +41,7 @@ from riskloom.llm.common import only, slices, table
 from riskloom.llm.graph import components
 from riskloom.llm.hashing import WindowHasher, WordTable, least_places, mix
 from riskloom.llm.ngram_join import PARITY, linked
-from riskloom.sources.staging import stage
+from riskloom.sources.staging import passing, release, stage
 
 #: Words per window, and least Jaccard similarity in percent.
 WINDOW, PERCENT = 5, 80
@@ -195,8 +196,9 @@ def _lists(values: np.ndarray, there: np.ndarray) -> pa.Array:
 
 
 def surroundings(texts: DataFrame) -> DataFrame:
-    """For the blocks that start at the bytes ``ats`` of each text: the words on one side (0 before, 1 after), nearest first.
+    """For the blocks that start at bytes of each text: the words on one side (0 before, 1 after), nearest first.
 
+    ``places`` has 2 * byte + side of what is asked for.
     ``chain`` has a hash of the nearest word, of the nearest two, and so on, ``edges`` the byte where each of these runs ends.
     """
 
@@ -204,20 +206,26 @@ def surroundings(texts: DataFrame) -> DataFrame:
         hasher = WindowHasher(ANCHOR)
         for batch in slices(batches, 64):
             words = WordTable(batch.column("text").to_pylist(), hasher)
-            wanted = batch.column("ats")
+            wanted = batch.column("places")
             text = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy())
-            wanted = (text << 40) | wanted.flatten().to_numpy()
+            wanted = wanted.flatten().to_numpy()
+            asked, wanted = wanted & 1, (text << 40) | (wanted >> 1)
             known = (words.text << 40) | words.at
             # Rows that repeat an id may have another text, without a word or a block there.
             chosen = np.searchsorted(known, wanted)
-            chosen, wanted = chosen[chosen + BLOCK <= len(known)], wanted[chosen + BLOCK <= len(known)]
-            chosen = chosen[(known[chosen] == wanted) & (words.text[chosen] == words.text[chosen + BLOCK - 1])] if len(chosen) else chosen
+            inside = chosen + BLOCK <= len(known)
+            chosen, wanted, asked = chosen[inside], wanted[inside], asked[inside]
             if not len(chosen):
                 continue
-            first, second = _block_hashes(words.hashes, chosen)
-            ids = batch.column("doc_id").take(pa.array(words.text[chosen]))
-            own = [pa.array(c, pa.int64()) for c in (words.at[chosen], words.upto[chosen + BLOCK - 1], first, second)]
+            there = (known[chosen] == wanted) & (words.text[chosen] == words.text[chosen + BLOCK - 1])
+            every, asked = chosen[there], asked[there]
             for side in (0, 1):
+                chosen = every[asked == side]
+                if not len(chosen):
+                    continue
+                first, second = _block_hashes(words.hashes, chosen)
+                ids = batch.column("doc_id").take(pa.array(words.text[chosen]))
+                own = [pa.array(c, pa.int64()) for c in (words.at[chosen], words.upto[chosen + BLOCK - 1], first, second)]
                 steps = np.arange(1, AROUND + 1)
                 places = chosen[:, None] + (BLOCK - 1 + steps if side else -steps)
                 there = (places >= 0) & (places < len(known))
@@ -231,47 +239,75 @@ def surroundings(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *own, sides, _lists(chain, there), _lists(edges, there)], names)
 
     names = ["doc_id", "at", "upto", "block", "check", "side", "chain", "edges"]
-    return texts.select("doc_id", "text", "ats").mapInArrow(run, f"{SPAN}, block bigint, check bigint, side int, chain array<bigint>, edges array<bigint>")
+    return texts.select("doc_id", "text", "places").mapInArrow(run, f"{SPAN}, block bigint, check bigint, side int, chain array<bigint>, edges array<bigint>")
+
+
+def _around(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``surroundings``, with the cluster, of the blocks in ``id``, ``at`` and ``side``."""
+    coded = places.groupBy("id").agg(F.collect_set(2 * F.col("at") + F.col("side")).alias("places"))
+    texts = docs.join(stage(coded, "block-places"), F.col("doc_id").eqNullSafe(F.col("id")))
+    return surroundings(texts).withColumn("cluster", F.xxhash64("block", "check")).drop("block", "check")
 
 
 def _extended(docs: DataFrame, found: DataFrame) -> DataFrame:
     """id, block_at, cluster, and the span that the block has in common with earlier occurrences of it."""
-    ats = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("at").alias("ats"))
-    texts = docs.join(stage(ats, "block-places"), F.col("doc_id").eqNullSafe(F.col("id")))
-    rows = surroundings(texts).withColumn("cluster", F.xxhash64("block", "check")).drop("block", "check")
-    rows = stage(rows.withColumn("key", F.col("cluster")), "surroundings")
-    d = F.coalesce("doc_id", F.lit(-(1 << 62)))
-    spans = []
-    for level in range(AROUND + 1):
-        heads = rows.groupBy("side", "key").agg(F.min(F.struct(d.alias("d"), "at", "chain")).alias("head"), F.count("*").alias("n"))
-        heads = stage(heads.where("n > 1").drop("n"), "run-heads")
-        if heads.isEmpty():
-            break
-        # Hashes of runs agree up to the first word that differs.
-        same = F.size(F.filter(F.zip_with("chain", "head.chain", lambda x, y: x == y), lambda x: x))
-        later = rows.join(heads, ["side", "key"]).where((d != F.col("head.d")) | (F.col("at") != F.col("head.at")))
-        later = stage(later.withColumn("n", same).drop("head"), "runs")
-        edge = F.when(F.col("n") > 0, F.element_at("edges", F.greatest(F.col("n"), F.lit(1)))).otherwise(F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("upto")))
-        spans.append(later.select("doc_id", "at", "cluster", "side", edge.alias("edge")))
-        left = later.where(F.col("n") < F.size("chain")).withColumn("key", F.xxhash64("key", F.element_at("chain", F.col("n") + 1)))
-        rows = left.drop("n")
-    every = reduce(DataFrame.union, spans) if spans else rows.select("doc_id", "at", "cluster", "side", F.col("at").alias("edge"))
-    before, after = F.min(F.when(F.col("side") == 0, F.col("edge"))), F.max(F.when(F.col("side") == 1, F.col("edge")))
-    return every.groupBy(F.col("doc_id").alias("id"), F.col("at").alias("block_at"), F.col("cluster").alias("of")).agg(before.alias("from"), after.alias("to"))
+    with passing(docs.sparkSession) as keep:
+        d = F.coalesce("doc_id", F.lit(-(1 << 62)))
+        none = F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("upto"))
+        with passing(docs.sparkSession) as hand_on:
+            places = found.select(F.col("doc_id").alias("id"), "at", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+            n = F.size("chain")
+            # The hash of all words on a side, and where they end.
+            whole, furthest = (F.when(n > 0, F.element_at(c, F.greatest(n, F.lit(1)))) for c in ("chain", "edges"))
+            reaches = _around(docs, places).select("doc_id", "at", "cluster", "side", n.alias("n"), F.coalesce(whole, F.lit(0)).alias("whole"), F.coalesce(furthest, none).alias("edge"))
+            reaches = stage(reaches, "reaches")
+            same = ["cluster", "side", "n", "whole"]
+            firsts = reaches.groupBy(*same).agg(F.min(F.struct(d.alias("d"), "at", "doc_id")).alias("head"), F.count("*").alias("times"))
+            firsts = stage(firsts, "firsts")
+            later = reaches.join(firsts.where("times > 1").drop("times"), same).where((d != F.col("head.d")) | (F.col("at") != F.col("head.at")))
+            # As far as is looked, these read like an earlier one.
+            spans = [hand_on(later.select("doc_id", "at", "cluster", "side", "edge"), "whole-runs")]
+            several = firsts.groupBy("cluster", "side").count().where("count > 1").select("cluster", "side")
+            others = firsts.join(stage(several, "several"), ["cluster", "side"])
+            rows = _around(docs, others.select(F.col("head.doc_id").alias("id"), "head.at", "side"))
+            rows = hand_on(rows.withColumn("key", F.col("cluster")), "surroundings")
+        for level in range(AROUND + 1):
+            heads = rows.groupBy("side", "key").agg(F.min(F.struct(d.alias("d"), "at", "chain")).alias("head"), F.count("*").alias("n"))
+            heads = stage(heads.where("n > 1").drop("n"), "run-heads")
+            if heads.isEmpty():
+                break
+            # Hashes of runs agree up to the first word that differs.
+            same = F.size(F.filter(F.zip_with("chain", "head.chain", lambda x, y: x == y), lambda x: x))
+            later = rows.join(heads, ["side", "key"]).where((d != F.col("head.d")) | (F.col("at") != F.col("head.at")))
+            later = later.withColumn("n", same)
+            edge = F.when(F.col("n") > 0, F.element_at("edges", F.greatest(F.col("n"), F.lit(1)))).otherwise(none)
+            # Words are written again only for those that another one may follow further.
+            left = F.col("n") < F.size("chain")
+            key = F.when(left, F.xxhash64("key", F.element_at("chain", F.least(F.col("n") + 1, F.size("chain")))))
+            words = [F.when(left, F.col(c)).alias(c) for c in ("chain", "edges")]
+            later = stage(later.select("doc_id", "at", "upto", "cluster", "side", *words, key.alias("key"), edge.alias("edge")), "runs")
+            spans.append(stage(later.select("doc_id", "at", "cluster", "side", "edge"), "run-ends"))
+            before, rows = rows, stage(later.where("key is not null").drop("edge"), "rows")
+            release(before, heads, later)
+        before, after = F.min(F.when(F.col("side") == 0, F.col("edge"))), F.max(F.when(F.col("side") == 1, F.col("edge")))
+        every = reduce(DataFrame.union, spans)
+        every = every.groupBy(F.col("doc_id").alias("id"), F.col("at").alias("block_at"), F.col("cluster").alias("of"))
+        return keep(every.agg(before.alias("from"), after.alias("to")), "extended")
 
 
 def _repeated_blocks(docs: DataFrame) -> DataFrame:
     """Blocks whose words stand in two places, all occurrences: doc_id, at, upto, cluster, kept."""
-    blocks = stage(block_rows(docs), "all-blocks")
-    twice = blocks.groupBy("block").count().where("count > 1").select("block")
-    found = stage(blocks.join(stage(twice, "twice"), "block"), "blocks")
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("d"), "at")
-    heads = found.groupBy("block", "check").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1")
-    found = found.join(stage(heads, "heads"), ["block", "check"])
-    found = found.select("doc_id", "at", "upto", F.xxhash64("block", "check").alias("cluster"), (order == F.col("head")).alias("kept"))
-    found = stage(found, "repeated-blocks")
+    with passing(docs.sparkSession) as keep:
+        blocks = stage(block_rows(docs), "all-blocks")
+        twice = blocks.groupBy("block").count().where("count > 1").select("block")
+        found = stage(blocks.join(stage(twice, "twice"), "block"), "blocks")
+        order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("d"), "at")
+        heads = found.groupBy("block", "check").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1")
+        found = found.join(stage(heads, "heads"), ["block", "check"])
+        found = found.select("doc_id", "at", "upto", F.xxhash64("block", "check").alias("cluster"), (order == F.col("head")).alias("kept"))
+        found = keep(found, "repeated-blocks")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("at") == F.col("block_at")) & (F.col("cluster") == F.col("of")) & ~F.col("kept")
-    joined = found.join(stage(_extended(docs, found), "extended"), same, "left")
+    joined = found.join(_extended(docs, found), same, "left")
     return joined.select("doc_id", F.coalesce("from", "at").alias("at"), F.coalesce("to", "upto").alias("upto"), "cluster", "kept")
 
 
@@ -284,55 +320,58 @@ def _alike(x: str, y: str) -> Column:
 
 def _verified(joined: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
     x, y = F.col("x.class"), F.col("y.class")
-    pairs = stage(joined.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "pairs")
-    wanted = stage(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "wanted")
-    ids = stage(held.join(wanted, "class").select(F.col("doc_id").alias("id")).distinct(), "ids")
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = stage(paragraph_sets(texts).join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sets")
-    both = pairs.join(sets.select(F.col("class").alias("b"), F.col("windows").alias("right")), "b")
-    both = both.join(sets.select(F.col("class").alias("a"), F.col("windows").alias("left")), "a")
-    return stage(linked(both, PERCENT), "links")
+    with passing(docs.sparkSession) as keep:
+        pairs = stage(joined.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "pairs")
+        wanted = stage(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "wanted")
+        ids = stage(held.join(wanted, "class").select(F.col("doc_id").alias("id")).distinct(), "ids")
+        texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        sets = stage(paragraph_sets(texts).join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sets")
+        both = pairs.join(sets.select(F.col("class").alias("b"), F.col("windows").alias("right")), "b")
+        both = both.join(sets.select(F.col("class").alias("a"), F.col("windows").alias("left")), "a")
+        return keep(linked(both, PERCENT), "links")
 
 
 def _repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """Paragraphs with a like elsewhere, all occurrences: doc_id, at, upto, cluster, kept."""
-    rows = stage(paragraph_rows(docs), "paragraphs")
-    signed = rows.where("bands is not null")
-    bands = signed.select("class", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head <> last")
-    shared = stage(shared.select(F.col("band").alias("of"), "head"), "buckets")
-    lists = stage(bands.join(shared, F.col("band") == F.col("of")).select("class", "band", "head").distinct(), "lists")
-    held = signed.join(stage(lists.select("class").distinct(), "active"), "class").dropDuplicates(["class"])
-    held = stage(held.drop("bands", "at", "upto"), "classes")
-    bits = held.drop("doc_id")
-    lists = stage(lists.join(bits, "class"), "collisions")
-    heads = bits.join(stage(lists.select(F.col("head").alias("class")).distinct(), "head-names"), "class", "left_semi")
-    stars = lists.alias("x").join(stage(heads, "heads").alias("y"), F.col("x.head") == F.col("y.class"))
-    links = _verified(stars.where((F.col("x.class") != F.col("y.class")) & _alike("x", "y")), held, docs)
-
-    grouped = lists.join(stage(components(links), "components"), F.col("class") == F.col("node"), "left")
-    grouped = grouped.withColumn("component", F.coalesce("component", "class")).drop("node", "head")
-    mixed = grouped.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = stage(grouped.join(stage(mixed.select("band"), "mixed"), "band"), "mixed-lists")
-    across = rest.alias("x").join(
-        rest.alias("y"),
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & _alike("x", "y"),
-    )
-    links = links.union(_verified(across, held, docs))
-
-    found = stage(components(links), "components")
-    named = rows.select("doc_id", "at", "upto", "class").join(found, F.col("class") == F.col("node"), "left")
-    named = stage(named.select("doc_id", "at", "upto", F.coalesce("component", "class").alias("cluster")), "clusters")
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("d"), "at")
-    firsts = named.groupBy("cluster").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1")
-    named = named.join(stage(firsts, "firsts"), "cluster")
-    return named.select("doc_id", "at", "upto", "cluster", (order == F.col("head")).alias("kept"))
+    with passing(docs.sparkSession) as keep:
+        rows = stage(paragraph_rows(docs), "paragraphs")
+        signed = rows.where("bands is not null")
+        bands = signed.select("class", F.explode("bands").alias("band"))
+        shared = bands.groupBy("band").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head <> last")
+        shared = stage(shared.select(F.col("band").alias("of"), "head"), "buckets")
+        lists = stage(bands.join(shared, F.col("band") == F.col("of")).select("class", "band", "head").distinct(), "lists")
+        held = signed.join(stage(lists.select("class").distinct(), "active"), "class").dropDuplicates(["class"])
+        held = stage(held.drop("bands", "at", "upto"), "classes")
+        bits = held.drop("doc_id")
+        lists = stage(lists.join(bits, "class"), "collisions")
+        heads = bits.join(stage(lists.select(F.col("head").alias("class")).distinct(), "head-names"), "class", "left_semi")
+        stars = lists.alias("x").join(stage(heads, "heads").alias("y"), F.col("x.head") == F.col("y.class"))
+        links = _verified(stars.where((F.col("x.class") != F.col("y.class")) & _alike("x", "y")), held, docs)
+
+        grouped = lists.join(components(links), F.col("class") == F.col("node"), "left")
+        grouped = grouped.withColumn("component", F.coalesce("component", "class")).drop("node", "head")
+        mixed = grouped.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        rest = stage(grouped.join(stage(mixed.select("band"), "mixed"), "band"), "mixed-lists")
+        across = rest.alias("x").join(
+            rest.alias("y"),
+            (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & _alike("x", "y"),
+        )
+        links = links.union(_verified(across, held, docs))
+
+        found = components(links)
+        named = rows.select("doc_id", "at", "upto", "class").join(found, F.col("class") == F.col("node"), "left")
+        named = stage(named.select("doc_id", "at", "upto", F.coalesce("component", "class").alias("cluster")), "clusters")
+        order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("d"), "at")
+        firsts = named.groupBy("cluster").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1")
+        named = named.join(stage(firsts, "firsts"), "cluster")
+        return keep(named.select("doc_id", "at", "upto", "cluster", (order == F.col("head")).alias("kept")), "repeated-paragraphs")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, at, upto (bytes of the UTF-8 text), cluster, kept of every repeated paragraph and block."""
     docs = only(docs, doc_id="bigint", text="string")
-    return stage(_repeated_paragraphs(docs).union(_repeated_blocks(docs)), "repeats")
+    with passing(docs.sparkSession) as keep:
+        return keep(_repeated_paragraphs(docs).union(_repeated_blocks(docs)), "repeats")
 
 
 def removed_bytes(spans: Column) -> Column:
@@ -352,11 +391,12 @@ def removed_bytes(spans: Column) -> Column:
 def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: bytes, repeated paragraphs and blocks, and what is removed of it."""
     docs = table(spark, sf_dir, "documents")
-    spans = repeated_spans(docs)
-    # A document's own spans: as many as it has paragraphs and blocks, however often they stand elsewhere.
-    own = F.collect_set(F.when(~F.col("kept"), F.struct("at", "upto")))
-    per_doc = spans.groupBy("doc_id").agg(F.count("*").alias("n_repeated"), own.alias("spans"))
-    per_doc = stage(per_doc.select(F.col("doc_id").alias("id"), "n_repeated", removed_bytes(F.col("spans")).alias("r")), "per-document")
+    with passing(spark) as keep:
+        spans = repeated_spans(docs)
+        # A document's own spans: as many as it has paragraphs and blocks, however often they stand elsewhere.
+        own = F.collect_set(F.when(~F.col("kept"), F.struct("at", "upto")))
+        per_doc = spans.groupBy("doc_id").agg(F.count("*").alias("n_repeated"), own.alias("spans"))
+        per_doc = keep(per_doc.select(F.col("doc_id").alias("id"), "n_repeated", removed_bytes(F.col("spans")).alias("r")), "per-document")
     sizes = only(docs, doc_id="bigint", text="string").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     none = F.lit(0).cast("bigint")
     return sizes.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
