@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import only, slices, table
 from riskloom.llm.hashing import least_places, mix
 from riskloom.llm.suffix_groups import common_prefixes, suffix_array
-from riskloom.sources.staging import stage
+from riskloom.sources.staging import passing, stage
 
 #: Bytes of a window that must be repeated, and of the grams among which anchors are chosen.
 LENGTH, GRAM = 200, 32
@@ -230,47 +230,59 @@ def repeated_spans(docs: DataFrame, regions_per_anchor: int = REGIONS_PER_ANCHOR
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("class"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     copies = texts.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
     whole = copies.select("class", F.lit(0).cast("bigint").alias("at"), F.lit(-1).cast("bigint").alias("upto"))
-
-    rows = region_rows(texts)
-    twice = stage(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    rows = stage(rows.join(twice, "anchor"), "regions")
-    counts = stage(rows.groupBy("anchor", "region").agg(F.count("*").alias("n")), "region-counts")
-    full = rows.join(stage(counts.where("n > 1").select("anchor", "region"), "full"), ["anchor", "region"], "left_semi")
-    full = full.select("class", F.col("lo").alias("at"), (F.col("hi") + LENGTH).alias("upto"))
-
-    # One row per distinct region of anchors that have a region of their own among several.
-    edges = counts.groupBy("anchor").agg(F.count("*").alias("regions"), F.min("n").alias("least")).where("regions > 1 and least = 1")
-    distinct = rows.join(stage(edges.select("anchor"), "edges"), "anchor").groupBy("anchor", "region").agg(
-        F.min(F.struct("class", "doc_id", "lo", "hi", "lside", "rside")).alias("r")
-    )
-    distinct = stage(distinct.select("anchor", "r.*"), "distinct-regions")
-    sides = distinct.select("anchor", F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("lside").alias("h")), F.struct(F.lit(1).alias("s"), F.col("rside").alias("h")))).alias("side"))
-    agreed = sides.where("side.h <> 0").groupBy("anchor", "side").agg(F.count("*").alias("n")).where("n > 1")
-    agreed = stage(agreed.select("anchor", "side.s", "side.h"), "sides")
-    by = lambda s, column: distinct.join(agreed.where(F.col("s") == s).select("anchor", F.col("h").alias(column)), ["anchor", column], "left_semi")
-    columns = ["anchor", "class", "doc_id", "lo", "hi"]
-    wanted = stage(by(0, "lside").select(columns).union(by(1, "rside").select(columns)).distinct(), "wanted")
-    sizes = stage(wanted.groupBy("anchor").agg(F.count("*").alias("regions")), "sizes")
-    wanted = wanted.join(sizes, "anchor")
-
-    listed = wanted.groupBy("class", "doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", "regions")).alias("list"))
-    listed = stage(listed.select(F.col("class").alias("c"), F.col("doc_id").alias("d"), "list"), "listed")
-    held = texts.join(listed, (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    held = held.select("class", "data", F.explode("list").alias("r"))
-    cut = F.substring("data", (F.col("r.lo") + 1).cast("int"), (F.col("r.hi") - F.col("r.lo") + LENGTH).cast("int"))
-    contexts = stage(held.select("r.anchor", "class", "r.lo", "r.regions", cut.alias("bytes")).distinct(), "contexts")
-    small = contexts.where(F.col("regions") <= regions_per_anchor).select("anchor", "class", "lo", "bytes")
-    found = sorted_spans(small.repartition("anchor").sortWithinPartitions("anchor"))
-    hot = counted_spans(contexts.where(F.col("regions") > regions_per_anchor))
-    spans = whole.union(full).union(found).union(hot)
-    return spans.groupBy("class").agg(F.collect_set(F.struct("at", "upto")).alias("spans"))
+    with passing(docs.sparkSession) as keep:
+        full, wanted = _full_and_wanted(texts)
+        contexts = _contexts(texts, wanted)
+        small = contexts.where(F.col("regions") <= regions_per_anchor).select("anchor", "class", "lo", "bytes")
+        found = stage(sorted_spans(small.repartition("anchor").sortWithinPartitions("anchor")), "sorted-spans")
+        hot = counted_spans(contexts.where(F.col("regions") > regions_per_anchor))
+        spans = whole.union(full).union(found).union(hot)
+        return keep(spans.groupBy("class").agg(F.collect_set(F.struct("at", "upto")).alias("spans")), "spans")
+
+
+def _full_and_wanted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans of regions with the same bytes in two places, and the regions whose windows must be compared, with the number of their anchor."""
+    with passing(texts.sparkSession) as keep:
+        with passing(texts.sparkSession) as hand_on:
+            rows = region_rows(texts)
+            twice = stage(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+            rows = hand_on(rows.join(twice, "anchor"), "regions")
+        counts = stage(rows.groupBy("anchor", "region").agg(F.count("*").alias("n")), "region-counts")
+        full = rows.join(stage(counts.where("n > 1").select("anchor", "region"), "full"), ["anchor", "region"], "left_semi")
+        full = keep(full.select("class", F.col("lo").alias("at"), (F.col("hi") + LENGTH).alias("upto")), "full-spans")
+
+        # One row per distinct region of anchors that have a region of their own among several.
+        edges = counts.groupBy("anchor").agg(F.count("*").alias("regions"), F.min("n").alias("least")).where("regions > 1 and least = 1")
+        distinct = rows.join(stage(edges.select("anchor"), "edges"), "anchor").groupBy("anchor", "region").agg(
+            F.min(F.struct("class", "doc_id", "lo", "hi", "lside", "rside")).alias("r")
+        )
+        distinct = stage(distinct.select("anchor", "r.*"), "distinct-regions")
+        sides = distinct.select("anchor", F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("lside").alias("h")), F.struct(F.lit(1).alias("s"), F.col("rside").alias("h")))).alias("side"))
+        agreed = sides.where("side.h <> 0").groupBy("anchor", "side").agg(F.count("*").alias("n")).where("n > 1")
+        agreed = stage(agreed.select("anchor", "side.s", "side.h"), "sides")
+        by = lambda s, column: distinct.join(agreed.where(F.col("s") == s).select("anchor", F.col("h").alias(column)), ["anchor", column], "left_semi")
+        columns = ["anchor", "class", "doc_id", "lo", "hi"]
+        wanted = stage(by(0, "lside").select(columns).union(by(1, "rside").select(columns)).distinct(), "wanted")
+        sizes = stage(wanted.groupBy("anchor").agg(F.count("*").alias("regions")), "sizes")
+        return full, keep(wanted.join(sizes, "anchor"), "sized")
+
+
+def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """anchor, class, lo, regions and the bytes of the ``wanted`` regions."""
+    with passing(texts.sparkSession) as keep:
+        listed = wanted.groupBy("class", "doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", "regions")).alias("list"))
+        listed = stage(listed.select(F.col("class").alias("c"), F.col("doc_id").alias("d"), "list"), "listed")
+        held = texts.join(listed, (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")))
+        held = held.select("class", "data", F.explode("list").alias("r"))
+        cut = F.substring("data", (F.col("r.lo") + 1).cast("int"), (F.col("r.hi") - F.col("r.lo") + LENGTH).cast("int"))
+        return keep(held.select("r.anchor", "class", "r.lo", "r.regions", cut.alias("bytes")).distinct(), "contexts")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes that remain) of every document."""
     docs = only(docs, doc_id="bigint", text="string")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("data")).withColumn("class", F.xxhash64("data"))
-    joined = docs.join(stage(spans, "spans"), "class", "left").select("doc_id", F.col("data").cast("binary"), "spans")
+    joined = docs.join(spans, "class", "left").select("doc_id", F.col("data").cast("binary"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -1,14 +1,17 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from riskloom.llm import decontamination, hashing, ngram_join, paragraphs, substrings
+from riskloom.llm import decontamination, graph, hashing, ngram_join, paragraphs, substrings
 from riskloom.llm.graph import components
 from riskloom.llm.suffix_groups import common_prefixes, suffix_array
+from riskloom.sources import staging
 
 
 def shingle_set(text, size):
@@ -49,6 +52,41 @@ def test_components_of_a_path_a_star_and_ties(spark):
     assert {found[k] for k in range(21)} == {0} and {found[k] for k in range(100, 140)} == {100} and len(found) == 61
 
 
+def test_tasks_draw_edges_together_and_rounds_do_the_rest(spark, monkeypatch):
+    path = spark.createDataFrame([(i + 1, i) for i in range(60)], "a bigint, b bigint").repartition(3)
+    written = []
+    monkeypatch.setattr(graph, "stage", lambda df, name: written.append(name) or staging.stage(df, name))
+    for drawn, rounds in ((1 << 16, 0), (2, 9)):
+        written.clear()
+        assert set(map(tuple, components(path, drawn).collect())) == {(i, 0) for i in range(61)}
+        assert written.count("least") <= 2 * rounds
+
+
+def left_over(spark):
+    folder = Path(urlparse(staging.staging_root(spark)).path, "riskloom", spark.sparkContext.applicationId)
+    return {f.name for f in folder.iterdir()} if folder.exists() else set()
+
+
+@pytest.mark.parametrize(
+    "work", [lambda d: ngram_join.join_documents(d), lambda d: ngram_join.drop_near_copies(d), paragraphs.repeated_spans, substrings.repeated_spans]
+)
+def test_only_what_the_result_reads_stays_on_disk(spark, frame, corpus, work):
+    before = left_over(spark)
+    result = work(frame(corpus[:40]))
+    stayed = {name.rsplit("-", 1)[0] for name in left_over(spark) - before}
+    assert stayed <= {"grouped", "names", "later", "repeats", "spans"}
+    assert result.count()
+
+
+def test_copies_write_no_words_around_their_blocks(frame, monkeypatch):
+    r = random.Random(8)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300))
+    counts, keep = {}, staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df, name: counts.__setitem__(name, (made := keep(df, name)).count()) or made)
+    spans = paragraphs.repeated_spans(frame([(i, text) for i in range(12)])).where("not kept").collect()
+    assert counts["surroundings"] == 0 and len({s["doc_id"] for s in spans}) == 11
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_array_by_lyndon_groups(symbols):
