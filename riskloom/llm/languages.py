@@ -25,6 +25,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ KEPT = 20_000
 SMOOTHING = 0.5
 #: Words or n-grams that one worker counts before it passes the counts on.
 STORE = 1 << 17
+#: Numbers held of words that a worker has met before it forgets them, eight bytes each.
+MET_CELLS = 1 << 20
 #: What texts without letters are in.
 UNDETERMINED = "und"
 
@@ -82,13 +85,22 @@ def count_grams(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], Counter] = defaultdict(Counter)
+        once: dict[str, list[str]] = defaultdict(list)
         for batch in slices(batches, 4096):
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
                 held[lang, 0][word] += n
+                if n == 1:
+                    once[lang].append(word)
+                    continue
                 for size in range(1, LONGEST + 1):
                     counts = held[lang, size]
                     for gram in grams_of(word, size):
                         counts[gram] += n
+            # Most words stand once; their n-grams are counted as one list.
+            for lang, rare in once.items():
+                for size in range(1, LONGEST + 1):
+                    held[lang, size].update(gram for word in rare for gram in grams_of(word, size))
+            once.clear()
             if sum(map(len, held.values())) > STORE:
                 yield from _drained(held, list)
         yield from _drained(held, list)
@@ -107,6 +119,29 @@ def _drained(held: dict, key_columns) -> Iterator[pa.RecordBatch]:
     held.clear()
 
 
+class Met:
+    """Words that a worker has met, numbered as they come, and what each counts with per language."""
+
+    def __init__(self, langs: int):
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        self.values = np.empty((0, langs))
+
+    def make_room(self) -> None:
+        """Forget all words when they are too many."""
+        if len(self.numbers) * self.values.shape[1] > MET_CELLS:
+            self.numbers = defaultdict(count().__next__)
+
+    def extended(self, fresh: np.ndarray) -> np.ndarray:
+        """Values of all words, once ``fresh`` are those of the words numbered last."""
+        n = len(self.numbers)
+        if n > len(self.values):
+            grown = np.empty((max(n, 2 * len(self.values)), self.values.shape[1]))
+            grown[: n - len(fresh)] = self.values[: n - len(fresh)]
+            self.values = grown
+        self.values[n - len(fresh) : n] = fresh
+        return self.values[:n]
+
+
 @dataclass
 class Model:
     """Log frequencies of words (size 0) and n-grams; rows of ``logs`` are numbered by ``places``."""
@@ -121,25 +156,27 @@ class Model:
         if at is not None:
             return [at]
         for size in range(LONGEST, 0, -1):
-            known = [i for g in grams_of(word, size) if (i := self.places[size].get(g)) is not None]
+            known = [i for i in map(self.places[size].get, grams_of(word, size)) if i is not None]
             if known:
                 return known
         return []
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Languages and scores of many texts at once."""
+    def predict(self, texts: list[str | None], met: Met | None = None) -> tuple[list[str], np.ndarray]:
+        """Languages and scores of many texts at once; what words met before count with is in ``met``."""
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        numbers: dict[str, int] = {}
+        met = Met(len(self.langs)) if met is None else met
+        met.make_room()
+        known = len(met.numbers)
         found: list[int] = []
         often: list[int] = []
         sizes = []
         for text in texts:
             counts = Counter(words_of(text))
-            found += [numbers.setdefault(word, len(numbers)) for word in counts]
+            found += map(met.numbers.__getitem__, counts)
             often += counts.values()
             sizes.append(len(counts))
-        values = self._values(list(numbers))
+        values = met.extended(self._values(list(islice(met.numbers, known, None))))
         word, times, of = np.array(found, np.int64), np.array(often, np.float64), np.repeat(np.arange(len(texts)), sizes)
         sums = np.stack([np.bincount(of, times * column[word], len(texts)) for column in values.T], axis=1)
         words = np.bincount(of, times, len(texts))
@@ -203,8 +240,9 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met(len(shared.value.langs))
         for batch in slices(batches):
-            langs, scores = shared.value.predict(batch.column("text").to_pylist())
+            langs, scores = shared.value.predict(batch.column("text").to_pylist(), met)
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 

@@ -106,3 +106,40 @@ def test_accuracy_on_documents_held_out(spark):
     held = [r for r in out if r["held_out"]]
     assert len(out) == len(docs) and 0.15 < len(held) / len(out) < 0.35
     assert sum(r["lang_pred"] == docs[r["doc_id"]] for r in held) >= 0.98 * len(held)
+
+
+def test_words_met_before_are_looked_up_once(spark, monkeypatch):
+    model = fit(frame(spark, [d for d in DOCS if d[2]]).select("text", "lang"))
+    asked = Counter()
+    numbers = languages.Model.numbers
+
+    def counted(self, word):
+        asked[word] += 1
+        return numbers(self, word)
+
+    monkeypatch.setattr(languages.Model, "numbers", counted)
+    alone = [model.predict([text]) for text in TEXTS]
+    asked.clear()
+    met = languages.Met(len(model.langs))
+    together = [model.predict([text], met) for text in TEXTS]
+    assert set(asked.values()) == {1}
+    # Forgetting changes nothing but the work.
+    monkeypatch.setattr(languages, "MET_CELLS", 3)
+    met = languages.Met(len(model.langs))
+    forgetful = [model.predict([text], met) for text in TEXTS]
+    assert asked["the"] > 1
+    for found in (together, forgetful):
+        assert [langs for langs, _ in found] == [langs for langs, _ in alone]
+        assert all(np.array_equal(x, y) for (_, x), (_, y) in zip(found, alone))
+
+
+def test_grams_of_words_that_stand_once_or_often(spark):
+    rows = [("en", "the", 3), ("en", "then", 1), ("fr", "le", 1), ("fr", "the", 1), ("en", "aaaa", 1), ("en", "aaa", 2)]
+    found = languages.count_grams(spark.createDataFrame(rows, "lang string, word string, n bigint"))
+    wanted = Counter()
+    for lang, word, n in rows:
+        wanted[lang, 0, word] += n
+        for size in range(1, 6):
+            for gram in grams_of(word, size):
+                wanted[lang, size, gram] += n
+    assert {(r["lang"], r["size"], r["gram"]): r["n"] for r in found.collect()} == wanted
