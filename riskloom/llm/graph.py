@@ -31,34 +31,48 @@ def _stars(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, least(x)) for x in list(above)]
 
 
-def drawn_together(edges: DataFrame, drawn: int = DRAWN) -> DataFrame:
-    """``hi``, ``lo``: fewer edges that join the same nodes. Each ``drawn`` edges of a task become stars."""
+def drawn_together(edges: DataFrame, drawn: int = DRAWN, whole: bool = False) -> DataFrame:
+    """``hi``, ``lo``: fewer edges that join the same nodes. Each ``drawn`` edges of a task become stars, with an edge to itself for a star's least node if ``whole``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int]] = []
+
+        def stars(part: list[tuple[int, int]]) -> pa.RecordBatch:
+            found = _stars(part)
+            if whole:
+                found += [(x, x) for x in {lo for _, lo in found}]
+            columns = list(zip(*found)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hi", "lo"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, drawn):
-                part = batch.slice(at, drawn)
-                found = _stars(list(zip(part.column("hi").to_pylist(), part.column("lo").to_pylist())))
-                columns = list(zip(*found)) or [(), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hi", "lo"])
+            held += zip(batch.column("hi").to_pylist(), batch.column("lo").to_pylist())
+            while len(held) >= drawn:
+                yield stars(held[:drawn])
+                del held[:drawn]
+        yield stars(held)
 
     return edges.select("hi", "lo").mapInArrow(run, "hi bigint, lo bigint")
 
 
 def components(edges: DataFrame, drawn: int = DRAWN) -> DataFrame:
-    """``node`` and ``component`` (its least reachable node) of every node in ``edges`` (``a``, ``b``).
+    """``node`` and ``component`` (its least reachable node) of every node in ``edges`` (``a``, ``b``; read twice).
 
     Alternating stars: each node hands its larger neighbours to its least one, then its
     smaller ones likewise, until every node points at its component's least node. Each
     half round is a minimum per node and a join; the minima are written first, so that the
     join sees two plain shuffles and a node with very many edges can be split. Before the
-    rounds every task draws the edges it has together, some at a time, which leaves few rounds to do.
+    rounds every task draws the edges it has together, some at a time, which leaves few rounds to do. Tasks are
+    as many as there are such portions, however many partitions the edges come in; of one portion nothing is left to do.
     """
     spark = edges.sparkSession
     known = edges.where("a is not null and b is not null and a <> b")
+    known = known.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    portions = -(-known.count() // drawn)
+    if portions <= 1:
+        return stage(drawn_together(known.coalesce(1), drawn + 1, whole=True).toDF("node", "component"), "components")
     with passing(spark) as keep:
-        current = stage(known.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-        current = stage(drawn_together(current, drawn).distinct(), "edges")
+        current = stage(known.distinct(), "edges")
+        current = stage(drawn_together(current.coalesce(portions), drawn).distinct(), "edges")
         while not _settled(current):
             with passing(spark) as hand_on:
                 both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(current.select("lo", "hi"))

@@ -163,7 +163,13 @@ def _alike(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
-def _first_shared(rest: DataFrame, percent: int) -> DataFrame:
+def _with_room(rest: DataFrame, percent: int) -> DataFrame:
+    """A row per class: its postings that can be the first one shared with a link."""
+    room = rest.where(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
+    return room.groupBy("class", "n", "component", *PARITY).agg(F.sort_array(F.collect_list(F.struct("place", "window"))).alias("own"))
+
+
+def _first_shared(own: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` of different components, each from the first window that both prefixes have.
 
     A posting brings the windows that its class has before, so that a pair comes out of one list only. Windows
@@ -171,8 +177,6 @@ def _first_shared(rest: DataFrame, percent: int) -> DataFrame:
     stand at or after its first one, which must leave room for a link's; the spare ones at a prefix's end never do.
     """
     carried = ["class", "n", "component", *PARITY]
-    room = rest.where(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
-    own = room.groupBy(*carried).agg(F.sort_array(F.collect_list(F.struct("place", "window"))).alias("own"))
     before = own.select(*carried, F.col("own.window").alias("windows"), F.posexplode("own").alias("nth", "at"))
     before = before.select(*carried, "at.place", "at.window", F.slice("windows", F.lit(1), F.col("nth")).alias("earlier"))
     x, y = before.alias("x"), before.alias("y")
@@ -186,6 +190,13 @@ def _first_shared(rest: DataFrame, percent: int) -> DataFrame:
     return across.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
 
 
+def _sharing(pairs: DataFrame, classes: DataFrame, order: str) -> DataFrame:
+    """The pairs whose prefixes under another order share a window."""
+    side = lambda name: classes.select(F.col("class").alias(name), F.col(order).alias(f"{name}_{order}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.arrays_overlap(f"a_{order}", f"b_{order}")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links among ``pairs``: first the prefixes under all orders, then the sets.
 
@@ -199,8 +210,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     both = both.where(F.size(F.array_intersect("a_rare", "b_rare")) > spare)
     with passing(docs.sparkSession) as keep:
         left = stage(both.select("a", "b", "a_doc_id", "b_doc_id"), "filtered")
-        ids = left.select(F.col("a_doc_id").alias("id")).union(left.select("b_doc_id")).distinct()
-        texts = docs.join(stage(ids, "ids"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        ids = left.select(F.col("a_doc_id").alias("id")).union(left.select("b_doc_id"))
+        texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
         sets = window_sets(texts, size).dropDuplicates(["class"])
         sets = stage(sets, "sets")
         joined = left.join(sets.select(F.col("class").alias("b"), F.col("windows").alias("right")), "b")
@@ -224,6 +235,11 @@ def _star_pairs(rest: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _joined_by(links: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Components of the links, and of those ``found`` before."""
+    return components(links if found is None else links.union(found.select("node", "component")))
+
+
 def group_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, content (hash of the text) and group of every document.
 
@@ -233,24 +249,33 @@ def group_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     docs = only(docs, doc_id="bigint", text="string").withColumn("content", content_hash(F.col("text")))
     with passing(docs.sparkSession) as keep:
         named, held, lists = _postings(docs, size, percent)
-        links = None
+        found = None
         rest = lists.withColumn("component", F.col("class"))
         for turn in count():
             pairs = stage(_star_pairs(rest, turn, percent), "pairs")
             gained = _verified(pairs, held, docs, size, percent)
-            links = gained if links is None else links.union(gained)
-            grouped = rest.drop("component").join(components(links), F.col("class") == F.col("node"), "left")
+            before, found = found, _joined_by(gained, found)
+            grouped = rest.drop("component").join(found, F.col("class") == F.col("node"), "left")
             grouped = grouped.withColumn("component", F.coalesce("component", "class")).drop("node")
             mixed = grouped.groupBy("window").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
             rest = stage(grouped.join(stage(mixed.select("window"), "mixed"), "window"), "mixed-postings")
             release(lists)
             lists = rest
             # A turn pays as long as many of its pairs are links; what is left after it are mostly pairs that are none.
-            if gained.count() * PAYS <= pairs.count() or rest.isEmpty():
+            paid = gained.count() * PAYS > pairs.count()
+            release(pairs, gained, *([before] if before is not None else []))
+            if not paid or rest.isEmpty():
                 break
-        links = links.union(_verified(stage(_first_shared(rest, percent), "pairs"), held, docs, size, percent))
-
-        named = named.join(components(links), F.col("class") == F.col("node"), "left")
+        # What the last pairs are made from goes before they are compared, first by one of the short prefixes alone.
+        own = stage(_with_room(rest, percent), "own-postings")
+        release(rest)
+        every = stage(_first_shared(own, percent), "pairs")
+        release(own)
+        pairs = stage(_sharing(every, held, "other_1"), "pairs")
+        release(every)
+        found = _joined_by(_verified(pairs, held, docs, size, percent), found)
+
+        named = named.join(found, F.col("class") == F.col("node"), "left")
         return keep(named.select("doc_id", "n_shingles", "content", F.coalesce("component", "class").alias("group")), "grouped")
 
 

@@ -246,3 +246,27 @@ def test_words_hashed_from_prefix_sums(monkeypatch):
         assert len(hashed) == len(expected) and len(set(hashed)) == len(set(expected)) == len(set(zip(hashed, expected)))
         assert all(len(hashing.TextHasher().words(t)) == 0 for t in (None, "", " \n"))
     assert hashed == [int(hashing.TextHasher().words(w.decode())[0]) for w in expected]
+
+
+def test_few_edges_in_many_partitions_are_drawn_by_one_task(spark, monkeypatch):
+    path = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(9, 9), (None, 70)], "a bigint, b bigint").repartition(30)
+    written = []
+    monkeypatch.setattr(graph, "stage", lambda df, name: written.append(name) or staging.stage(df, name))
+    assert sorted(map(tuple, components(path).collect())) == [(i, 0) for i in range(61)]
+    assert written == ["components"]
+    assert components(path.where("a < 0")).collect() == []
+
+
+def test_last_pairs_are_compared_without_their_postings(spark, frame, corpus, rows, monkeypatch):
+    beside = []
+    verified = ngram_join._verified
+
+    def noted(pairs, *rest):
+        beside.append({name.rsplit("-", 1)[0] for name in left_over(spark) - before})
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", noted)
+    before = left_over(spark)
+    found = Counter(rows(ngram_join.join_documents(frame(corpus))))
+    assert found == brute_components(corpus, 3, 90)
+    assert not beside[-1] & {"postings", "mixed-postings", "own-postings"}
