@@ -10,8 +10,9 @@ the bytes they cover are a region.
 * The remaining regions lie at the ends of repeated passages and around edits. They are
   compared with the other distinct regions of their anchor, if they agree with one in half a
   window's bytes on either side of it (two equal windows always do). Their bytes are cut at
-  local minima into short phrases, the phrases of many regions are one array, and its suffix
-  array is built by Lyndon-prefix groups (``suffix_groups``). Neighbouring suffixes that share
+  local minima into short phrases. Phrases that their anchor has once, or that stand in too short
+  a run of others, go; the rest of several regions is one array, and its suffix array is built
+  by Lyndon-prefix groups (``suffix_groups``). Neighbouring suffixes that share
   a run of phrases long enough for a whole window's inner part mark their regions; windows
   of marked regions are then compared exactly.
 * An anchor with more distinct regions than fit one task has its windows counted by Spark.
@@ -48,7 +49,7 @@ SIDE = (LENGTH - GRAM) // 2
 PHRASE_GRAM, PHRASE_REACH = 8, 16
 CORE = LENGTH - 2 * (2 * PHRASE_REACH + PHRASE_GRAM)
 #: Starts of windows handled at a time in one text; bytes of regions sorted in one array.
-CHUNK, BATCH_BYTES = 1 << 19, 1 << 20
+CHUNK, BATCH_BYTES = 1 << 19, 1 << 17
 #: Distinct regions of one anchor that one task takes.
 REGIONS_PER_ANCHOR = 16_000
 
@@ -136,26 +137,57 @@ def region_rows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, REGION)
 
 
-def _marked(pieces: list[bytes]) -> list[int]:
-    """Numbers of the pieces that share a run of phrases over ``CORE`` bytes with another place, by suffix array."""
+def _repeatable(names: np.ndarray, lengths: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places of the phrases that can be in a run over ``CORE`` bytes seen at two places: those in such a run of repeated phrases.
+
+    A phrase that goes can leave another one alone, so there is a second and third look.
+    """
+    kept = np.arange(len(names))
+    for _ in range(3):
+        _, which, seen = np.unique(names[kept], return_inverse=True, return_counts=True)
+        kept = kept[seen[which] > 1]
+        if not len(kept):
+            break
+        first = _run_starts(kept, owner)
+        bytes_of = np.add.reduceat(lengths[kept], first)
+        kept = kept[np.repeat(bytes_of >= CORE, np.diff(np.r_[first, len(kept)]))]
+        if not len(kept):
+            break
+    return kept
+
+
+def _run_starts(kept: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where, in ``kept``, the runs of neighbouring places with one owner start."""
+    return np.flatnonzero(np.concatenate([[True], (np.diff(kept) > 1) | (np.diff(owner[kept]) > 0)]))
+
+
+def _marked(pieces: list[bytes], anchors: list[int]) -> list[int]:
+    """Numbers of the pieces that share a run of phrases over ``CORE`` bytes with another place of their anchor, by suffix array.
+
+    Phrases that no such run can hold are left out of the array.
+    """
     joined = b"".join(pieces)
     begins = np.cumsum([0] + [len(p) for p in pieces])
     hasher = SliceHasher(joined)
     cuts = np.unique(np.concatenate([least_places(hasher.grams(PHRASE_GRAM), PHRASE_REACH), begins[:-1]]))
-    ends = np.r_[cuts[1:], len(joined)]
-    phrases = np.unique(hasher.slices(cuts, ends) + (ends - cuts).astype(np.uint64), return_inverse=True)[1] + 1
-    opens = np.searchsorted(cuts, begins[:-1])
-    # A zero before each piece; a phrase's number in the array is its own plus those of the zeros so far.
-    symbols = np.insert(phrases, opens, 0)
-    starts = np.insert(cuts, opens, begins[:-1])
-    piece = np.insert(np.searchsorted(begins, cuts, side="right") - 1, opens, np.arange(len(pieces)))
+    ends = np.concatenate([cuts[1:], [len(joined)]])
+    owner = np.searchsorted(begins, cuts, side="right") - 1
+    lengths = ends - cuts
+    names = hasher.slices(cuts, ends) + lengths.astype(np.uint64) + mix(np.array(anchors, np.int64).view(np.uint64))[owner]
+    kept = _repeatable(names, lengths, owner)
+    if not len(kept):
+        return []
+    opens = _run_starts(kept, owner)
+    # A zero before each run; a phrase's number in the array is its own plus those of the zeros so far.
+    symbols = np.insert(np.unique(names[kept], return_inverse=True)[1] + 1, opens, 0)
+    upto = np.concatenate([[0], np.cumsum(np.insert(lengths[kept], opens, 0))])
+    piece = np.insert(owner[kept], opens, owner[kept][opens])
     sequence = symbols.tolist()
     order = suffix_array(sequence)
     shared = np.array(common_prefixes(sequence, order, 0))
     order = np.array(order)
-    reach = np.r_[starts, len(joined)]
     here = np.flatnonzero(shared)
-    long = here[reach[order[here] + shared[here]] - starts[order[here]] >= CORE]
+    long = here[upto[order[here] + shared[here]] - upto[order[here]] >= CORE]
     return np.unique(np.concatenate([piece[order[long]], piece[order[long - 1]]])).tolist()
 
 
@@ -177,14 +209,14 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     if not len(starts):
         return []
     breaks = np.flatnonzero(np.diff(starts) > 1)
-    return list(zip(starts[np.r_[0, breaks + 1]].tolist(), starts[np.r_[breaks, len(starts) - 1]].tolist()))
+    return list(zip(starts[np.concatenate([[0], breaks + 1])].tolist(), starts[np.concatenate([breaks, [len(starts) - 1]])].tolist()))
 
 
 def sorted_spans(contexts: DataFrame) -> DataFrame:
     """class, at, upto of repeated bytes, from (anchor, class, lo, bytes) rows whose anchors lie together."""
 
     def spans(rows: list[tuple]) -> list[tuple]:
-        marked = [rows[i] for i in _marked([r[3] for r in rows])]
+        marked = [rows[i] for i in _marked([r[3] for r in rows], [r[0] for r in rows])]
         found = []
         if marked:
             for (_, name, lo, _), starts in zip(marked, _repeated_starts([r[3] for r in marked])):

@@ -8,16 +8,29 @@ from collections.abc import Sequence
 class _Group:
     """Suffixes with the same known part of their Lyndon prefix, in a list ordered by that part."""
 
-    __slots__ = ("members", "after", "before", "done", "start")
+    __slots__ = ("members", "after", "before", "live", "start")
 
     def __init__(self, members: list[int]):
         self.members = members
         self.after: _Group | None = None
         self.before: _Group | None = None
-        self.done = False
+        self.live = len(members)
         self.start = 0
 
 
+def _move(subset: list[int], group_of: list[_Group]) -> None:
+    """Put some members of a group into a new one right after it."""
+    home = group_of[subset[0]]
+    home.live -= len(subset)
+    fresh = _Group(subset)
+    fresh.before, fresh.after = home, home.after
+    if home.after is not None:
+        home.after.before = fresh
+    home.after = fresh
+    for p in subset:
+        group_of[p] = fresh
+
+
 def suffix_array(symbols: Sequence[int]) -> list[int]:
     """Starts of the suffixes of ``symbols`` in ascending order; a suffix comes after its own prefixes.
 
@@ -42,34 +55,40 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
         for i in group.members:
             group_of[i] = group
     smaller = [-1] * n
+    done = bytearray(n)
 
     group: _Group | None = groups[-1]
     while group is not None:
-        group.done = True
+        members = group.members
+        if group.live != len(members):
+            # Members that moved on are still in the list.
+            members = [i for i in members if group_of[i] is group]
+        if len(members) > 1:
+            # In ascending order, pointers of earlier ones are known.
+            members.sort()
+        group.members = members
+        for i in members:
+            done[i] = 1
         pointed: dict[int, int] = {}
-        # Members that moved on are still in the list; in ascending order, pointers of earlier ones are known.
-        group.members = members = sorted(i for i in group.members if group_of[i] is group)
         for i in members:
             p = i - 1
-            while p >= 0 and group_of[p].done:
+            while p >= 0 and done[p]:
                 p = smaller[p]
             smaller[i] = p
             if p >= 0:
                 pointed[p] = pointed.get(p, 0) + 1
-        if pointed:
+        if len(pointed) == 1:
+            # A suffix that is alone in its group already stays there.
+            if group_of[p].live > 1:
+                _move([p], group_of)
+        elif pointed:
             moved: dict[tuple[int, int], list[int]] = {}
             for p, times in pointed.items():
                 moved.setdefault((times, id(group_of[p])), []).append(p)
             # More repeats make a greater prefix, so they are put in first and end up further on.
-            for _, subset in sorted(moved.items(), key=lambda item: -item[0][0]):
-                home = group_of[subset[0]]
-                fresh = _Group(subset)
-                fresh.before, fresh.after = home, home.after
-                if home.after is not None:
-                    home.after.before = fresh
-                home.after = fresh
-                for p in subset:
-                    group_of[p] = fresh
+            for _, subset in sorted(moved.items(), key=lambda item: -item[0][0]) if len(moved) > 1 else moved.items():
+                if group_of[subset[0]].live > len(subset):
+                    _move(subset, group_of)
         first, group = group, group.before
 
     place = 0
@@ -103,6 +122,7 @@ def common_prefixes(symbols: Sequence[int], order: Sequence[int], stop: int) ->
     for at, i in enumerate(order):
         place[i] = at
     shared = [0] * n
+    ended = [*symbols, stop]
     k = 0
     for i in range(n):
         at = place[i]
@@ -110,8 +130,9 @@ def common_prefixes(symbols: Sequence[int], order: Sequence[int], stop: int) ->
             k = 0
             continue
         j = order[at - 1]
-        while i + k < n and j + k < n and symbols[i + k] == symbols[j + k] != stop:
+        while ended[i + k] == ended[j + k] != stop:
             k += 1
         shared[at] = k
-        k = max(k - 1, 0)
+        if k:
+            k -= 1
     return shared

@@ -116,6 +116,19 @@ def brute_removal(pairs, length=200):
     return Counter(found)
 
 
+def test_suffix_arrays_hold_only_phrases_that_can_repeat(monkeypatch):
+    r = random.Random(9)
+    text = lambda n: bytes(r.choice(b"abcdefghij ") for _ in range(n))
+    short, long = text(substrings.CORE - 1), text(substrings.LENGTH + 30)
+    pieces = [text(150) + short, short + text(150), text(90) + long, long + text(120), text(300), long + text(40)]
+    anchors, sizes, whole = [1, 1, 2, 2, 2, 3], [], substrings.suffix_array
+    monkeypatch.setattr(substrings, "suffix_array", lambda symbols: sizes.append(sum(s > 0 for s in symbols)) or whole(symbols))
+    # The last piece has the same bytes at another anchor, where they cannot be a repeated window.
+    assert substrings._marked(pieces, anchors) == [2, 3]
+    assert len(sizes) == 1 and sizes[0] <= 2 * len(long) / 6
+    assert substrings._marked(pieces[:2] + pieces[4:], [1, 1, 2, 3]) == [] and len(sizes) == 1
+
+
 @pytest.mark.parametrize("most", [substrings.REGIONS_PER_ANCHOR, 1])
 def test_substring_removal_is_exact(frame, corpus, rows, most):
     pairs = [*corpus, (900, "ab" * 150), (901, "x" * 700 + "y"), (902, "q" * 199), (903, "q" * 199)]
