@@ -5,17 +5,24 @@ threshold. Documents with equal sets are one class; the join is between classes.
 sets of sizes m and n link, they share at least ``need`` windows, so under *any* global
 order of windows their first ``n - ceil(t n) + 1`` share one. Three orders are used:
 windows of rare words first (by counts of the words of all documents in a fixed number of
-buckets), and two by scrambled hash. Postings of the first order give candidates; a pair
-must also pass the length filter, a bound on the symmetric difference from 512 parity bits,
-filters by the number of shared windows and the place of the first (prefixes are a little
-longer for that), and must share a window of its prefixes under each other order. Only then are both sets brought
-together and compared. A pair comes out of the list of its first shared window alone, however many it shares.
+buckets), and two by scrambled hash.
+
+A single window, even a rare one, is shared by ever more unrelated texts as a corpus grows. So the lists that
+give candidates are of *parts*: hashing deals a set's windows to a number of cells that all sets of near sizes
+have in common, and a cell with what is in it is a part. Linked sets differ in at most d windows, hence in at most d
+of their parts, and the same law holds for these: under any global order the first d + 1 parts of both
+share one. Parts of many windows come first, so that unrelated texts share hardly any. Sizes are cut into bands by
+the ratio that links allow; a set has parts for its own band and for the next larger one.
+
+A candidate must also pass the length filter, a bound on the symmetric difference from 512 parity bits,
+must share a window of its prefixes under each of the three orders, and as many under the first as
+that one is longer for it. Only then are both sets brought together and compared.
 
 All filters keep every link. Components need fewer pairs than there are links: each class is
-compared with the head of most of its posting lists alone, lists that hold one component by then
+compared with the heads of most of its lists alone, lists that hold one component by then
 are done, and the others get new heads, until few of a turn's pairs are links. Then the pairs of
 different components in the lists that are left are looked at. A big group of near copies so costs
-one pair per copy and turn, not one for any two copies.
+a few pairs per copy and turn, not one for any two copies.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing;
 a text shorter than a window is one window; repeated rows and copies share a component; a
@@ -25,6 +32,7 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import count
 
@@ -45,6 +53,12 @@ COUNT_BUCKETS = 1 << 16
 OTHER_ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: One more window in the first order's prefix for so many in the set; a link then shares one more of them.
 SPARE = 64
+#: Scrambles windows before they are dealt to cells.
+CELL_SEED = np.uint64(0x2545F4914F6CDD1D)
+#: Heads that a class is compared with in one turn.
+HEADS = 3
+#: Parts of a class that each of its postings brings to the last pairs.
+FIRSTS = 8
 #: Another turn of stars follows one in which a pair of so many was a link.
 PAYS = 4
 #: 64-bit words of parity bits per class.
@@ -88,41 +102,95 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def describe(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """A row per document: doc_id, content, n, class. A class's first row in a task also has its prefix in
-    the first order, its prefixes in the others and its parity bits; the others have nulls there.
-    """
+class Parts:
+    """The parts of sets of windows, by which linked sets find each other."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.lows = [1]
+
+    def differing(self, sizes: int) -> int:
+        """Most windows that only one of two linked sets has, if they have ``sizes`` in sum."""
+        return (100 - self.percent) * sizes // (100 + self.percent)
+
+    def band(self, n: int) -> int:
+        """Number of the band that size ``n`` is in; sizes of linked sets are in one band or in neighbouring ones."""
+        while len(self.lows) < 3 or self.lows[-3] <= n:
+            self.lows.append(100 * self.lows[-1] // self.percent + 1)
+        return bisect_right(self.lows, n) - 1
+
+    def of(self, windows: np.ndarray) -> np.ndarray:
+        """Names of the first parts of a set, those of many windows first. Sets that link with no other one have none."""
+        n, found = len(windows), [np.zeros(0, np.uint64)]
+        if not n:
+            return found[0]
+        most, mine = 100 * n // self.percent, self.band(n)
+        hashes = mix(windows ^ CELL_SEED)
+        for band in (mine, mine + 1):
+            low, high = self.lows[band], self.lows[band + 1] - 1
+            differing = self.differing(n + min(most, high))
+            if most < low or not differing:
+                continue
+            widest = self.differing(2 * high)
+            cells = widest + widest // 2 + 2
+            cell = ((hashes >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
+            sizes, sums = np.bincount(cell, minlength=cells), np.zeros(cells, np.uint64)
+            np.add.at(sums, cell, hashes)
+            names = mix(mix(sums + sizes.astype(np.uint64)) + (np.uint64(band) << np.uint64(32)) + np.arange(cells, dtype=np.uint64))
+            found.append(names[np.lexsort((names, -sizes))[: differing + 1]])
+        return np.concatenate(found)
+
+
+def describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """A row per document: doc_id, content, n, class, and parts for the first row of a class in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, joiner, parts, met = TextHasher(), WindowHasher(size), Parts(percent), set()
+        for batch in slices(batches):
+            rows: list[tuple] = []
+            for text in batch.column("text").to_pylist():
+                windows = np.unique(joiner.joined(hasher.words(text)))
+                name = class_of(windows) if len(windows) else None
+                known = name is None or name in met
+                rows.append((len(windows), name, None if known else parts.of(windows).view(np.int64)))
+                met.add(name)
+            columns = list(zip(*rows)) if rows else [()] * 3
+            arrays = [pa.array(c, pa.int64()) for c in columns[:2]] + [pa.array(columns[2], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), *arrays], names)
+
+    names = ["doc_id", "content", "n", "class", "parts"]
+    return docs.mapInArrow(run, "doc_id bigint, content bigint, n bigint, class bigint, parts array<bigint>")
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+    """class, its prefixes in the three orders and its parity bits, of every document with words."""
 
     # A word's weight grows with its count; a window's is the sum, in steps of 1/16 of a doubling.
     weights = np.round(16 * np.log2(counts + 1)).astype(np.int64)
-    nothing = (None,) * (1 + len(OTHER_ORDERS) + PARITY_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, joiner, met = TextHasher(), WindowHasher(size), set()
+        hasher, joiner = TextHasher(), WindowHasher(size)
         for batch in slices(batches):
             rows: list[tuple] = []
             for text in batch.column("text").to_pylist():
                 words = hasher.words(text)
                 windows, where = np.unique(joiner.joined(words), return_index=True)
-                name = class_of(windows) if len(windows) else None
-                if name is None or name in met:
-                    rows.append((len(windows), name, *nothing))
+                if not len(windows):
                     continue
-                met.add(name)
                 first = len(windows) - _least_shared(len(windows), percent) + 1
                 sums = np.concatenate([[0], np.cumsum(weights[_bucket(words)])])
                 common = sums[np.minimum(where + size, len(words))] - sums[where]
                 rare = windows[np.lexsort((windows, common))[: first + len(windows) // SPARE]]
                 others = [np.sort(mix(windows ^ np.uint64(seed)) >> np.uint64(33))[:first] for seed in OTHER_ORDERS]
-                rows.append((len(windows), name, rare.view(np.int64), *[o.astype(np.int32) for o in others], *parity_bits(windows)))
-            columns = list(zip(*rows)) if rows else [()] * (2 + len(nothing))
-            arrays = [pa.array(c, pa.int64()) for c in columns[:2]] + [pa.array(columns[2], pa.list_(pa.int64()))]
-            arrays += [pa.array(c, pa.list_(pa.int32())) for c in columns[3:5]] + [pa.array(c, pa.int64()) for c in columns[5:]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), *arrays], names)
+                rows.append((class_of(windows), rare.view(np.int64), *[o.astype(np.int32) for o in others], *parity_bits(windows)))
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64()))]
+            arrays += [pa.array(c, pa.list_(pa.int32())) for c in columns[2:4]] + [pa.array(c, pa.int64()) for c in columns[4:]]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    names = ["doc_id", "content", "n", "class", "rare", "other_1", "other_2", *PARITY]
+    names = ["class", "rare", "other_1", "other_2", *PARITY]
     kinds = {"rare": "array<bigint>", "other_1": "array<int>", "other_2": "array<int>"}
-    return docs.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'bigint')}" for n in names))
+    return docs.select("text").mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'bigint')}" for n in names))
 
 
 def window_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -158,36 +226,26 @@ def _alike(x: str, y: str, percent: int) -> Column:
 
     A link shares at least p (m + n) / (100 + p) windows, so the sets differ in no more than the rest.
     """
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITY), F.lit(0))
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    differ = sum((F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))) for p in PARITY), F.lit(0))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
-def _with_room(rest: DataFrame, percent: int) -> DataFrame:
-    """A row per class: its postings that can be the first one shared with a link."""
-    room = rest.where(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
-    return room.groupBy("class", "n", "component", *PARITY).agg(F.sort_array(F.collect_list(F.struct("place", "window"))).alias("own"))
-
-
-def _first_shared(own: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of different components, each from the first window that both prefixes have.
+def _across(own: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of different components that share a part and can be linked.
 
-    A posting brings the windows that its class has before, so that a pair comes out of one list only. Windows
-    whose list is done are left out: no pair of different components shares one. All windows that a pair shares
-    stand at or after its first one, which must leave room for a link's; the spare ones at a prefix's end never do.
+    A posting brings those of its class's first parts (by name) that come before it. If a pair shares one of them, it came
+    out of that list, so that most pairs come out of one list only.
     """
-    carried = ["class", "n", "component", *PARITY]
-    before = own.select(*carried, F.col("own.window").alias("windows"), F.posexplode("own").alias("nth", "at"))
-    before = before.select(*carried, "at.place", "at.window", F.slice("windows", F.lit(1), F.col("nth")).alias("earlier"))
-    x, y = before.alias("x"), before.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    after = F.least(n - F.col("x.place"), m - F.col("y.place")) + 1
+    own = own.withColumn("earlier", F.filter("first", lambda part: part < F.col("part"))).drop("first")
+    # The postings are small on disk, where a class's columns stand once, but not as rows of a broadcast.
+    x, y = own.alias("x").hint("merge"), own.alias("y")
     across = x.join(
         y,
-        (F.col("x.window") == F.col("y.window")) & (F.col("x.component") < F.col("y.component")) & _alike("x", "y", percent)
-        & ((100 + percent) * after >= percent * (n + m)) & ~F.arrays_overlap("x.earlier", "y.earlier"),
+        (F.col("x.part") == F.col("y.part")) & (F.col("x.component") < F.col("y.component")) & _alike("x.", "y.", percent)
+        & ~F.arrays_overlap("x.earlier", "y.earlier"),
     )
-    return across.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+    return across.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
 def _sharing(pairs: DataFrame, classes: DataFrame, order: str) -> DataFrame:
@@ -198,13 +256,14 @@ def _sharing(pairs: DataFrame, classes: DataFrame, order: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links among ``pairs``: first the prefixes under all orders, then the sets.
+    """Links among ``pairs``: first sizes and parity bits, then the prefixes under all orders, then the sets.
 
     A first-order prefix has ``n // SPARE`` windows to spare, so a link shares as many of the smaller one and one more.
     """
-    carried = ("doc_id", "n", "rare", "other_1", "other_2")
+    carried = ("doc_id", "n", "rare", "other_1", "other_2", *PARITY)
     side = lambda name: classes.select(F.col("class").alias(name), *[F.col(o).alias(f"{name}_{o}") for o in carried])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.where(_alike("a_", "b_", percent))
     spare = F.floor(F.least("a_n", "b_n") / SPARE)
     both = both.where(F.arrays_overlap("a_other_1", "b_other_1") & F.arrays_overlap("a_other_2", "b_other_2"))
     both = both.where(F.size(F.array_intersect("a_rare", "b_rare")) > spare)
@@ -220,18 +279,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
 
 def _star_pairs(rest: DataFrame, turn: int, percent: int) -> DataFrame:
-    """At most one pair per class: with the head that most of its lists have, out of another component.
+    """A few pairs per class: with the heads that most of its lists have, out of another component and of a near size.
 
-    A list's head is the class that has its window first, in later turns one drawn anew by hash.
+    A list's head is drawn by hash, in every turn anew.
     """
-    first = F.col("place") if turn == 0 else F.xxhash64(F.lit(turn), "class")
-    head = F.struct(first.alias("turn"), "n", "class", "component", *PARITY)
-    heads = rest.groupBy("window").agg(F.min(head).alias("head"))
-    heads = stage(heads.select(F.col("window").alias("of"), "head.*"), "heads")
-    stars = rest.alias("x").join(heads.alias("y"), F.col("x.window") == F.col("y.of"))
-    stars = stars.where((F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent))
-    heads_of = stars.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("times"))
-    best = heads_of.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", "best.b")
+    heads = rest.groupBy("part").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("turn"), "class", "n", "component")).alias("head"))
+    heads = stage(heads.select(F.col("part").alias("of"), "head.*"), "heads")
+    stars = rest.alias("x").join(heads.alias("y"), F.col("x.part") == F.col("y.of"))
+    near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    heads_of = stars.where((F.col("x.component") != F.col("y.component")) & near)
+    heads_of = heads_of.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("times"))
+    # As many heads as a class has parts at most.
+    best = heads_of.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "b")), False), 1, HEADS).alias("best"))
+    best = best.select("a", F.explode("best.b").alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -257,8 +317,8 @@ def group_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
             before, found = found, _joined_by(gained, found)
             grouped = rest.drop("component").join(found, F.col("class") == F.col("node"), "left")
             grouped = grouped.withColumn("component", F.coalesce("component", "class")).drop("node")
-            mixed = grouped.groupBy("window").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-            rest = stage(grouped.join(stage(mixed.select("window"), "mixed"), "window"), "mixed-postings")
+            mixed = grouped.groupBy("part").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+            rest = stage(grouped.join(stage(mixed.select("part"), "mixed"), "part"), "mixed-postings")
             release(lists)
             lists = rest
             # A turn pays as long as many of its pairs are links; what is left after it are mostly pairs that are none.
@@ -267,9 +327,11 @@ def group_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
             if not paid or rest.isEmpty():
                 break
         # What the last pairs are made from goes before they are compared, first by one of the short prefixes alone.
-        own = stage(_with_room(rest, percent), "own-postings")
+        firsts = rest.groupBy("class").agg(F.slice(F.sort_array(F.collect_set("part")), 1, FIRSTS).alias("first"))
+        firsts = stage(firsts.join(held.select("class", *PARITY), "class"), "firsts")
+        own = stage(rest.join(firsts, "class"), "own-postings")
         release(rest)
-        every = stage(_first_shared(own, percent), "pairs")
+        every = stage(_across(own, percent), "pairs")
         release(own)
         pairs = stage(_sharing(every, held, "other_1"), "pairs")
         release(every)
@@ -280,21 +342,24 @@ def group_documents(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
 
 
 def _postings(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every document's class, the classes that share a window of a prefix with another one, and their postings of such windows."""
+    """Every document's class, the classes that share a part with another one, and their postings of such parts."""
     with passing(docs.sparkSession) as keep:
-        described = stage(describe(docs, bucket_counts(docs), size, percent), "described")
-        classes = described.where("rare is not null").drop("content")
-
-        # Most windows are in one prefix, and end here. Then a class that several tasks met counts once.
-        postings = classes.select("class", "n", F.posexplode("rare").alias("place", "window")).withColumn("place", F.col("place") + 1)
-        twice = stage(postings.groupBy("window").count().where("count > 1").select("window"), "twice")
-        lists = stage(postings.join(twice, "window").distinct(), "lists")
-        shared = lists.groupBy("window").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y")
-        lists = stage(lists.join(stage(shared.select("window"), "shared"), "window"), "lists")
-        active = lists.select("class").distinct()
-        held = classes.join(stage(active, "active"), "class").dropDuplicates(["class"])
-        held = keep(held, "classes")
-        lists = keep(lists.join(held.select("class", *PARITY), "class"), "postings")
+        described = stage(describe(docs, size, percent), "described")
+        classes = described.where("parts is not null")
+
+        # Most parts are in one set, and end here. Then a class that several tasks met counts once.
+        postings = classes.select("class", F.explode("parts").alias("part"))
+        twice = stage(postings.groupBy("part").count().where("count > 1").select("part"), "twice")
+        lists = stage(postings.join(twice, "part").distinct(), "lists")
+        shared = lists.groupBy("part").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y")
+        lists = stage(lists.join(stage(shared.select("part"), "shared"), "part"), "lists")
+        active = stage(lists.select("class").distinct(), "active")
+        named = classes.select("class", "doc_id", "n").join(active, "class").dropDuplicates(["class"])
+        named = stage(named, "named-classes")
+        texts = docs.join(named.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        # Rows that repeat an id may have other texts.
+        held = keep(prefixes(texts, bucket_counts(docs), size, percent).join(named, "class").dropDuplicates(["class"]), "classes")
+        lists = keep(lists.join(named.select("class", "n"), "class"), "postings")
         return keep(described.select("doc_id", F.col("n").alias("n_shingles"), "content", "class"), "named"), held, lists
 
 

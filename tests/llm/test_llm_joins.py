@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 from urllib.parse import urlparse
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +47,50 @@ def test_ngram_join_is_the_brute_force_join(frame, corpus, rows, size, percent):
     assert found == brute_components(corpus, size, percent)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from([50, 80, 90, 99, 100]), st.integers(1, 400), st.integers(0, 400), st.integers(0, 400), st.integers(0, 1 << 30))
+def test_linked_sets_share_a_part(percent, shared, left, right, seed):
+    # As many windows of their own as a link allows, or fewer.
+    most = shared * (100 - percent) // percent
+    left, right = min(left, most), min(right, most - min(left, most))
+    windows = hashing.mix(np.arange(seed, seed + shared + left + right, dtype=np.uint64))
+    both, mine, yours = np.split(windows, [shared, shared + left])
+    parts = ngram_join.Parts(percent)
+    x, y = (parts.of(np.sort(np.concatenate([both, own]))) for own in (mine, yours))
+    assert 100 * shared >= percent * (shared + left + right)
+    assert left + right == 0 or set(x.tolist()) & set(y.tolist())
+
+
+def test_one_shared_window_gives_no_candidate(spark, frame, monkeypatch):
+    # Any two of these texts share their last three words, and those are rare; other words are their own.
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(60)) + " only here together") for i in range(30)]
+    written = {}
+
+    def noted(df, name):
+        staged = staging.stage(df, name)
+        written[name] = staged.count()
+        return staged
+
+    monkeypatch.setattr(ngram_join, "stage", noted)
+    with staging.passing(spark):
+        docs = frame(texts)
+        _, classes, lists = ngram_join._postings(docs.withColumn("content", ngram_join.content_hash(docs["text"])), 3, 90)
+        assert written["described"] == 30 and written["twice"] == 0
+        assert classes.count() == 0 and lists.count() == 0
+
+
+@pytest.mark.parametrize("firsts", [1, 8])
+def test_a_pair_of_many_shared_parts_comes_out_of_few_lists(spark, monkeypatch, firsts):
+    parts = [[2, 3, 5, 8, 13], [1, 3, 5, 8, 13], [13, 21], [34]]
+    rows = [(c, p, c, 100, *[0] * len(ngram_join.PARITY), sorted(own)[:firsts]) for c, own in enumerate(parts) for p in own]
+    bits = ", ".join(f"{p} bigint" for p in ngram_join.PARITY)
+    own = spark.createDataFrame(rows, f"class bigint, part bigint, component bigint, n bigint, {bits}, first array<bigint>")
+    monkeypatch.setattr(type(own), "distinct", lambda df: df)
+    found = Counter(map(tuple, ngram_join._across(own, 80).collect()))
+    assert set(found) == {(0, 1), (0, 2), (1, 2)}
+    assert found[0, 1] == (1 if firsts == 8 else 4)
+
+
 def test_components_of_a_path_a_star_and_ties(spark):
     edges = [(i + 1, i) for i in range(20)] + [(100, k) for k in range(101, 140)] + [(7, 7), (5, 4), (None, 3)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
