@@ -71,8 +71,9 @@ class SliceHasher:
 
     def __init__(self, data: bytes):
         n = len(data)
-        if SliceHasher.room < n:
-            SliceHasher.room = max(n, 2 * SliceHasher.room)
+        if SliceHasher.room <= n:
+            # An empty slice may start at the end of the string.
+            SliceHasher.room = max(n + 1, 2 * SliceHasher.room)
             SliceHasher.up = _powers(_ODD, SliceHasher.room)
             SliceHasher.down = _powers(pow(_ODD, -1, 1 << 64), SliceHasher.room)
         codes = _BYTE_CODES[np.frombuffer(data, np.uint8)]

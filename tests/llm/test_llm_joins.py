@@ -182,6 +182,21 @@ def test_substring_removal_is_exact(frame, corpus, rows, most):
     assert Counter(found) == brute_removal(pairs)
 
 
+def test_last_anchor_of_the_longest_text_so_far(monkeypatch):
+    r = random.Random(6)
+    monkeypatch.setattr(substrings.SliceHasher, "up", np.ones(1, np.uint64))
+    monkeypatch.setattr(substrings.SliceHasher, "down", np.ones(1, np.uint64))
+    ends = 0
+    for _ in range(1000):
+        monkeypatch.setattr(substrings.SliceHasher, "room", 0)
+        data = bytes(r.choice(b"abcdefghij ") for _ in range(substrings.LENGTH))
+        first, last, anchor, _, _, right = substrings.regions(data)
+        if anchor[0] == substrings.SliceHasher(data).grams(substrings.GRAM)[-1]:
+            ends += 1
+            assert (first.tolist(), last.tolist(), right.tolist()) == ([0], [0], [0])
+    assert ends
+
+
 def test_text_longer_than_a_chunk(monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK", 300)
     data = hashlib.sha512(b"x").hexdigest().encode() * 20
